@@ -7,12 +7,14 @@ compressed, with the number of zeros of each plane. Rank samples are rebuilt whe
 opened, as counting bits is faster than reading samples.
 
 Defined results: a null text is an empty one (just the end id); null ids sort first; rows with
-the same doc_id keep one record each, in order of their text; an empty table gives no files'
+the same doc_id keep one record each, in order of their text's hash; an empty table gives no files'
 rows; only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
+import itertools
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from sieveline.llm import common
 
 #: Ids after which a block is closed; a longer document still makes one block.
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 19
 #: Bits between two rank samples.
 RANK_BITS = 512
 
@@ -42,28 +44,29 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids: np.ndarray, width: int | None = None) -> WaveletMatrix:
-        ids = np.ascontiguousarray(ids, np.uint32)
         if width is None:
             width = max(1, int(ids.max()).bit_length()) if len(ids) else 1
+        ids = ids.astype(np.uint16 if width <= 16 else np.uint32)
         zeros, planes = [], []
         for level in range(width - 1, -1, -1):
-            bits = (ids >> np.uint32(level)) & np.uint32(1)
-            ones = bits.astype(bool)
+            ones = (ids & ids.dtype.type(1 << level)).astype(bool)
             planes.append(np.packbits(ones, bitorder="little"))
-            zeros.append(len(ids) - int(ones.sum()))
-            ids = np.concatenate([ids[~ones], ids[ones]])
+            high, low = np.compress(ones, ids), np.compress(~ones, ids)  # far faster than masks
+            zeros.append(len(low))
+            ids = np.concatenate([low, high])
         return cls(len(ids), width, zeros, planes)
 
     def ids(self) -> np.ndarray:
         """All ids in order: the planes' partitions undone from the last to the first."""
-        out = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.width <= 16 else np.uint32
+        out = np.zeros(self.n, kind)
         for k in range(self.width - 1, -1, -1):
-            ones = np.unpackbits(self.planes[k], count=self.n, bitorder="little").astype(bool)
-            z, up = self.zeros[k], np.empty(self.n, np.uint32)
-            up[~ones] = out[:z]
-            up[ones] = out[z:] | np.uint32(1 << (self.width - 1 - k))
+            ones = np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(bool)
+            z, up = self.zeros[k], np.empty(self.n, kind)
+            up[np.flatnonzero(~ones)] = out[:z]
+            up[np.flatnonzero(ones)] = out[z:] | kind(1 << (self.width - 1 - k))
             out = up
-        return out
+        return out.astype(np.uint32)
 
     def _sampled(self, k: int) -> np.ndarray:
         if self._samples[k] is None:
@@ -131,24 +134,49 @@ class CachedEncoder:
 
     The vocabulary's pre-tokenizer never joins a character that isn't white space to white space
     after it, so a text can be cut before each single space. Runs of white space that hold a
-    space between two others, and texts with special tokens, are encoded whole.
+    space between two others, and texts with special tokens, are encoded whole. New pieces are
+    encoded many in a row; as each holds one space, its first character, the ids whose strings
+    begin with a space tell where each piece begins.
     """
 
     SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-    KEEP = 200_000
+    #: Pieces remembered between batches, and pieces encoded in a row.
+    KEEP, ROW = 400_000, 2000
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would each keep memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, np.ndarray] = {}
+        vocab = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocab.values()) + 1, bool)
+        self.begins[[i for t, i in vocab.items() if t[0] == "\u0120"]] = True
+        self.index: dict[str, int] = {}
+        self.starts, self.lengths, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _encode(self, pieces: list[str]) -> list[np.ndarray]:
         run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [np.array(e.ids, np.uint32) for e in run(pieces, add_special_tokens=False)]
+        return [np.array(e.ids, np.uint32) for k in range(0, len(pieces), 16) for e in run(pieces[k : k + 16], add_special_tokens=False)]
+
+    def _encode_distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces in order, and how many each has."""
+        odd = pc.or_(pc.invert(pc.starts_with(pieces, " ")), pc.match_substring_regex(pieces, f"^ {self.SPACE}|{self.SPACE}$")).to_numpy(zero_copy_only=False)
+        counts = np.zeros(len(pieces), np.int64)
+        plain = pieces.filter(pa.array(~odd)).to_pylist()
+        rows = self._encode(["".join(plain[k : k + self.ROW]) for k in range(0, len(plain), self.ROW)])
+        flat = np.concatenate(rows) if rows else np.zeros(0, np.uint32)
+        counts[~odd] = np.diff(np.append(np.flatnonzero(self.begins[flat]), len(flat)))
+        if not odd.any():
+            return flat, counts
+        alone = self._encode(pieces.filter(pa.array(odd)).to_pylist())
+        counts[odd] = [len(x) for x in alone]
+        ids, at = np.empty(counts.sum(), np.uint32), np.repeat(odd, counts)
+        ids[~at] = flat
+        ids[at] = np.concatenate(alone) if alone else flat[:0]
+        return ids, counts
 
-    def whole(self, text: pa.Array) -> np.ndarray:
+    def _whole(self, text: pa.Array) -> np.ndarray:
         """Which texts can't be cut at their spaces."""
         mask = pc.match_substring_regex(text, f"(^|{self.SPACE}) ({self.SPACE}|$)")
         for s in self.special:
@@ -157,32 +185,46 @@ class CachedEncoder:
 
     def __call__(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in order, and how many each has."""
-        whole = self.whole(text)
+        whole = self._whole(text)
         cut = pc.if_else(pa.array(whole), "", text)
         lists = pc.split_pattern(cut, " ")
         flat, n_pieces = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         # a first piece has no space before it; the others get theirs back
+        codes, distinct = common.coded(flat)
+        size = len(distinct)
         first = np.zeros(len(flat), bool)
         first[np.cumsum(n_pieces) - n_pieces] = True
-        flat = pc.if_else(pa.array(first), flat, pc.binary_join_element_wise("", flat, " "))
-        codes, pieces = common.coded(flat)
-        known = pieces.to_pylist()
-        got = [self.cache.get(p) for p in known]
-        todo = [i for i, g in enumerate(got) if g is None]
-        for i, e in zip(todo, self._encode([known[i] for i in todo]), strict=True):
-            got[i] = e
-            if len(self.cache) < self.KEEP:
-                self.cache[known[i]] = e
-        lengths = np.fromiter(map(len, got), np.int64, len(got))
-        starts = np.cumsum(lengths) - lengths
-        pool = np.concatenate(got) if got else np.zeros(0, np.uint32)
-        each = lengths[codes]
-        at = np.repeat(starts[codes] - (np.cumsum(each) - each), each) + np.arange(each.sum())
-        ids, counts = pool[at], common.segment_sums(each, n_pieces)
+        heads, codes = np.unique(codes[first]), np.where(first, codes + size, codes)
+        remap = np.zeros(2 * size, np.int64)
+        remap[:size] = np.arange(size)
+        remap[heads + size] = size + np.arange(len(heads))
+        codes = remap.take(codes)
+        pieces = pa.concat_arrays([pc.binary_join_element_wise("", distinct, " "), distinct.take(pa.array(heads))])
+        found = np.fromiter(map(self.index.get, pieces.to_pylist(), itertools.repeat(-1)), np.int64, len(pieces))
+        new = found < 0
+        fresh = pieces.filter(pa.array(new))
+        ids, counts = self._encode_distinct(fresh)
+        starts, lengths = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
+        starts[~new], lengths[~new] = self.starts[found[~new]], self.lengths[found[~new]]
+        starts[new], lengths[new] = len(self.pool) + np.cumsum(counts) - counts, counts
+        pool = np.concatenate([self.pool, ids])
+        if (room := self.KEEP - len(self.index)) > 0:
+            kept = fresh[:room].to_pylist()
+            self.index.update(zip(kept, range(len(self.index), len(self.index) + len(kept)), strict=True))
+            n = int(counts[: len(kept)].sum())
+            self.starts = np.concatenate([self.starts, len(self.pool) + (np.cumsum(counts) - counts)[: len(kept)]])
+            self.lengths = np.concatenate([self.lengths, counts[: len(kept)]])
+            self.pool = pool[: len(self.pool) + n].copy()
+        each = lengths.take(codes)
+        ends = np.cumsum(each)
+        kind = np.int32 if len(pool) + (ends[-1] if len(ends) else 0) < 1 << 31 else np.int64
+        at = np.repeat((starts.take(codes) - (ends - each)).astype(kind), each)
+        at += np.arange(len(at), dtype=kind)
+        ids, counts = pool.take(at), common.segment_sums(each, n_pieces)
         if whole.any():
             full = self._encode(text.filter(pa.array(whole)).to_pylist())
-            parts, ends = [], np.cumsum(counts)
-            last = 0
+            # a text encoded whole stands for an empty one, which has no ids
+            parts, last, ends = [], 0, np.cumsum(counts)
             for row, e in zip(np.flatnonzero(whole), full, strict=True):
                 parts += [ids[last : ends[row]], e]
                 last = ends[row]
@@ -191,6 +233,16 @@ class CachedEncoder:
         return ids, counts
 
 
+_encoders: dict[str, CachedEncoder] = {}
+
+
+def _encoder(path: str) -> CachedEncoder:
+    """The worker's encoder, with what it remembers from earlier tasks."""
+    if path not in _encoders:
+        _encoders[path] = CachedEncoder(path)
+    return _encoders[path]
+
+
 def _with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     out = np.full(len(ids) + len(counts), end_id, np.uint32)
     keep = np.ones(len(out), bool)
@@ -203,7 +255,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], path: str, end_id: int, block_ids
     from pyspark import TaskContext
 
     shard, block, first = TaskContext.get().partitionId(), 0, 0
-    encode, pack = CachedEncoder(path), zstandard.ZstdCompressor(level=1).compress
+    encode, pack = _encoder(path), zstandard.ZstdCompressor(level=1).compress
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
 
     def flush() -> pa.RecordBatch:
@@ -238,7 +290,7 @@ _ARROW = pa.schema(
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, block_ids: int = BLOCK_IDS) -> None:
     """Encode ``docs`` (doc_id, text) and write one wavelet-matrix file for each range of ids."""
     common.tune(docs.sparkSession)
-    dealt = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    dealt = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     dealt.mapInArrow(lambda it: _blocks(it, tokenizer, end_id, block_ids), _SCHEMA).write.option("compression", "none").parquet(path)
 
 
