@@ -301,7 +301,8 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("ids"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = shards.select("shard", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("shard_start"))
-    return blocks.join(starts, "shard").withColumn("start", F.col("shard_start") + F.col("first_in_shard"))
+    # as many rows as the files have partitions, and two numbers in each
+    return blocks.join(F.broadcast(starts), "shard").withColumn("start", F.col("shard_start") + F.col("first_in_shard"))
 
 
 def open_block(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, WaveletMatrix]:
