@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import bagminhash, bpe, common, langfilter, mil, ngram_lm, risk_rules, urlfilter, wavelet
+from sieveline.llm import bagminhash, bpe, common, decontam, langfilter, licenses, mil, ngram_lm, risk_rules, urlfilter, wavelet
 
 
 def _tokenizer(name: str) -> str:
@@ -42,6 +42,10 @@ def op4_language_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), fold.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op5_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents"))
+
+
 def op6_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score(_read(spark, sf_dir, "documents"))
 
@@ -61,11 +65,15 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages, pages.where("page_id % 100 = 0").select("url"))
 
 
+def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(_read(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = (op1_wavelet_tokens, op2_bagminhash, op3_risk_rules, op4_language_filter, op6_backoff_automaton, op7_attention_mil, op8_url_filter, op10_bpe)
+QUERIES = (op1_wavelet_tokens, op2_bagminhash, op3_risk_rules, op4_language_filter, op5_license_digests, op6_backoff_automaton, op7_attention_mil, op8_url_filter, op9_template_decontamination, op10_bpe)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -73,4 +81,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filter": urlfilter.ORACLE}
+    return {"op5_license_digests": licenses.ORACLE, "op8_url_filter": urlfilter.ORACLE}

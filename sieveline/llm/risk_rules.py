@@ -3,10 +3,11 @@
 Each rule rejects a document whose measured share exceeds a cutoff from a fixed grid. For each
 stratum (a language) and rule, the labelled documents of quality 1 that pass the base rules are
 a holdout: of n such documents x exceed a cutoff, and the exact (Clopper-Pearson) upper bound of
-the true rate follows from the binomial distribution. The strictest cutoff whose bound is within
-the rule's share of the allowed risk is taken, and the error level is divided by the number of all
-bounds tested (rules x grid x strata, Bonferroni), so that with probability 1 - ``delta`` no
-stratum loses more than ``risk`` of its good documents. A rule without such a cutoff is off.
+the true rate follows from the binomial distribution. Cutoffs are tested from the mildest to the
+strictest and the last before the first failure is taken; such a fixed sequence needs no
+correction within itself. Over rules and strata the error level is divided by their number
+(Bonferroni), so that with probability 1 - ``delta`` no stratum loses more than ``risk`` of its
+good documents, each rule having an equal share of it. A rule without such a cutoff is off.
 
 Defined results: a null text has no words and fails the base rules; a document without label or
 with a null language is judged like any other (null is a stratum of its own); several labels of
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from sieveline.llm import common
 
-RISK = 0.02
+RISK = 0.05
 DELTA = 0.05
 #: Rules: a name and the share it measures.
 RULES: dict[str, Column | str] = {
@@ -118,16 +119,16 @@ def cutoffs(found: DataFrame, labels: DataFrame, risk: float = RISK, delta: floa
     holdout = found.where("not base_failed").join(good, "doc_id")
     sums = [F.sum(F.expr(f"cast({rule} > {t} as long)")).alias(f"{name}_{k}") for name, rule in RULES.items() for k, t in enumerate(GRID)]
     strata = holdout.groupBy("lang").agg(F.count("*").alias("n"), *sums).collect()
-    level, share = delta / max(1, len(RULES) * len(GRID) * len(strata)), risk / len(RULES)
+    level, share = delta / max(1, len(RULES) * len(strata)), risk / len(RULES)
     out = []
     for s in sorted(strata, key=lambda s: (s["lang"] is not None, s["lang"])):
         chosen = {}
         for name in RULES:
-            for k, t in enumerate(GRID):
+            for k in reversed(range(len(GRID))):
                 x = s[f"{name}_{k}"]
-                if x / s["n"] <= share and upper_bound(x, s["n"], level) <= share:
-                    chosen[name] = t
+                if x / s["n"] > share or upper_bound(x, s["n"], level) > share:
                     break
+                chosen[name] = GRID[k]
         out.append((s["lang"], chosen))
     return out
 

@@ -61,7 +61,7 @@ def build_filter(listed: DataFrame, max_blocks: int = MAX_BLOCKS) -> np.ndarray:
     blocks = 1
     while blocks * BITS < n * 2 and blocks < max_blocks:
         blocks *= 2
-    masks = [F.shiftleft(F.lit(1).cast("long"), (F.shiftright(F.col("h2"), 6 * k).bitwiseAND(F.lit(63))).cast("int")) for k in range(WORDS)]
+    masks = [F.expr(f"shiftleft(1L, cast(shiftright(h2, {6 * k}) & 63 as int))") for k in range(WORDS)]
     keyed = listed.select(F.xxhash64("canon").alias("h1"), F.xxhash64(F.lit(1), "canon").alias("h2")).select(F.col("h1").bitwiseAND(F.lit(blocks - 1)).alias("block"), *(m.alias(f"m{k}") for k, m in enumerate(masks)))
     rows = keyed.groupBy("block").agg(*(F.bit_or(f"m{k}").alias(f"m{k}") for k in range(WORDS))).toArrow()
     out = np.zeros((blocks, WORDS), np.int64)
