@@ -92,10 +92,10 @@ def _draw(out: np.ndarray, hashes: np.ndarray, weights: np.ndarray, row: np.ndar
         if not here.any():
             return
         h, w, r = hashes[here], weights[here], row[here]
-        seed = common.mix(h + _M(node + 1) * _GOLDEN)
+        seed = common.mix(h + _M((node + 1) * int(_GOLDEN) % 2**64))
         bound, x, k = limit[r], np.zeros(len(h)), 0
         while len(seed):
-            draw = common.mix(seed + _M(k) * _GOLDEN)
+            draw = common.mix(seed + _M(k * int(_GOLDEN) % 2**64))
             x = x - np.log(((draw >> _M(11)).astype(np.float64) + 0.5) * 2.0**-53) / (m * width)
             live = x <= bound
             if not live.all():
@@ -137,7 +137,7 @@ def _signed(batches: Iterator[pa.RecordBatch], size: int, bands: int, rows: int)
 
 def _overlaps(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Weighted Jaccard similarity of the texts in ``ta`` and ``tb``."""
-    for batch in common.slices(common_batches(batches), "ta", common.SLICE_BYTES // 4):
+    for batch in common.slices(batches, "ta", common.SLICE_BYTES // 4):
         sides = []
         for c in ("ta", "tb"):
             flat, counts = common.words(common.texts(batch, c))
@@ -153,10 +153,6 @@ def _overlaps(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sims)], names=["a", "b", "sim"])
 
 
-def common_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from batches
-
-
 def _verified(pairs: DataFrame, involved: DataFrame, size: int, similarity: float) -> DataFrame:
     """The pairs (a, b) that overlap enough."""
     left = involved.select(F.col("id").alias("a"), F.col("text").alias("ta"))
@@ -208,3 +204,15 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE
         open_ = waiting.select("key", "id")
     by_content = copies.join(found, "id", "left").select("c1", "c2", F.coalesce("class_id", "id").alias("class_id"))
     return signed.join(by_content, ["c1", "c2"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), "c1", "c2")
+
+
+def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` that stay when each class keeps the document of its least id, with all their columns."""
+    found = common.table(classes(docs, similarity, size), "classes")
+    stay = found.where("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    key = docs["doc_id"].cast("long")
+    out = docs.join(stay, key == stay["kept_id"], "left_semi").unionByName(docs.where(key.isNull()))
+    # rows repeated under one id are copies too; looking for them reads no text
+    if found.where("doc_id = class_id").groupBy("doc_id", "c1", "c2").count().where("count > 1").limit(1).count():
+        out = out.dropDuplicates(["doc_id", "text"])
+    return out

@@ -74,6 +74,19 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             start = stop
 
 
+_trim: list = []
+
+
+def release() -> None:
+    """Give memory that a worker has freed back to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if not _trim:
+        import ctypes
+
+        _trim.append(getattr(ctypes.CDLL(None), "malloc_trim", lambda _: None))
+    _trim[0](0)
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     """The text column without nulls."""
     return pc.fill_null(batch.column(column), "")

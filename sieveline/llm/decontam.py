@@ -223,3 +223,26 @@ def search(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY
         found = keyed.select("doc_id", "h").join(merged, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k")), "left")
         found = found.select("doc_id", F.coalesce("item_ids", empty).alias("item_ids"), F.coalesce("changed_ids", empty).alias("changed_ids"))
     return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "changed_ids")
+
+
+def cleaned(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` that no benchmark item contaminates, with all their columns."""
+    common.tune(docs.sparkSession)
+    schema = docs.schema
+
+    def passed(source: DataFrame, bench: Benchmark) -> DataFrame:
+        held = source.sparkSession.sparkContext.broadcast(bench)
+
+        def run(batches):
+            for batch in common.slices(batches):
+                yield batch.filter(pa.array([not x for x in findings(common.texts(batch), held.value, similarity)[0]]))
+
+        return source.mapInArrow(run, schema)
+
+    blocks = _blocks(benchmark, block_bytes)
+    out, block = docs, next(blocks, None)
+    while block is not None:
+        out, block = passed(out, block), next(blocks, None)
+        if block is not None:
+            out = common.table(out, "cleaned")  # one block in memory at a time
+    return out

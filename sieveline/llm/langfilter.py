@@ -127,17 +127,17 @@ def judged(text: pa.Array, model: LanguageFilter, size: int = GRAM) -> tuple[lis
     return [model.languages[b] if t else UND for b, t in zip(best.tolist(), (total > 0).tolist(), strict=True)], score
 
 
-def predict(docs: DataFrame, model: LanguageFilter, size: int = GRAM) -> DataFrame:
-    """All columns of ``docs`` and ``lang_pred``, ``lang_score`` (any such columns of ``docs`` are replaced)."""
+def predict(docs: DataFrame, model: LanguageFilter, size: int = GRAM, names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """All columns of ``docs`` and the language and score under ``names`` (such columns of ``docs`` are replaced)."""
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
     held = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("lang_pred", "lang_score")
+    docs = docs.drop(*names)
 
     def run(batches):
         for batch in common.slices(batches):
             lang, score = judged(common.texts(batch), held.value, size)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*batch.schema.names, "lang_pred", "lang_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*batch.schema.names, *names])
 
     common.tune(docs.sparkSession)
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("lang_score", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())]))

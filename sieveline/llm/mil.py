@@ -166,17 +166,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int = PA
     return GatedAttention().fit(x, n, got["quality"].to_numpy().astype(np.float64))
 
 
-def predict(docs: DataFrame, model: GatedAttention, size: int = PASSAGE) -> DataFrame:
-    """All columns of ``docs`` and ``quality_score`` (such a column of ``docs`` is replaced)."""
+def predict(docs: DataFrame, model: GatedAttention, size: int = PASSAGE, name: str = "quality_score") -> DataFrame:
+    """All columns of ``docs`` and the score under ``name`` (such a column of ``docs`` is replaced)."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     held = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("quality_score")
+    docs = docs.drop(name)
 
     def run(batches):
         for batch in common.slices(batches, limit=common.SLICE_BYTES // 2):
             y = held.value.score(*passages(common.texts(batch), size))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.clip(y, 0, 1))], names=[*batch.schema.names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.clip(y, 0, 1))], names=[*batch.schema.names, name])
 
     common.tune(docs.sparkSession)
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("quality_score", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
