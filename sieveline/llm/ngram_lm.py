@@ -1,7 +1,8 @@
 """Language-model scores from a weighted backoff automaton over word n-grams.
 
-Counting. Texts are dealt into batches by a hash of the row. Each batch sends its distinct word
-hashes and training counts, cut into ranges of the hash, to one group for each range, which adds
+Counting. A pass over the texts writes them as batches of word codes, each with its distinct word
+hashes and their counts in training texts; texts are neither shuffled nor split into words again.
+Each batch sends its words, cut into ranges of the hash, to one group for each range, which adds
 them up over all batches and sends the totals back; so every batch gets the exact count of each of
 its words, and no task holds more than a range or a batch. Words are told apart by 64-bit hashes.
 
@@ -39,10 +40,10 @@ from sieveline.llm import common
 #: Share of all tokens that a kept n-gram must have.
 RATE = 2.0**-18
 DISCOUNT = 0.5
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 RANGE_WORDS = 1 << 21
 #: Arcs that a worker remembers with their failures resolved.
-MEMO = 1 << 20
+MEMO = 1 << 17
 _SHIFT = 24
 
 
@@ -135,21 +136,25 @@ def kept_pairs(seq: np.ndarray) -> np.ndarray:
 
 def _grams(batches: Iterator[pa.RecordBatch], hashes: np.ndarray, pairs: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     lookup = Automaton(hashes, {}, [], [], [], 0, 0, 0, 0)
-    for batch in common.slices(batches):
-        codes, _, h, counts = tokens(common.texts(batch))
-        seq = _sequence(lookup.ids(h)[codes], counts)
-        code = kept_pairs(seq)
-        if pairs is not None:
-            at = _index(pairs, code)
-            first, second = at[:-1], at[1:]
-            code = np.where((first >= 0) & (second >= 0), first << _SHIFT | seq[2:], -1)
-        gram, n = np.unique(code[code >= 0], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n)], names=["gram", "n"])
-
-
-def _kept(train: DataFrame, hashes: np.ndarray, pairs: np.ndarray | None, least: int) -> tuple[np.ndarray, np.ndarray]:
-    held = train.sparkSession.sparkContext.broadcast((hashes, pairs))
-    counted = train.select("text").mapInArrow(lambda it: _grams(it, *held.value), "gram long, n long")
+    for batch in batches:
+        for row in _rows(batch):
+            codes, counts = _array(row["codes"], "<u4"), _array(row["lengths"], "<i8")
+            learnt = ~_array(row["held_out"], "?")
+            ids = lookup.ids(_array(row["hashes"], "<u8"))[codes[np.repeat(learnt, counts)]]
+            seq = _sequence(ids, counts[learnt])
+            code = kept_pairs(seq)
+            if pairs is not None:
+                at = _index(pairs, code)
+                first, second = at[:-1], at[1:]
+                code = np.where((first >= 0) & (second >= 0), first << _SHIFT | seq[2:], -1)
+            gram, n = np.unique(code[code >= 0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n)], names=["gram", "n"])
+            common.release()
+
+
+def _kept(encoded: DataFrame, hashes: np.ndarray, pairs: np.ndarray | None, least: int) -> tuple[np.ndarray, np.ndarray]:
+    held = encoded.sparkSession.sparkContext.broadcast((hashes, pairs))
+    counted = encoded.select("held_out", "lengths", "codes", "hashes").mapInArrow(lambda it: _grams(it, *held.value), "gram long, n long")
     got = counted.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow().sort_by("gram")
     return got["gram"].to_numpy(), got["n"].to_numpy()
 
@@ -192,38 +197,65 @@ def build(hashes: np.ndarray, counts: np.ndarray, pairs: tuple[np.ndarray, np.nd
 
 
 def _blob(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+    """Compressed bytes of an array, its elements' first bytes before their second ones and so on."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def _array(blob: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
+    raw, size = zstandard.ZstdDecompressor().decompress(blob), np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, len(raw) // size).T).reshape(-1).view(kind)
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    for k in range(batch.num_rows):
+        yield batch.slice(k, 1).to_pylist()[0]
+
+
+def _fields(ddl: str) -> pa.Schema:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
+    return pa.schema([(n, kinds[k]) for n, k in (f.split(" ") for f in ddl.split(", "))])
+
 
+_ENCODED = "batch long, n_words int, n_tokens long, n_train long, doc_ids binary, id_nulls binary, held_out binary, lengths binary, codes binary, hashes binary, counts binary"
 
-_WORDS = "batch int, part int, n_words int, n_tokens long, hashes binary, counts binary"
-_WORDS_ARROW = pa.schema([("batch", pa.int32()), ("part", pa.int32()), ("n_words", pa.int32()), ("n_tokens", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
 
+def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of texts as codes of their distinct words, which are in the order of their hashes."""
+    from pyspark import TaskContext
 
-def _batch_words(group: pa.Table, parts: int) -> pa.Table:
-    """The distinct words of a batch by range, with their counts in training texts."""
-    hashes, uses = [], []
-    for batch in common.slices(group.to_batches()):
+    name = TaskContext.get().partitionId() << 32
+    for batch in common.slices(batches, limit=BATCH_BYTES):
         codes, _, h, counts = tokens(common.texts(batch))
-        learnt = ~batch.column("held_out").to_numpy(zero_copy_only=False)
-        hashes.append(h)
-        uses.append(np.bincount(codes[learnt[common.owners(counts)]], minlength=len(h)))
-    h, at = np.unique(np.concatenate(hashes), return_inverse=True)
-    n = np.bincount(at, weights=np.concatenate(uses), minlength=len(h)).astype("<u4")
-    cuts = np.searchsorted((h >> np.uint64(32)).astype(np.int64) * parts >> 32, np.arange(parts + 1))
-    name, rows = group["batch"][0].as_py(), []
-    for r in range(parts):
-        a, b = cuts[r], cuts[r + 1]
-        if a < b:
-            rows.append({"batch": name, "part": r, "n_words": int(b - a), "n_tokens": int(n[a:b].sum()), "hashes": _blob(h[a:b]), "counts": _blob(n[a:b])})
-    return pa.Table.from_pylist(rows, schema=_WORDS_ARROW)
+        h, at = np.unique(h, return_inverse=True)
+        codes = at[codes].astype("<u4")
+        doc_id, held = batch.column("doc_id"), batch.column("held_out").to_numpy(zero_copy_only=False)
+        learnt = ~held
+        uses = np.bincount(codes[np.repeat(learnt, counts)], minlength=len(h)).astype("<u4")
+        row = {
+            "batch": name, "n_words": len(h), "n_tokens": int(uses.sum()), "n_train": int(learnt.sum()),
+            "doc_ids": _blob(pc.fill_null(doc_id, 0).to_numpy(zero_copy_only=False).astype("<i8")), "id_nulls": _blob(doc_id.is_null().to_numpy(zero_copy_only=False)),
+            "held_out": _blob(held), "lengths": _blob(counts.astype("<i8")), "codes": _blob(codes), "hashes": _blob(h), "counts": _blob(uses),
+        }
+        yield pa.RecordBatch.from_pylist([row], schema=_fields(_ENCODED))
+        name += 1
+        common.release()
 
 
-_TOTALS = "batch int, part int, hashes binary, counts binary, n_known long"
-_TOTALS_ARROW = pa.schema([("batch", pa.int32()), ("part", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary()), ("n_known", pa.int64())])
+_WORDS = "batch long, part int, hashes binary, counts binary"
+
+
+def _ranges(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """The words of each batch and their counts, cut into ranges of the hash."""
+    for batch in batches:
+        for row in _rows(batch):
+            h, n = _array(row["hashes"], "<u8"), _array(row["counts"], "<u4")
+            cuts = np.searchsorted((h >> np.uint64(32)).astype(np.int64) * parts >> 32, np.arange(parts + 1)).tolist()
+            rows = [{"batch": row["batch"], "part": r, "hashes": _blob(h[a:b]), "counts": _blob(n[a:b])} for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+            yield pa.RecordBatch.from_pylist(rows, schema=_fields(_WORDS))
+
+
+_TOTALS = "batch long, part int, hashes binary, totals binary, n_known long"
 
 
 def _range_totals(group: pa.Table, least: int) -> pa.Table:
@@ -232,43 +264,36 @@ def _range_totals(group: pa.Table, least: int) -> pa.Table:
     h, at = np.unique(np.concatenate(each), return_inverse=True)
     n = np.bincount(at, weights=np.concatenate([_array(b, "<u4") for b in group["counts"].to_pylist()]), minlength=len(h)).astype("<i8")
     part = group["part"][0].as_py()
-    ends = np.cumsum([len(x) for x in each])
-    rows = [{"batch": b, "part": part, "hashes": _blob(x), "counts": _blob(n[at[e - len(x) : e]]), "n_known": 0} for b, x, e in zip(group["batch"].to_pylist(), each, ends.tolist(), strict=True)]
+    ends = np.cumsum([len(x) for x in each]).tolist()
+    rows = [{"batch": b, "part": part, "hashes": None, "totals": _blob(n[at[e - len(x) : e]]), "n_known": 0} for b, x, e in zip(group["batch"].to_pylist(), each, ends, strict=True)]
     keep = n >= least
-    rows.append({"batch": -1, "part": part, "hashes": _blob(h[keep]), "counts": _blob(n[keep]), "n_known": int((n > 0).sum())})
-    return pa.Table.from_pylist(rows, schema=_TOTALS_ARROW)
+    rows.append({"batch": -1, "part": part, "hashes": _blob(h[keep]), "totals": _blob(n[keep]), "n_known": int((n > 0).sum())})
+    common.release()
+    return pa.Table.from_pylist(rows, schema=_fields(_TOTALS))
 
 
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scored(docs: pa.Table, words: pa.Table, model: Automaton) -> pa.Table:
-    names = [c.split(" ")[0] for c in _SCORED.split(", ")]
+def _scored(batch: pa.Table, totals: pa.Table, model: Automaton) -> pa.Table:
     out = []
-    h = np.concatenate([_array(b, "<u8") for b in words["hashes"].to_pylist()] or [np.zeros(0, "<u8")])
-    c = np.concatenate([_array(b, "<i8") for b in words["counts"].to_pylist()] or [np.zeros(0, "<i8")])
-    order = np.argsort(h)
-    h, c = h[order], c[order]
-    end = float(np.log10((model.ends + 1) / model.scale))
-    for batch in common.slices(docs.to_batches()):
-        codes, _, own, counts = tokens(common.texts(batch))
-        at = _index(h, own)
-        uses = np.where(at >= 0, c[at], 0) if len(h) else np.zeros(len(own), np.int64)
+    parts = [_array(b, "<i8") for b in totals.sort_by("part")["totals"].to_pylist()]
+    for row in batch.to_pylist():
+        codes, own, counts = _array(row["codes"], "<u4"), _array(row["hashes"], "<u8"), _array(row["lengths"], "<i8")
+        uses = np.concatenate([*parts, np.zeros(0, np.int64)])
         logs, ids = np.log10((uses + 1) / model.scale), model.ids(own)
-        base = common.segment_sums(logs[codes], counts) + end
+        base = common.segment_sums(logs[codes], counts) + np.log10((model.ends + 1) / model.scale)
         known = common.segment_sums((uses > 0).astype(np.int64)[codes], counts) + (model.ends > 0)
         rare = common.segment_sums(np.where(ids < 0, logs, 0.0)[codes], counts)
-        seq, stop, score = ids[codes].tolist(), np.cumsum(counts).tolist(), []
-        start = 0
-        for e in stop:
-            score.append(model.traverse([*seq[start:e], 0]))
+        score, start = [], 0
+        for e in np.cumsum(counts).tolist():
+            score.append(model.traverse([*ids[codes[start:e]].tolist(), 0]))
             start = e
-        n = batch.num_rows
-        out.append(pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(counts + 1), pa.array(known.astype(np.int64)), pa.array(np.full(n, model.train_tokens)), pa.array(base), pa.array(rare + np.array(score))], names=names))
-    return pa.Table.from_batches(out, schema=_SCORED_ARROW)
-
-
-_SCORED_ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+        doc_ids = pa.array(_array(row["doc_ids"], "<i8"), mask=_array(row["id_nulls"], "?"))
+        found = [doc_ids, _array(row["held_out"], "?"), counts + 1, known, np.full(len(counts), model.train_tokens), base, rare + np.array(score)]
+        out.append(pa.RecordBatch.from_arrays([pa.array(x) for x in found], schema=_fields(_SCORED)))
+    common.release()
+    return pa.Table.from_batches(out, schema=_fields(_SCORED))
 
 
 def score(docs: DataFrame, folds: int = 7, out_fold: int = 2, rate: float = RATE) -> DataFrame:
@@ -277,24 +302,23 @@ def score(docs: DataFrame, folds: int = 7, out_fold: int = 2, rate: float = RATE
     common.tune(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     source = source.withColumn("held_out", common.held_out(F.col("doc_id"), folds, out_fold))
-    sizes = source.agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum(F.when(~F.col("held_out"), 1)).alias("ends")).first()
-    n_bytes, ends = sizes["bytes"] or 0, sizes["ends"] or 0
-    batches, parts = max(1, -(-n_bytes // BATCH_BYTES)), max(1, -(-n_bytes // (24 * RANGE_WORDS)))
-    dealt = source.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("int"))
-    words = common.table(dealt.groupBy("batch").applyInArrow(lambda t: _batch_words(t, parts), _WORDS), "words")
-    train_tokens = (words.agg(F.sum("n_tokens")).first()[0] or 0) + ends
+    encoded = common.table(source.mapInArrow(_encoded, _ENCODED), "encoded")
+    sums = encoded.agg(F.sum("n_words").alias("words"), F.sum("n_tokens").alias("tokens"), F.sum("n_train").alias("ends")).first()
+    ends, parts = sums["ends"] or 0, max(1, -(-(sums["words"] or 0) // RANGE_WORDS))
+    train_tokens = (sums["tokens"] or 0) + ends
     least = max(2, int(np.ceil(train_tokens * rate)))
+    words = encoded.select("batch", "hashes", "counts").mapInArrow(lambda it: _ranges(it, parts), _WORDS)
     totals = common.table(words.groupBy("part").applyInArrow(lambda t: _range_totals(t, least), _TOTALS), "totals")
     # at most 1 / rate kept words, and a number for each range
-    kept = totals.where("batch = -1").select("hashes", "counts", "n_known").collect()
+    kept = totals.where("batch = -1").select("hashes", "totals", "n_known").collect()
     hashes = np.concatenate([_array(r["hashes"], "<u8") for r in kept] or [np.zeros(0, "<u8")])
-    counts = np.concatenate([_array(r["counts"], "<i8") for r in kept] or [np.zeros(0, "<i8")])
+    counts = np.concatenate([_array(r["totals"], "<i8") for r in kept] or [np.zeros(0, "<i8")])
     order = np.argsort(hashes)
     hashes, counts = hashes[order], counts[order]
-    train = source.where("not held_out")
-    pairs = _kept(train, hashes, None, least)
-    triples = _kept(train, hashes, pairs[0], least)
+    pairs = _kept(encoded, hashes, None, least)
+    triples = _kept(encoded, hashes, pairs[0], least)
     vocabulary = sum(r["n_known"] for r in kept) + (ends > 0)
     held = spark.sparkContext.broadcast(build(hashes, counts, pairs, triples, train_tokens, vocabulary, ends))
-    right = totals.where("batch >= 0").select("batch", "hashes", "counts")
-    return dealt.groupBy("batch").cogroup(right.groupBy("batch")).applyInArrow(lambda a, b: _scored(a, b, held.value), _SCORED)
+    left = encoded.select("batch", "doc_ids", "id_nulls", "held_out", "lengths", "codes", "hashes")
+    right = totals.where("batch >= 0").select("batch", "part", "totals")
+    return left.groupBy("batch").cogroup(right.groupBy("batch")).applyInArrow(lambda a, b: _scored(a, b, held.value), _SCORED)
