@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from sieveline.plans import text_queries
+
+MODULES = [text_queries]
+
+
+def _all() -> dict:
+    return {name: pair for m in MODULES for name, pair in m.QUERIES.items()}
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for name, (f, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _all().items() if sql}
 
 
 def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    return _all()["contexts"][0](spark, sf_dir)
