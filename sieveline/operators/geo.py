@@ -51,7 +51,7 @@ def radius_join(centers: DataFrame, items: DataFrame, km: float) -> DataFrame:
     reach = F.least(F.lit(columns), F.ceil(F.lit(1.0) / F.greatest(narrow, F.lit(1e-6)))).cast("int")
     spread = known.withColumn("cy", F.explode(F.sequence(rows - 1, rows + 1)))
     wide = F.when(reach * 2 + 1 >= columns, F.sequence(F.lit(0), F.lit(columns - 1))).otherwise(F.transform(F.sequence(-reach, reach), lambda d: F.pmod(F.floor((F.col("lon") + 180) / size) + d, F.lit(columns)).cast("int")))
-    spread = spread.withColumn("cx", F.explode(F.array_distinct(wide)).cast("long"))
+    spread = spread.withColumn("cx", F.explode(F.array_distinct(F.transform(wide, lambda x: x.cast("long")))))
     near = located.join(spread, ["cy", "cx"])
     dist = haversine_km(F.col("lat"), F.col("lon"), F.col("i_lat"), F.col("i_lon"))
     return near.withColumn("dist_km", dist).where(F.col("dist_km") <= km).select("center_id", "doc_id", "dist_km")

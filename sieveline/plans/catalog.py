@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sieveline.plans import text_queries
+from sieveline.plans import retrieval_queries, text_queries
 
-MODULES = [text_queries]
+MODULES = [text_queries, retrieval_queries]
 
 
 def _all() -> dict:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark, sf_dir):
-    return _all()["contexts"][0](spark, sf_dir)
+    return _all()["bm25_global_topk"][0](spark, sf_dir)
