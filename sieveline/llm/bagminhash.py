@@ -10,10 +10,13 @@ Jaccard similarity. Only points below a limit that nearly surely fills all compo
 which makes the cost of a signature almost independent of the document's length.
 
 Signatures are cut into bands. Documents that share a band's key are compared with a leader of
-that bucket, exactly, by their multiset overlap; links make connected components, and buckets
-that still hold several components go on with other leaders until none is left, so no pair
-that shares a bucket is lost unless both already are in one class. No group is ever expanded
-into all its pairs, and no group is gathered in one task.
+that bucket (its shortest document), exactly, by their multiset overlap; links make connected
+components. Buckets that still hold several components get a second leader. What is left then
+(say, short documents that share a passage) is settled exactly by prefix filtering: a multiset is
+ordered from its rarest element, two that overlap enough must share one of their first few, and
+the positions of that one bound what they can share. So no pair that shares a bucket is lost
+unless both already are in one class, no group is expanded into all its pairs, and none is
+gathered in one task.
 
 Defined results: a null text or one without words is in a class of its own; a text of fewer
 than ``shingle`` words is one shingle; equal word sequences are exact copies; rows with the same
@@ -28,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.llm import common, components
@@ -132,7 +135,8 @@ def _signed(batches: Iterator[pa.RecordBatch], size: int, bands: int, rows: int)
         content = np.frombuffer(b"".join(content), "<i8").reshape(-1, 2)
         offsets = np.concatenate([[0], np.cumsum(np.where(full, bands, 0))]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[full].reshape(-1)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(full), pa.array(content[:, 0]), pa.array(content[:, 1]), lists], names=["doc_id", "full", "c1", "c2", "keys"])
+        total = np.where(full, np.maximum(counts - size + 1, 1), 0)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total), pa.array(content[:, 0]), pa.array(content[:, 1]), lists], names=["doc_id", "total", "c1", "c2", "keys"])
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -161,47 +165,88 @@ def _verified(pairs: DataFrame, involved: DataFrame, size: int, similarity: floa
     return both.mapInArrow(lambda it: _overlaps(it, size), "a long, b long, sim double").where(F.col("sim") >= similarity).select("a", "b")
 
 
+def _elements(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The elements of each multiset: a shingle's occurrences are told apart by their number."""
+    for batch in common.slices(batches, limit=common.SLICE_BYTES // 4):
+        flat, counts = common.words(common.texts(batch))
+        h, w, n = shingles(flat, counts, size)
+        which = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+        elements = common.mix(np.repeat(h, w) + common.mix(which.astype(np.uint64))).view(np.int64)
+        total = common.segment_sums(w, n)
+        row = pa.array(common.owners(total))
+        yield pa.RecordBatch.from_arrays([batch.column("id").take(row), pa.array(total).take(row), pa.array(elements)], names=["id", "total", "element"])
+
+
+def _prefixes(rest: DataFrame, involved: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The elements (id, total, element, at) from each multiset's rarest one up to the last that two similar multisets may share first."""
+    source = involved.join(rest, "id").select("id", "text")
+    elements = common.table(source.mapInArrow(lambda it: _elements(it, size), "id long, total long, element long"), "elements")
+    frequency = elements.groupBy("element").agg(F.count("*").alias("n")).where("n > 1")
+    # an element of a single document comes first, as none is rarer
+    rarest = Window.partitionBy("id").orderBy(F.coalesce("n", F.lit(1)), "element")
+    placed = elements.join(frequency, "element", "left").withColumn("at", F.row_number().over(rarest))
+    least = F.ceil(F.round(F.col("total") * similarity, 6))
+    return common.table(placed.where((F.col("at") <= F.col("total") - least + 1) & F.col("n").isNotNull()).select("id", "total", "element", "at"), "prefix")
+
+
+def _prefix_pairs(left: DataFrame, right: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different classes that share an element of their prefixes and may overlap enough by its positions."""
+    a, b = (t.select("element", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "class_id", "total", "at"))) for t, x in ((left, "a"), (right, "b")))
+    needed = F.ceil(F.round((F.col("total_a") + F.col("total_b")) * (similarity / (1 + similarity)), 6))
+    possible = 1 + F.least(F.col("total_a") - F.col("at_a"), F.col("total_b") - F.col("at_b"))
+    return a.join(b, "element").where((F.col("class_id_a") != F.col("class_id_b")) & (possible >= needed)).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
     """doc_id, class_id (least doc_id of its class) and content (two keys of the word sequence) of each row of ``docs``."""
-    spark = docs.sparkSession
-    common.tune(spark)
+    common.tune(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    signed = common.table(source.mapInArrow(lambda it: _signed(it, size, bands, rows), "doc_id long, full boolean, c1 long, c2 long, keys array<long>"), "signed")
-    named = signed.where("full and doc_id is not null")
+    signed = common.table(source.mapInArrow(lambda it: _signed(it, size, bands, rows), "doc_id long, total long, c1 long, c2 long, keys array<long>"), "signed")
+    named = signed.where("total > 0 and doc_id is not null")
     # exact copies first: one representative for each word sequence
     copies = common.table(named.groupBy("c1", "c2").agg(F.min("doc_id").alias("id")), "copies")
-    reps = named.join(copies.select("c1", "c2", F.col("id").alias("doc_id")), ["c1", "c2", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "c1", "keys")
-    members = reps.select("id", F.explode("keys").alias("key")).distinct()
-    shared = members.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
-    members = common.table(members.join(shared, "key").select("key", "id", "leader"), "members")
-    ids = members.select("id").distinct()
-    rep_texts = source.join(ids.withColumnRenamed("id", "doc_id"), "doc_id").select(F.col("doc_id").alias("id"), "text")
-    involved = common.table(rep_texts.dropDuplicates(["id"]), "involved")
-    pairs = members.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-    links = common.table(_verified(pairs, involved, size, similarity), "links")
+    reps = named.join(copies.select("c1", "c2", F.col("id").alias("doc_id")), ["c1", "c2", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "total", "keys")
+    members = reps.select("id", "total", F.explode("keys").alias("key")).distinct()
+    shortest = F.min(F.struct("total", "id"))["id"].alias("leader")
+    shared = members.groupBy("key").agg(shortest, F.count("*").alias("n")).where("n > 1").select("key", "leader")
+    members = common.table(members.join(shared, "key").select("key", "id", "total", "leader"), "members")
+    ids = members.select(F.col("id").alias("doc_id")).distinct()
+    involved = common.table(source.join(ids, "doc_id").select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"]), "involved")
+
+    def led(rows: DataFrame) -> DataFrame:
+        return rows.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+
+    links = common.table(_verified(led(members), involved, size, similarity), "links")
     found = components.components(links)
-    done = members.select("key", F.col("leader").alias("id")).distinct()
-    open_ = members.select("key", "id")
-    while True:
-        # buckets whose members, but for the leaders that met them all, are in more than one class
-        labelled = open_.join(found, "id", "left").select("key", "id", F.coalesce("class_id", "id").alias("class_id"))
-        waiting = labelled.join(done, ["key", "id"], "left_anti")
-        mixed = waiting.groupBy("key").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low < high").select("key", "low")
-        waiting = common.table(waiting.join(mixed, "key"), "waiting")
-        # the next leader is of the smallest of a bucket's classes
-        sizes = waiting.groupBy("key", "class_id").agg(F.count("*").alias("n"), F.min("id").alias("id"))
-        leaders = sizes.groupBy("key").agg(F.min(F.struct("n", "id", "class_id")).alias("least")).select("key", F.col("least.id").alias("leader"), F.col("least.class_id").alias("leader_class"))
-        pairs = waiting.join(leaders, "key").where("class_id <> leader_class").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-        pairs = common.table(pairs, "pairs")
-        n = pairs.count()
-        if not n:
-            break
-        more = common.table(_verified(pairs, involved, size, similarity), "links")
-        if more.limit(1).count():
-            links = links.unionByName(more)
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """Members that no leader has met, of buckets where they are in more than one class."""
+        labelled = rows.where("id <> leader").select("key", "id", "total").join(found, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
+        several = labelled.groupBy("key").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low < high").select("key")
+        return labelled.join(several, "key")
+
+    waiting = mixed(members)
+    # the second leader is of the smallest of a bucket's classes
+    sizes = waiting.groupBy("key", "class_id").agg(F.count("*").alias("n"), F.min(F.struct("total", "id")).alias("first"))
+    leaders = sizes.groupBy("key").agg(F.min(F.struct("n", "first"))["first"]["id"].alias("leader"))
+    waiting = common.table(waiting.join(leaders, "key").select("key", "id", "total", "leader"), "waiting")
+    more = common.table(_verified(led(waiting).join(links, ["a", "b"], "left_anti"), involved, size, similarity), "links")
+    found = components.components(links.unionByName(more))
+    links = links.unionByName(more)
+    # what is left is settled by prefixes: against one document of each element, then one of each
+    # class that shares an element, which merge most classes, then all pairs that may be similar
+    prefix = _prefixes(mixed(waiting).select("id").distinct(), involved, size, similarity)
+    tried = links.limit(0)
+    for against in (["element"], ["element", "class_id"], None):
+        rows = prefix.join(found, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
+        first = F.min(F.struct("at", "total", "id", "class_id")).alias("f")
+        partners = rows.groupBy(*against).agg(first).select("element", "f.*") if against else rows
+        pairs = common.table(_prefix_pairs(rows, partners, similarity).join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = tried.unionByName(pairs)
+        new = common.table(_verified(pairs, involved, size, similarity), "links")
+        if not new.isEmpty():
+            links = links.unionByName(new)
             found = components.components(links)
-        done = leaders.select("key", F.col("leader").alias("id"))
-        open_ = waiting.select("key", "id")
     by_content = copies.join(found, "id", "left").select("c1", "c2", F.coalesce("class_id", "id").alias("class_id"))
     return signed.join(by_content, ["c1", "c2"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), "c1", "c2")
 
