@@ -29,8 +29,8 @@ def validate_answer(answer: DataFrame, queries: DataFrame, items: DataFrame, k:
     wanted = queries.select(F.col("query_id").cast("string")).distinct()
     found = F.split(F.coalesce("answer", F.lit("")), " ")
     rows = answer.select("query_id", "answer", found.alias("ids"))
-    outside = rows.select("query_id", "answer", F.explode("ids").alias("item_id")).join(items.select(F.col("item_id").cast("string")).distinct(), "item_id", "left_anti").select("query_id", "answer").distinct().withColumn("outside", F.lit(True))
-    marked = rows.join(outside, rows["query_id"].eqNullSafe(outside["query_id"]) & rows["answer"].eqNullSafe(outside["answer"]), "left").select(rows["query_id"], rows["answer"], "ids", "outside")
+    outside = rows.select("query_id", "answer", F.explode("ids").alias("item_id")).join(items.select(F.col("item_id").cast("string")).distinct(), "item_id", "left_anti").select(F.col("query_id").alias("_q"), F.col("answer").alias("_a")).distinct().withColumn("outside", F.lit(True))
+    marked = rows.join(outside, F.col("query_id").eqNullSafe(F.col("_q")) & F.col("answer").eqNullSafe(F.col("_a")), "left")
     malformed = F.exists("ids", lambda x: ~x.rlike(item_id)) | F.coalesce("outside", F.lit(False))
     kind = F.when(F.coalesce("answer", F.lit("")) == "", "empty").when(F.size("ids") > k, "too many items").when(F.size(F.array_distinct("ids")) < F.size("ids"), "duplicate items").when(malformed, "malformed or outside")
     parts = [
