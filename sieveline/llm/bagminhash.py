@@ -11,10 +11,10 @@ which makes the cost of a signature almost independent of the document's length.
 
 Signatures are cut into bands. Documents that share a band's key are compared with a leader of
 that bucket (its shortest document), exactly, by their multiset overlap; links make connected
-components. Buckets that still hold several components get a second leader. What is left then
-(say, short documents that share a passage) is settled exactly by prefix filtering: a multiset is
-ordered from its rarest element, two that overlap enough must share one of their first few, and
-the positions of that one bound what they can share. So no pair that shares a bucket is lost
+components. Buckets that still hold several components (say, of short documents that share a
+passage) are settled exactly by prefix filtering: a multiset is ordered from its rarest element,
+two that overlap enough must share one of their first few, and the positions of that one bound
+what they can share. So no pair that shares a bucket is lost
 unless both already are in one class, no group is expanded into all its pairs, and none is
 gathered in one task.
 
@@ -204,49 +204,30 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE
     signed = common.table(source.mapInArrow(lambda it: _signed(it, size, bands, rows), "doc_id long, total long, c1 long, c2 long, keys array<long>"), "signed")
     named = signed.where("total > 0 and doc_id is not null")
     # exact copies first: one representative for each word sequence
-    copies = common.table(named.groupBy("c1", "c2").agg(F.min("doc_id").alias("id")), "copies")
-    reps = named.join(copies.select("c1", "c2", F.col("id").alias("doc_id")), ["c1", "c2", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "total", "keys")
-    members = reps.select("id", "total", F.explode("keys").alias("key")).distinct()
+    copies = common.table(named.groupBy("c1", "c2").agg(F.min("doc_id").alias("id"), F.min("total").alias("total"), F.min_by("keys", "doc_id").alias("keys")), "copies")
+    members = copies.select("id", "total", F.explode("keys").alias("key"))
     shortest = F.min(F.struct("total", "id"))["id"].alias("leader")
     shared = members.groupBy("key").agg(shortest, F.count("*").alias("n")).where("n > 1").select("key", "leader")
-    members = common.table(members.join(shared, "key").select("key", "id", "total", "leader"), "members")
+    members = common.table(members.join(shared, "key").select("key", "id", "leader"), "members")
     ids = members.select(F.col("id").alias("doc_id")).distinct()
     involved = common.table(source.join(ids, "doc_id").select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"]), "involved")
-
-    def led(rows: DataFrame) -> DataFrame:
-        return rows.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-
-    links = common.table(_verified(led(members), involved, size, similarity), "links")
-    found = components.components(links)
-
-    def mixed(rows: DataFrame) -> DataFrame:
-        """Members that no leader has met, of buckets where they are in more than one class."""
-        labelled = rows.where("id <> leader").select("key", "id", "total").join(found, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
-        several = labelled.groupBy("key").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low < high").select("key")
-        return labelled.join(several, "key")
-
-    waiting = mixed(members)
-    # the second leader is of the smallest of a bucket's classes
-    sizes = waiting.groupBy("key", "class_id").agg(F.count("*").alias("n"), F.min(F.struct("total", "id")).alias("first"))
-    leaders = sizes.groupBy("key").agg(F.min(F.struct("n", "first"))["first"]["id"].alias("leader"))
-    waiting = common.table(waiting.join(leaders, "key").select("key", "id", "total", "leader"), "waiting")
-    more = common.table(_verified(led(waiting).join(links, ["a", "b"], "left_anti"), involved, size, similarity), "links")
-    found = components.components(links.unionByName(more))
-    links = links.unionByName(more)
-    # what is left is settled by prefixes: against one document of each element, then one of each
-    # class that shares an element, which merge most classes, then all pairs that may be similar
-    prefix = _prefixes(mixed(waiting).select("id").distinct(), involved, size, similarity)
-    tried = links.limit(0)
-    for against in (["element"], ["element", "class_id"], None):
+    tried = common.table(members.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct(), "pairs")
+    found = components.components(common.table(_verified(tried, involved, size, similarity), "links"))
+    # buckets whose members, but for the leader that met them all, are in more than one class
+    labelled = members.where("id <> leader").join(found, "id", "left").select("key", "id", F.coalesce("class_id", "id").alias("class_id"))
+    several = labelled.groupBy("key").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low < high").select("key")
+    # they are settled by prefixes: against one document of each element, which merges most
+    # classes, then by all pairs that may be similar and are in different classes
+    prefix = _prefixes(labelled.join(several, "key").select("id").distinct(), involved, size, similarity)
+    for against in ("element", None):
         rows = prefix.join(found, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
         first = F.min(F.struct("at", "total", "id", "class_id")).alias("f")
-        partners = rows.groupBy(*against).agg(first).select("element", "f.*") if against else rows
+        partners = rows.groupBy(against).agg(first).select(against, "f.*") if against else rows
         pairs = common.table(_prefix_pairs(rows, partners, similarity).join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.unionByName(pairs)
         new = common.table(_verified(pairs, involved, size, similarity), "links")
         if not new.isEmpty():
-            links = links.unionByName(new)
-            found = components.components(links)
+            found = components.components(new, found)
     by_content = copies.join(found, "id", "left").select("c1", "c2", F.coalesce("class_id", "id").alias("class_id"))
     return signed.join(by_content, ["c1", "c2"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), "c1", "c2")
 

@@ -8,27 +8,32 @@ from pyspark.sql import functions as F
 from sieveline.llm import common
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """id and class_id (the least id it is linked with, directly or not) of each id in ``links`` (a, b).
 
-    Each round points every id at the least id among its neighbours and itself, first for larger
-    neighbours, then for smaller ones; the number of rounds grows with the logarithm of the
-    component's size. Stars are built by aggregates and joins, so a hub's links stay spread.
+    ``known`` is an earlier result to go on from. Each round points every id at the least id among
+    its neighbours and itself, first for larger neighbours, then for smaller ones; the number of
+    rounds grows with the logarithm of the component's size. Stars are built by aggregates and
+    joins, so a hub's links stay spread; rounds end when the edges' number and checksum stay.
     """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    edges = common.table(edges, "edges")
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
+    if known is not None:
+        edges = edges.unionByName(known.select(F.col("id").alias("u"), F.col("class_id").alias("v")).where("u <> v"))
+    before = None
     while True:
         # large star: link each larger neighbour to the least of the neighbourhood
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: link each smaller neighbour, and the id itself, to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         after = common.table(small, "edges")
-        same = after.exceptAll(edges).limit(1).count() == 0 and edges.exceptAll(after).limit(1).count() == 0
-        common.drop_table(edges.sparkSession, edges)
+        state = after.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if before is not None:
+            common.drop_table(after.sparkSession, edges)
         edges = after
-        if same:
+        if state == before:
             break
+        before = state
     return edges.select(F.col("u").alias("id"), F.col("v").alias("class_id")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("class_id")).distinct())
