@@ -12,7 +12,9 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     """Great-circle distance; null where a coordinate is, and never NaN for antipodes."""
     half = lambda a, b: F.pow(F.sin(F.radians(b - a) / 2), F.lit(2.0))
     a = half(lat1, lat2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(lon1, lon2)
-    return F.lit(2 * EARTH_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    root = F.sqrt(a)
+    # not least(), which takes a null for absent
+    return F.lit(2 * EARTH_KM) * F.asin(F.when(root > 1, F.lit(1.0)).otherwise(root))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -21,4 +23,5 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def clip(x: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+    """The number brought into a range; null stays null."""
+    return F.when(x < low, F.lit(low)).when(x > high, F.lit(high)).otherwise(x)

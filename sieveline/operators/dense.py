@@ -37,7 +37,7 @@ def _search_block(items: DataFrame, ids: np.ndarray, vectors: np.ndarray, groups
         q_ids, q, q_group = held.value
         best: tuple | None = None
         for batch in batches:
-            if not batch.num_rows:
+            if not batch.num_rows or not len(q_ids):
                 continue
             item = batch.column("doc_id").to_numpy(zero_copy_only=False)
             scores = q @ _matrix(batch.column("embedding"), q.shape[1]).T
@@ -69,7 +69,9 @@ def search(items: DataFrame, queries: DataFrame, k: int, group: str | None = Non
     found = None
     for b in range(blocks):
         got = (queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).toArrow()
-        vectors = np.array(got["embedding"].to_pylist(), np.float64).reshape(got.num_rows, -1)
+        if not got.num_rows and (found is not None or b < blocks - 1):
+            continue  # an empty block, but one is kept for the schema
+        vectors = np.array(got["embedding"].to_pylist(), np.float64).reshape(got.num_rows, -1) if got.num_rows else np.zeros((0, 0))
         part = _search_block(items, got["query_id"].to_numpy(), vectors, got["grp"].to_numpy() if group else None, k, key_kind)
         found = part if found is None else found.unionByName(part)
     return top_k(found, k, digits=DIGITS)

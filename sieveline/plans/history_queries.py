@@ -156,7 +156,8 @@ def region_hits(spark, d):
     return _rounded(top_k(hits, 5), "score")
 
 
-_KM = "2 * 6371.0e0 * asin(least(1.0e0, sqrt(pow(sin(radians({2} - {0}) / 2), 2) + cos(radians({0})) * cos(radians({2})) * pow(sin(radians({3} - {1}) / 2), 2))))"
+_ROOT = "sqrt(pow(sin(radians({2} - {0}) / 2), 2) + cos(radians({0})) * cos(radians({2})) * pow(sin(radians({3} - {1}) / 2), 2))"
+_KM = f"2 * 6371.0e0 * asin(case when {_ROOT} > 1 then 1.0e0 else {_ROOT} end)"
 _PAIRS = f"""{CONTEXTS_SQL}, {ITEMS_SQL}, chosen as (select query_text, search_loc, unnest(item_ids) item_id from contexts),
 pairs as (select query_text, search_loc, item_id, loc item_loc, microcat, lat, lon, {FOLD_SQL} fold from chosen join items using (item_id))"""
 _STATS = "stats as (select loc, median(lat) lat, median(lon) lon, count(*) n_items from items group by 1)"
@@ -206,7 +207,7 @@ from (select distinct search_loc from pairs) p left join (select * from stats wh
 j as (select f.*, coalesce(n, 0) n, coalesce(support, 0) support, coalesce(targets, 0) targets, outside_share, coalesce(share, 0) p from frame f left join counts using (search_loc, item_loc) left join totals using (search_loc) left join share s on s.loc = item_loc)
 select item_loc, search_loc, doc_id, round((n + 10.0e0 * p) / (support + 10.0e0), 6) trans_prob, n trans_pairs, support trans_support, targets trans_targets, (n = 0)::int trans_unknown, case when p > 0 then round(ln(1 + (n + 10.0e0 * p) / (support + 10.0e0) / p), 6) end trans_lift, round(outside_share, 6) trans_outside_share from j"""),
     "geo_fallback": (geo_fallback, f"with {_FALL} select search_loc, doc_id, item_loc, round(dist_km, 6) dist_km, round(hist_dist_km, 6) hist_dist_km, center_source, hist_pairs, round(hist_spread_km, 6) hist_spread_km from fall"),
-    "geo_damping": (geo_damping, f"with {_FALL}, b as (select *, center_source = 1 and (coalesce(hist_spread_km > 75, false) or hist_pairs < 5) bad from fall) select search_loc, doc_id, bad::int geo_unreliable, round(case when bad then -1.0e0 else ln(1 + least(greatest(dist_km, 0), 1000)) end, 6) log_dist_clean from b"),
+    "geo_damping": (geo_damping, f"with {_FALL}, b as (select *, center_source = 1 and (coalesce(hist_spread_km > 75, false) or hist_pairs < 5) bad from fall) select search_loc, doc_id, bad::int geo_unreliable, round(case when bad then -1.0e0 else case when dist_km is not null then ln(1 + least(greatest(dist_km, 0), 1000)) end end, 6) log_dist_clean from b"),
     "crossfit_transitions": (crossfit_transitions, f"""with {_PAIRS}, {_VIEWS}, {_SHARE}, c as (select view_id, search_loc, item_loc, count(*) n from vp group by 1, 2, 3)
 select view_id, search_loc, coalesce(sum(n) filter (where s.loc is not null), 0)::bigint support, count(s.loc) targets, round(sum(case when s.loc is null then n else 0 end) / sum(n)::double, 6) outside_share, max(n) most from c left join share0 s on s.loc = item_loc group by 1, 2"""),
     "text_microcats": (text_microcats, f"with {_PAIRS}, c as (select query_text, microcat, count(*) n from pairs where microcat is not null group by 1, 2) select query_text, microcat, round(n / sum(n) over (partition by query_text), 6) share from c"),
