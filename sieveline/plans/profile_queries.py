@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.functions.text import token_set
-from sieveline.operators import profile
+from sieveline.operators import encode, profile
 from sieveline.plans.retrieval_queries import TOKENS
 from sieveline.plans.text_queries import CONTEXT_KEYS, CONTEXTS_SQL, contexts
 from sieveline.sources.adapter import ITEMS_SQL, LOG_SQL, interactions, items, read
@@ -152,6 +152,14 @@ def fingerprints(spark, d):
     return io.fingerprints(spark, f"{d}/region.parquet")
 
 
+def truncation_share(spark, d):
+    return _rounded(encode.truncation_share(read(spark, d, "documents"), "text", 200), "share")
+
+
+def encode_texts(spark, d):
+    return encode.encode(read(spark, d, "benchmark"), "item_id", "text").select("item_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("embedding"))
+
+
 _PRICED = f"""{ITEMS_SQL}, x as (select item_id k, case when item_id % 17 = 0 then -1.0e0 when item_id % 19 = 0 then 0.0e0 when item_id % 23 = 0 then 1.0e0 else price * 10 end p, case when item_id % 11 = 0 then 5.5e0 else 4.0e0 end r,
   item_id / case when item_id % 13 = 0 then 2.0e0 else 1.0e0 end n, case when item_id % 29 = 0 then 0 else lat end lat, case when item_id % 29 = 0 then 0 else lon end lon, item_id % 3 = 0 hid, item_id % 5 = 0 forb from items)"""
 _CHECKS = {"price_negative": "p < 0", "price_zero": "p = 0", "price_one": "p = 1", "price_over_1_million": "p > 1000000", "rating_outside_0_5": "not (r between 0 and 5)", "reviews_negative": "n < 0", "reviews_fractional": "n <> floor(n)", "latitude_outside_90": "abs(lat) > 90", "longitude_outside_180": "abs(lon) > 180", "zero_coordinates": "lat = 0 and lon = 0", "both_contacts_disabled": "hid and forb"}
@@ -212,4 +220,6 @@ QUERIES = {
 select *, row_number() over (partition by "case" order by query_text, search_loc, item_id) rn from c qualify rn <= 5"""),
     "item_lookup": (item_lookup, f"with {ITEMS_SQL} select item_id, title, params, round(price, 6) price from items where item_id = 42"),
     "fingerprints": (fingerprints, None),
+    "truncation_share": (truncation_share, r"select count(*) n, round(avg((len(list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda w: w <> '')) > 200)::int), 6) as share from documents"),
+    "encode_texts": (encode_texts, None),
 }
