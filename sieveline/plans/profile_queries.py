@@ -220,6 +220,6 @@ QUERIES = {
 select *, row_number() over (partition by "case" order by query_text, search_loc, item_id) rn from c qualify rn <= 5"""),
     "item_lookup": (item_lookup, f"with {ITEMS_SQL} select item_id, title, params, round(price, 6) price from items where item_id = 42"),
     "fingerprints": (fingerprints, None),
-    "truncation_share": (truncation_share, r"select count(*) n, round(avg((len(list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda w: w <> '')) > 200)::int), 6) as share from documents"),
+    "truncation_share": (truncation_share, r"select count(*) n, round(avg((len(list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda w: w <> '')) > 200)::int), 6) as share from documents"),
     "encode_texts": (encode_texts, None),
 }
