@@ -16,7 +16,7 @@ LISTS = {"bm25_global": 60, "bm25_local": 40}
 
 
 def _queries(spark, d) -> DataFrame:
-    return split.sample_queries(contexts(spark, d), N_QUERIES)
+    return split.sample_queries(contexts(spark, d), N_QUERIES).persist()  # a small sample, used by every list
 
 
 def _lists(spark, d, queries: DataFrame, own: DataFrame) -> dict:
@@ -28,7 +28,7 @@ def _lists(spark, d, queries: DataFrame, own: DataFrame) -> dict:
 
 def frame(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Features of the candidates of a sample of queries, the queries, and the items."""
-    queries, own = _queries(spark, d), items(spark, d)
+    queries, own = _queries(spark, d), items(spark, d).persist()
     pool = fusion.candidate_pool(_lists(spark, d, queries, own))
     return features.build_features(pool, queries, own, geo.location_stats(own)), queries, own
 

@@ -13,7 +13,8 @@ CONTEXT_KEYS = ["query_text", "search_loc", "filters", "category"]
 
 
 def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split.build_contexts(interactions(spark, sf_dir), CONTEXT_KEYS)
+    """Contexts of the log; persisted, as most queries on them use them more than once."""
+    return split.build_contexts(interactions(spark, sf_dir), CONTEXT_KEYS).persist()
 
 
 def hash_sql(value: str, seed: str = split.SEED) -> str:
