@@ -120,7 +120,8 @@ class Benchmark:
         w = template(pa.array([t or "" for t in texts], pa.string()))
         self.ids, self.first = ids, np.cumsum(w.counts) - w.counts
         self.n = np.maximum(w.counts - WINDOW + 1, 0)
-        self.slots = [w.core[c] for c in w.codes.tolist()]
+        self.words = [w.core[c] for c in w.codes.tolist()]
+        self.slot = ((w.kind[w.codes] > 0) | named(w)).tolist()
         start, forms = windows(w)
         keys = np.concatenate([k[ok] for k, ok in forms]) if len(start) else np.zeros(0, np.uint64)
         at = np.concatenate([start[ok] for _, ok in forms]) if len(start) else np.zeros(0, np.int64)
@@ -167,7 +168,9 @@ def findings(text: pa.Array, bench: Benchmark, similarity: float = SIMILARITY) -
         covered, replaced = set(), False
         for d, at in diagonals.items():
             words = sorted({p + k for p in at for k in range(WINDOW)})
-            pairs = [(bench.slots[p], w.core[w.codes[p + d]]) for p in words]
+            both = [(bench.slot[p], bench.words[p], w.core[w.codes[p + d]]) for p in words]
+            # ordinary words that stay the same are no slots, whatever a name beside them is replaced by
+            pairs = [(a, b) for slot, a, b in both if slot or a != b]
             if _consistent(pairs):
                 covered |= at
                 replaced |= any(a != b for a, b in pairs)

@@ -33,7 +33,7 @@ def test_language_filter(spark):
     model = langfilter.fit(docs.where("doc_id < 45").select("text", "lang"))
     assert model.languages == ["aa", "bb", "cc"]
     got = langfilter.predict(docs, model)
-    assert sorted(got.columns) == sorted(docs.columns)  # clashing columns are replaced
+    assert sorted(got.columns) == sorted({*docs.columns, "lang_score"})  # a clashing column is replaced
     by_id = {r["doc_id"]: r for r in got.collect()}
     assert all(by_id[i]["lang_pred"] == lang for i, _, lang in rows[:60])
     assert by_id[None]["lang_pred"] == "aa" and by_id[102]["lang_pred"] == "cc"

@@ -82,6 +82,9 @@ def test_token_files(spark, extra):
         start += len(ids)
     ends = sum(_ids(BYTE, t).count(0) + 1 for _, t in rows)
     assert sum(r["n"] for r in wavelet.count_token(spark, path, 0).collect()) == ends
+    token = _ids(BYTE, "long")[0]
+    found = sorted(((r["doc_id"], r["position"]) for r in wavelet.find_token(spark, path, token).collect()), key=str)
+    assert found == sorted(((i, k) for i, t in rows for k, x in enumerate(_ids(BYTE, t)) if x == token), key=str)
 
 
 def test_token_files_of_an_empty_table(spark):
