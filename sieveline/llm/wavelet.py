@@ -290,7 +290,9 @@ _ARROW = pa.schema(
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, block_ids: int = BLOCK_IDS) -> None:
     """Encode ``docs`` (doc_id, text) and write one wavelet-matrix file for each range of ids."""
     common.tune(docs.sparkSession)
-    dealt = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    # many rows with one id, or without one, are dealt on by the hash of their text
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    dealt = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(*order).sortWithinPartitions(*order)
     dealt.mapInArrow(lambda it: _blocks(it, tokenizer, end_id, block_ids), _SCHEMA).write.option("compression", "none").parquet(path)
 
 
@@ -339,3 +341,18 @@ def count_token(spark: SparkSession, path: str, token: int) -> DataFrame:
             yield pa.RecordBatch.from_pylist([{"shard": r["shard"], "n": open_block(r)[3].count(token)} for r in rows], schema=pa.schema([("shard", pa.int32()), ("n", pa.int64())]))
 
     return spark.read.schema(_SCHEMA).parquet(path).mapInArrow(counts, "shard int, n long").groupBy("shard").agg(F.sum("n").alias("n"))
+
+
+def find_token(spark: SparkSession, path: str, token: int) -> DataFrame:
+    """doc_id and position (in the document, from 0) of every occurrence of an id, from select queries alone."""
+
+    def places(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                doc_ids, nulls, lengths, matrix = open_block(batch.slice(i, 1).to_pylist()[0])
+                at = np.array(matrix.occurrences(token), np.int64)
+                ends = np.cumsum(lengths)
+                doc = np.searchsorted(ends, at, "right")
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids[doc], mask=nulls[doc]), pa.array(at - (ends - lengths)[doc])], names=["doc_id", "position"])
+
+    return spark.read.schema(_SCHEMA).parquet(path).mapInArrow(places, "doc_id long, position long")
