@@ -6,7 +6,7 @@ written with Unicode properties; the same patterns work in other SQL engines.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = r"[\s\p{Z}\x{85}]+"
@@ -54,6 +54,22 @@ def token_set(text: Column) -> Column:
     return F.array_distinct(tokens(text))
 
 
+def term_counts(docs: DataFrame, key: Column, text: Column, name: str) -> DataFrame:
+    """``name`` (the key), dl (words), term and tf of each distinct word of each text, counted where the text stands.
+
+    Sorting a text's words and measuring the runs needs no shuffle, unlike grouping exploded words.
+    Each step is a projection of its own, as an array that a lambda refers to is else made anew for
+    every element.
+    """
+    words = docs.select(key.alias(name), F.array_sort(tokens(text)).alias("_w")).where(F.size("_w") > 0)
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("_w", 1, F.size("_w") - 1))
+    pairs = words.select(name, F.size("_w").cast("long").alias("dl"), F.zip_with("_w", before, lambda w, b: F.struct(w.alias("w"), w.eqNullSafe(b).alias("same"))).alias("_p"))
+    placed = pairs.select(name, "dl", F.transform("_p", lambda p, i: F.struct(p["w"].alias("w"), F.when(~p["same"], i).alias("i"))).alias("_p"))
+    starts = placed.select(name, "dl", F.filter("_p", lambda p: p["i"].isNotNull()).alias("_s"))
+    after = F.concat(F.slice(F.transform("_s", lambda p: p["i"].cast("long")), 2, F.size("_s")), F.array(F.col("dl")))
+    return starts.select(name, "dl", F.inline(F.zip_with("_s", after, lambda s, n: F.struct(s["w"].alias("term"), (n - s["i"]).alias("tf")))))
+
+
 def overlap(query: Column, item: Column) -> Column:
     """Share of the query's distinct tokens that the item has; 0 for an empty query."""
     return F.when(F.size(query) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(query, item)) / F.size(query))
