@@ -186,7 +186,9 @@ def _prefixes(rest: DataFrame, involved: DataFrame, size: int, similarity: float
     rarest = Window.partitionBy("id").orderBy(F.coalesce("n", F.lit(1)), "element")
     placed = elements.join(frequency, "element", "left").withColumn("at", F.row_number().over(rarest))
     least = F.ceil(F.round(F.col("total") * similarity, 6))
-    return common.table(placed.where((F.col("at") <= F.col("total") - least + 1) & F.col("n").isNotNull()).select("id", "total", "element", "at"), "prefix")
+    prefix = common.table(placed.where((F.col("at") <= F.col("total") - least + 1) & F.col("n").isNotNull()).select("id", "total", "element", "at"), "prefix")
+    common.drop_tables(elements)
+    return prefix
 
 
 def _prefix_pairs(left: DataFrame, right: DataFrame, similarity: float) -> DataFrame:
@@ -212,22 +214,27 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE
     ids = members.select(F.col("id").alias("doc_id")).distinct()
     involved = common.table(source.join(ids, "doc_id").select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"]), "involved")
     tried = common.table(members.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct(), "pairs")
-    found = components.components(common.table(_verified(tried, involved, size, similarity), "links"))
+    links = common.table(_verified(tried, involved, size, similarity), "links")
+    found = components.components(links)
     # buckets whose members, but for the leader that met them all, are in more than one class
     labelled = members.where("id <> leader").join(found, "id", "left").select("key", "id", F.coalesce("class_id", "id").alias("class_id"))
     several = labelled.groupBy("key").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low < high").select("key")
     # they are settled by prefixes: against one document of each element, which merges most
     # classes, then by all pairs that may be similar and are in different classes
     prefix = _prefixes(labelled.join(several, "key").select("id").distinct(), involved, size, similarity)
+    done = [members, links, involved, prefix, tried]
     for against in ("element", None):
         rows = prefix.join(found, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
         first = F.min(F.struct("at", "total", "id", "class_id")).alias("f")
         partners = rows.groupBy(against).agg(first).select(against, "f.*") if against else rows
         pairs = common.table(_prefix_pairs(rows, partners, similarity).join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.unionByName(pairs)
+        done.append(pairs)
         new = common.table(_verified(pairs, involved, size, similarity), "links")
         if not new.isEmpty():
             found = components.components(new, found)
+        done.append(new)
+    common.drop_tables(*done)
     by_content = copies.join(found, "id", "left").select("c1", "c2", F.coalesce("class_id", "id").alias("class_id"))
     return signed.join(by_content, ["c1", "c2"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), "c1", "c2")
 

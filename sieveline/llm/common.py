@@ -47,19 +47,24 @@ def table(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
 
 
-def drop_table(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files behind a table made by :func:`table` that nothing will read again."""
-    jvm = spark.sparkContext._jvm
-    for f in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(f).getParent()
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+def drop_tables(*tables: DataFrame) -> None:
+    """Delete the files of tables made by :func:`table` that nothing will read again."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.shared_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut record batches into runs of rows whose texts hold at most ``limit`` bytes together."""
+    """Cut record batches into runs of rows whose texts hold at most ``limit`` bytes together.
+
+    Memory that the last run needed goes back to the system before the next one is made.
+    """
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -71,6 +76,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             before = ends[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(start, stop - start)
+            release()
             start = stop
 
 

@@ -31,7 +31,7 @@ def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
         after = common.table(small, "edges")
         state = after.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if before is not None:
-            common.drop_table(after.sparkSession, edges)
+            common.drop_tables(edges)
         edges = after
         if state == before:
             break
