@@ -41,7 +41,7 @@ from sieveline.llm import common
 RATE = 2.0**-18
 DISCOUNT = 0.5
 BATCH_BYTES = 8 << 20
-RANGE_WORDS = 1 << 21
+RANGE_WORDS = 1 << 18
 #: Arcs that a worker remembers with their failures resolved.
 MEMO = 1 << 17
 _SHIFT = 24
