@@ -63,3 +63,15 @@ def predict_gbt(model, frame: DataFrame, features: list[str], trees: int | None
 def importances(model, features: list[str]) -> list[tuple[str, float]]:
     found = model.stages[-1].featureImportances.toArray().tolist()
     return sorted(zip(features, found, strict=True), key=lambda x: (-x[1], x[0]))
+
+
+def recall_curve(model, frame: DataFrame, queries: DataFrame, features: list[str], trees: list[int], k: int = TOP_K) -> DataFrame:
+    """trees and mean recall at k over all of ``queries`` (query_id, item_ids), pool misses and empty pools included."""
+    from sieveline.operators.evaluation import recall_at_k
+
+    out = None
+    for t in trees:
+        best = select_top(predict_gbt(model, frame, features, t), queries, k)
+        one = queries.join(best, "query_id").agg(F.lit(t).alias("trees"), F.avg(recall_at_k(F.col("doc_ids"), F.col("item_ids"), k)).alias("recall"))
+        out = one if out is None else out.unionByName(one)
+    return out
