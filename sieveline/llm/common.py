@@ -63,7 +63,7 @@ def drop_tables(*tables: DataFrame) -> None:
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches into runs of rows whose texts hold at most ``limit`` bytes together.
 
-    Memory that the last run needed goes back to the system before the next one is made.
+    Memory that the runs needed goes back to the system after the last one.
     """
     for batch in batches:
         n = batch.num_rows
@@ -76,8 +76,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             before = ends[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(start, stop - start)
-            release()
             start = stop
+    release()
 
 
 _trim: list = []

@@ -152,7 +152,7 @@ class CachedEncoder:
         vocab = self.tokenizer.get_vocab()
         self.begins = np.zeros(max(vocab.values()) + 1, bool)
         self.begins[[i for t, i in vocab.items() if t[0] == "\u0120"]] = True
-        self.index: dict[str, int] = {}
+        self.known = pa.array([], pa.string())
         self.starts, self.lengths, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _encode(self, pieces: list[str]) -> list[np.ndarray]:
@@ -163,8 +163,12 @@ class CachedEncoder:
         """Ids of the pieces in order, and how many each has."""
         odd = pc.or_(pc.invert(pc.starts_with(pieces, " ")), pc.match_substring_regex(pieces, f"^ {self.SPACE}|{self.SPACE}$")).to_numpy(zero_copy_only=False)
         counts = np.zeros(len(pieces), np.int64)
-        plain = pieces.filter(pa.array(~odd)).to_pylist()
-        rows = self._encode(["".join(plain[k : k + self.ROW]) for k in range(0, len(plain), self.ROW)])
+        # the texts of a filtered array follow each other in one buffer
+        plain = pieces.filter(pa.array(~odd))
+        _, ends, data = plain.buffers()
+        cuts = np.frombuffer(ends, np.int32)[plain.offset : plain.offset + len(plain) + 1] if len(plain) else np.zeros(1, np.int32)
+        cuts = np.append(cuts[: len(plain) : self.ROW], cuts[-1]).tolist()
+        rows = self._encode([str(data[a:b].to_pybytes(), "utf-8") for a, b in itertools.pairwise(cuts)])
         flat = np.concatenate(rows) if rows else np.zeros(0, np.uint32)
         counts[~odd] = np.diff(np.append(np.flatnonzero(self.begins[flat]), len(flat)))
         if not odd.any():
@@ -200,7 +204,7 @@ class CachedEncoder:
         remap[heads + size] = size + np.arange(len(heads))
         codes = remap.take(codes)
         pieces = pa.concat_arrays([pc.binary_join_element_wise("", distinct, " "), distinct.take(pa.array(heads))])
-        found = np.fromiter(map(self.index.get, pieces.to_pylist(), itertools.repeat(-1)), np.int64, len(pieces))
+        found = pc.fill_null(pc.index_in(pieces, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         new = found < 0
         fresh = pieces.filter(pa.array(new))
         ids, counts = self._encode_distinct(fresh)
@@ -208,9 +212,9 @@ class CachedEncoder:
         starts[~new], lengths[~new] = self.starts[found[~new]], self.lengths[found[~new]]
         starts[new], lengths[new] = len(self.pool) + np.cumsum(counts) - counts, counts
         pool = np.concatenate([self.pool, ids])
-        if (room := self.KEEP - len(self.index)) > 0:
-            kept = fresh[:room].to_pylist()
-            self.index.update(zip(kept, range(len(self.index), len(self.index) + len(kept)), strict=True))
+        if (room := self.KEEP - len(self.known)) > 0:
+            kept = fresh[:room]
+            self.known = pa.concat_arrays([self.known, kept])
             n = int(counts[: len(kept)].sum())
             self.starts = np.concatenate([self.starts, len(self.pool) + (np.cumsum(counts) - counts)[: len(kept)]])
             self.lengths = np.concatenate([self.lengths, counts[: len(kept)]])
