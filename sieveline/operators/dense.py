@@ -20,12 +20,6 @@ BLOCK = 4096
 DIGITS = 9
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Columns of each row's k best scores, equal ones by id."""
-    order = np.lexsort((np.broadcast_to(ids, scores.shape), -np.round(scores, DIGITS)), axis=1)
-    return order[:, :k]
-
-
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(-1, width)
 

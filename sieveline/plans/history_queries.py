@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.operators import dense, geo, history, microcats, signals, split
+from sieveline.operators import dense, geo, history, microcats, signals
 from sieveline.plans.text_queries import CONTEXTS_SQL, FOLD_SQL, contexts
 from sieveline.sources.adapter import ITEMS_SQL, items, read
 
