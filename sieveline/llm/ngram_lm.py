@@ -2,20 +2,22 @@
 
 Counting. A pass over the texts writes them as batches of word codes, each with its distinct word
 hashes and their counts in training texts; texts are neither shuffled nor split into words again.
-Each batch sends its words, cut into ranges of the hash, to one group for each range, which adds
-them up over all batches and sends the totals back; so every batch gets the exact count of each of
-its words, and no task holds more than a range or a batch. Words are told apart by 64-bit hashes.
-
-The automaton. A word or n-gram is kept when its count is at least ``max(2, RATE x N)``. As an
-n-gram is no more frequent than its parts, longer ones are counted exactly among kept parts only,
-and at most ``1 / RATE`` of each length can be kept whatever the corpus, which bounds what is
-collected and broadcast. Kept n-grams become states. An arc for a kept n-gram has its
-absolutely discounted probability; a failure arc leads to the longest shorter context and weighs
-what is left, so the probabilities after every context add up to one. The empty context has the
-add-one unigram distribution over all words, rare and unseen ones included.
-
-Scoring is one traversal of each text from left to right, from the state of a text's start to
-its end token, which carries the state and adds up log10 probabilities.
+Each batch sends its distinct words, pairs and triples, cut into ranges of the hash, to one group
+for each range, which adds them up over all batches and sends the totals back; so every batch gets
+the exact count of each of its n-grams, and no task holds more than a range or a batch. Words and
+n-grams are told apart by 64-bit hashes.
+
+The automaton. An n-gram is kept when it occurs at least ``LEAST`` times in training texts,
+whatever the size of the corpus, and nothing bounds how many are kept. An arc for a kept n-gram
+has its absolutely discounted probability; a failure arc leads to the longest shorter context and
+weighs what is left, so the probabilities after every context add up to one. The empty context has
+the add-one unigram distribution over all words, rare and unseen ones included. What a failure arc
+weighs is a ratio of sums over all kept n-grams that begin with its context. One batch owns each
+n-gram and adds it to its context; ranges of contexts add the batches' parts up and send them back.
+So each batch has the arcs that its own texts pass, and the automaton is never in one place.
+
+Scoring goes through each text from left to right, from the state of a text's start to its end
+token, and adds up the log10 probabilities of the arcs and failures on the way.
 
 Defined results: a null text is an empty one and has just the end token; without training texts
 all counts are 0 and every token has probability 1; a null doc_id is held out (it teaches
@@ -26,25 +28,25 @@ and text are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm import common
 
-#: Share of all tokens that a kept n-gram must have.
-RATE = 2.0**-18
+#: Occurrences in training texts that a kept n-gram must have.
+LEAST = 2
 DISCOUNT = 0.5
 BATCH_BYTES = 8 << 20
-RANGE_WORDS = 1 << 18
-#: Arcs that a worker remembers with their failures resolved.
-MEMO = 1 << 17
-_SHIFT = 24
+#: Words of all texts for each range of n-gram hashes.
+RANGE_WORDS = 1 << 20
+END = np.uint64(xxhash.xxh3_64_intdigest("\x01end"))
 
 
 def tokens(text: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
@@ -54,59 +56,6 @@ def tokens(text: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray
     return codes, distinct, common.string_hashes(distinct), counts
 
 
-@dataclass
-class Automaton:
-    """``ids`` numbers the kept word hashes (ascending) from 1; 0 is the end token.
-
-    ``arcs`` maps (state << 24 | word) to (log10 probability, next state); ``bow`` and ``fail`` are
-    a state's failure arc, and ``drop`` the weight of falling all the way to the empty state 0.
-    """
-
-    hashes: np.ndarray
-    arcs: dict[int, tuple[float, int]]
-    bow: list[float]
-    fail: list[int]
-    drop: list[float]
-    start: int
-    train_tokens: int
-    vocabulary: int
-    ends: int
-    memo: dict[int, tuple[float, int]] = field(default_factory=dict)
-
-    @property
-    def scale(self) -> float:
-        return float(self.train_tokens + self.vocabulary + 1)
-
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        """Numbers of words by hash, -1 for words that aren't kept."""
-        if not len(self.hashes):
-            return np.full(len(hashes), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at + 1, -1)
-
-    def traverse(self, words: list[int]) -> float:
-        """Log10 probability of the kept words among ``words`` and of the failures on the way."""
-        total, state, arcs, memo, bow, fail, drop = 0.0, self.start, self.arcs, self.memo, self.bow, self.fail, self.drop
-        for w in words:
-            if w < 0:
-                total += drop[state]
-                state = 0
-                continue
-            key = state << _SHIFT | w
-            hit = memo.get(key)
-            if hit is None:
-                weight, at = 0.0, state
-                while (found := arcs.get(at << _SHIFT | w)) is None:
-                    weight += bow[at]
-                    at = fail[at]
-                hit = (weight + found[0], found[1])
-                if len(memo) < MEMO:
-                    memo[key] = hit
-            total += hit[0]
-            state = hit[1]
-        return total
-
-
 def _sequence(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """All texts' words in order, each text between two end tokens (0), with -2 between texts."""
     n = counts + 3
@@ -120,80 +69,45 @@ def _sequence(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _index(table: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Position of each value in an ascending table, -1 if it isn't there."""
-    if not len(table):
-        return np.full(len(values), -1, np.int64)
-    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
-    return np.where(table[at] == values, at, -1)
+@dataclass
+class Ngrams:
+    """The n-grams of a batch; words are numbered from 1 in the order of their hashes, 0 is the end token.
 
+    ``pair_at`` and ``triple_at`` number the pair and the triple that start at each place of the sequence
+    (-1: none). ``first`` and ``second`` are a pair's words; ``head`` and ``tail`` a triple's pairs.
+    """
 
-def kept_pairs(seq: np.ndarray) -> np.ndarray:
-    """Code of the pair that starts at each position, -1 where a part isn't kept."""
-    a, b = seq[:-1], seq[1:]
-    return np.where((a >= 0) & (b >= 0), a << _SHIFT | b, -1)
+    words: np.ndarray
+    seq: np.ndarray
+    pair_at: np.ndarray
+    first: np.ndarray
+    second: np.ndarray
+    pairs: np.ndarray
+    triple_at: np.ndarray
+    head: np.ndarray
+    tail: np.ndarray
+    triples: np.ndarray
 
 
-def _grams(batches: Iterator[pa.RecordBatch], hashes: np.ndarray, pairs: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    lookup = Automaton(hashes, {}, [], [], [], 0, 0, 0, 0)
-    for batch in batches:
-        for row in _rows(batch):
-            codes, counts = _array(row["codes"], "<u4"), _array(row["lengths"], "<i8")
-            learnt = ~_array(row["held_out"], "?")
-            ids = lookup.ids(_array(row["hashes"], "<u8"))[codes[np.repeat(learnt, counts)]]
-            seq = _sequence(ids, counts[learnt])
-            code = kept_pairs(seq)
-            if pairs is not None:
-                at = _index(pairs, code)
-                first, second = at[:-1], at[1:]
-                code = np.where((first >= 0) & (second >= 0), first << _SHIFT | seq[2:], -1)
-            gram, n = np.unique(code[code >= 0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n)], names=["gram", "n"])
-            common.release()
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return common.mix(left * np.uint64(0x9E3779B97F4A7C15) + right)
+
+
+def _numbered(codes: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The number of each place's code among the distinct ones (-1 where not ``ok``), their values and first places."""
+    at = np.full(len(codes), -1, np.int64)
+    values, place, at[ok] = np.unique(codes[ok], return_index=True, return_inverse=True)
+    return at, values, np.flatnonzero(ok)[place]
 
 
-def _kept(encoded: DataFrame, hashes: np.ndarray, pairs: np.ndarray | None, least: int) -> tuple[np.ndarray, np.ndarray]:
-    held = encoded.sparkSession.sparkContext.broadcast((hashes, pairs))
-    counted = encoded.select("held_out", "lengths", "codes", "hashes").mapInArrow(lambda it: _grams(it, *held.value), "gram long, n long")
-    got = counted.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow().sort_by("gram")
-    return got["gram"].to_numpy(), got["n"].to_numpy()
-
-
-def build(hashes: np.ndarray, counts: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], triples: tuple[np.ndarray, np.ndarray], train_tokens: int, vocabulary: int, ends: int) -> Automaton:
-    """The automaton of kept words, pairs (a << 24 | b) and triples (pair's position << 24 | c)."""
-    scale, log10 = train_tokens + vocabulary + 1, np.log10
-    uses = np.concatenate([[ends], counts]).astype(np.float64)
-    p1 = (uses + 1) / scale
-    mask = (1 << _SHIFT) - 1
-    pa_, pb = pairs[0] >> _SHIFT, pairs[0] & mask
-    p2 = (pairs[1] - DISCOUNT) / uses[pa_]
-    tp, tc = triples[0] >> _SHIFT, triples[0] & mask
-    p3 = (triples[1] - DISCOUNT) / pairs[1][tp]
-    p3_low = p2[_index(pairs[0], pb[tp] << _SHIFT | tc)] if len(tp) else p3
-    # states: 0, then words that begin kept pairs, then pairs that begin kept triples
-    word_state = np.zeros(len(uses), np.int64)
-    begins = np.unique(pa_)
-    word_state[begins] = 1 + np.arange(len(begins))
-    pair_state, long = np.zeros(len(pairs[0]), np.int64), np.unique(tp)
-    pair_state[long] = 1 + len(begins) + np.arange(len(long))
-    n = 1 + len(begins) + len(long)
-    left, low = np.ones(n), np.ones(n)
-    np.subtract.at(left, word_state[pa_], p2)
-    np.subtract.at(low, word_state[pa_], p1[pb])
-    np.subtract.at(left, pair_state[tp], p3)
-    np.subtract.at(low, pair_state[tp], p3_low)
-    bow = log10(np.maximum(left, 1e-12) / np.maximum(low, 1e-12))
-    fail = np.zeros(n, np.int64)
-    fail[pair_state[long]] = word_state[pb[long]]
-    bow[0] = 0.0
-    drop = bow + np.where(fail > 0, bow[fail], 0.0)
-    arcs = {w: (float(p), int(s)) for w, (p, s) in enumerate(zip(log10(p1).tolist(), word_state.tolist(), strict=True))}
-    after = np.where(pair_state > 0, pair_state, word_state[pb])
-    arcs.update(zip((word_state[pa_] << _SHIFT | pb).tolist(), zip(log10(p2).tolist(), after.tolist(), strict=True), strict=True))
-    if len(tp):
-        second = _index(pairs[0], pb[tp] << _SHIFT | tc)
-        arcs.update(zip((pair_state[tp] << _SHIFT | tc).tolist(), zip(log10(p3).tolist(), after[second].tolist(), strict=True), strict=True))
-    return Automaton(hashes, arcs, bow.tolist(), fail.tolist(), drop.tolist(), int(word_state[0]), train_tokens, vocabulary, ends)
+def ngrams(codes: np.ndarray, hashes: np.ndarray, lengths: np.ndarray) -> Ngrams:
+    seq, n, words = _sequence(codes.astype(np.int64) + 1, lengths), len(hashes) + 1, np.concatenate([[END], hashes])
+    pair_at, pair, _ = _numbered(seq[:-1] * n + seq[1:], (seq[:-1] >= 0) & (seq[1:] >= 0))
+    first, second = pair // n, pair % n
+    pairs = _joined(words[first], words[second])
+    triple_at, triple, place = _numbered(pair_at[:-1] * n + seq[2:], (pair_at[:-1] >= 0) & (pair_at[1:] >= 0))
+    head, tail = triple // n, pair_at[place + 1]
+    return Ngrams(words, seq, pair_at, first, second, pairs, triple_at, head, tail, _joined(pairs[head], words[triple % n]))
 
 
 def _blob(x: np.ndarray) -> bytes:
@@ -217,7 +131,7 @@ def _fields(ddl: str) -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (f.split(" ") for f in ddl.split(", "))])
 
 
-_ENCODED = "batch long, n_words int, n_tokens long, n_train long, doc_ids binary, id_nulls binary, held_out binary, lengths binary, codes binary, hashes binary, counts binary"
+_ENCODED = "batch long, n_words long, n_tokens long, n_train long, doc_ids binary, id_nulls binary, held_out binary, lengths binary, codes binary, hashes binary, counts binary"
 
 
 def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +147,7 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learnt = ~held
         uses = np.bincount(codes[np.repeat(learnt, counts)], minlength=len(h)).astype("<u4")
         row = {
-            "batch": name, "n_words": len(h), "n_tokens": int(uses.sum()), "n_train": int(learnt.sum()),
+            "batch": name, "n_words": len(codes) + len(counts), "n_tokens": int(uses.sum()), "n_train": int(learnt.sum()),
             "doc_ids": _blob(pc.fill_null(doc_id, 0).to_numpy(zero_copy_only=False).astype("<i8")), "id_nulls": _blob(doc_id.is_null().to_numpy(zero_copy_only=False)),
             "held_out": _blob(held), "lengths": _blob(counts.astype("<i8")), "codes": _blob(codes), "hashes": _blob(h), "counts": _blob(uses),
         }
@@ -242,61 +156,185 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.release()
 
 
-_WORDS = "batch long, part int, hashes binary, counts binary"
+_PARTS = "batch long, part int, hashes binary, a binary, b binary"
+
+
+def _cuts(h: np.ndarray, parts: int) -> list[int]:
+    return np.searchsorted((h >> np.uint64(32)).astype(np.int64) * parts >> 32, np.arange(parts + 1)).tolist()
+
 
+def _part_rows(batch: int, kind: int, parts: int, h: np.ndarray, a: np.ndarray, b: np.ndarray | None = None) -> pa.RecordBatch:
+    """Rows for the ranges of ascending hashes and the values that go with them."""
+    cuts = _cuts(h, parts)
+    rows = [
+        {"batch": batch, "part": kind * parts + r, "hashes": _blob(np.diff(h[i:j], prepend=np.uint64(0))), "a": _blob(a[i:j]), "b": None if b is None else _blob(b[i:j])}
+        for r, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if i < j
+    ]
+    return pa.RecordBatch.from_pylist(rows, schema=_fields(_PARTS))
 
-def _ranges(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """The words of each batch and their counts, cut into ranges of the hash."""
+
+def _ngram_parts(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """The words (kind 0), pairs (1) and triples (2) of each batch and their counts in training texts."""
     for batch in batches:
         for row in _rows(batch):
-            h, n = _array(row["hashes"], "<u8"), _array(row["counts"], "<u4")
-            cuts = np.searchsorted((h >> np.uint64(32)).astype(np.int64) * parts >> 32, np.arange(parts + 1)).tolist()
-            rows = [{"batch": row["batch"], "part": r, "hashes": _blob(h[a:b]), "counts": _blob(n[a:b])} for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
-            yield pa.RecordBatch.from_pylist(rows, schema=_fields(_WORDS))
+            lengths = _array(row["lengths"], "<i8")
+            g = ngrams(_array(row["codes"], "<u4"), _array(row["hashes"], "<u8"), lengths)
+            learnt = np.repeat(~_array(row["held_out"], "?"), lengths + 3)
+            yield _part_rows(row["batch"], 0, parts, g.words[1:], _array(row["counts"], "<u4"))
+            for kind, h, at in ((1, g.pairs, g.pair_at), (2, g.triples, g.triple_at)):
+                n = np.bincount(at[(at >= 0) & learnt[: len(at)]], minlength=len(h)).astype("<u4")
+                order = np.argsort(h)
+                yield _part_rows(row["batch"], kind, parts, h[order], n[order])
+            common.release()
 
 
-_TOTALS = "batch long, part int, hashes binary, totals binary, n_known long"
+_TOTALS = "batch long, part int, a binary, b binary, n_known long"
 
 
-def _range_totals(group: pa.Table, least: int) -> pa.Table:
-    """Totals of a range's words for each batch; a row of batch -1 has the known words' number and the kept ones."""
-    each = [_array(b, "<u8") for b in group["hashes"].to_pylist()]
-    h, at = np.unique(np.concatenate(each), return_inverse=True)
-    n = np.bincount(at, weights=np.concatenate([_array(b, "<u4") for b in group["counts"].to_pylist()]), minlength=len(h)).astype("<i8")
-    part = group["part"][0].as_py()
+def _distinct(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """The distinct hashes of a range, their first places, each place's number, and the batches' runs."""
+    each = [np.cumsum(_array(b, "<u8"), dtype=np.uint64) for b in group["hashes"].to_pylist()]
+    h, first, at = np.unique(np.concatenate(each), return_index=True, return_inverse=True)
     ends = np.cumsum([len(x) for x in each]).tolist()
-    rows = [{"batch": b, "part": part, "hashes": None, "totals": _blob(n[at[e - len(x) : e]]), "n_known": 0} for b, x, e in zip(group["batch"].to_pylist(), each, ends, strict=True)]
-    keep = n >= least
-    rows.append({"batch": -1, "part": part, "hashes": _blob(h[keep]), "totals": _blob(n[keep]), "n_known": int((n > 0).sum())})
+    return h, first, at, [(b, e - len(x), e) for b, x, e in zip(group["batch"].to_pylist(), each, ends, strict=True)]
+
+
+def _sums(blobs: pa.ChunkedArray, kind: str, at: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(at, weights=np.concatenate([_array(b, kind) for b in blobs.to_pylist()]), minlength=n).astype("<i8")
+
+
+def _range_totals(group: pa.Table, parts: int) -> pa.Table:
+    """Totals of a range's n-grams for each batch, twice the count and one more for the batch that owns the n-gram.
+
+    A row of batch -1 has the number of known words.
+    """
+    h, first, at, runs = _distinct(group)
+    n, part = _sums(group["a"], "<u4", at, len(h)), group["part"][0].as_py()
+    out = 2 * n[at]
+    out[first] += 1
+    rows = [{"batch": b, "part": part, "a": _blob(out[i:j]), "b": None, "n_known": 0} for b, i, j in runs]
+    rows.append({"batch": -1, "part": part, "a": None, "b": None, "n_known": int((n > 0).sum()) if part < parts else 0})
+    common.release()
+    return pa.Table.from_pylist(rows, schema=_fields(_TOTALS))
+
+
+def _context_totals(group: pa.Table) -> pa.Table:
+    """Both sums of a range's contexts for each batch."""
+    h, _, at, runs = _distinct(group)
+    a, b = (_sums(group[c], "<i8", at, len(h))[at] for c in ("a", "b"))
+    part = group["part"][0].as_py()
+    rows = [{"batch": k, "part": part, "a": _blob(a[i:j]), "b": _blob(b[i:j]), "n_known": 0} for k, i, j in runs]
     common.release()
     return pa.Table.from_pylist(rows, schema=_fields(_TOTALS))
 
 
+def _by_kind(totals: pa.Table, column: str, parts: int, kinds: int) -> list[np.ndarray]:
+    """What came back for a batch, of each kind in the order in which it was sent."""
+    got: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(kinds)]
+    for r in totals.select(["part", column]).sort_by("part").to_pylist():
+        got[r["part"] // parts].append(_array(r[column], "<i8"))
+    return [np.concatenate(x) for x in got]
+
+
+_DOCS = "doc_ids binary, id_nulls binary, held_out binary, n_tokens binary, n_known binary, base binary, known binary, n_refs binary, refs binary"
+_PLANNED = f"batch long, {_DOCS}, {', '.join(f'{c}{k} binary' for k in '01' for c in ('hashes', 'above', 'below', 'uses', 'base_uses'))}"
+
+
+def _planned(batch: pa.Table, totals: pa.Table, parts: int, ends: int, scale: float, least: int) -> pa.Table:
+    """Texts with the sums of their arcs and the contexts that they fall from, and the batch's parts of contexts' sums.
+
+    A context's sums are twice the discounted counts of the kept n-grams that begin with it (above) and
+    what their words have in the shorter context (below): count + 1 for words, twice the discounted count for pairs.
+    """
+    out, got = [], _by_kind(totals, "a", parts, 3)
+    for row in batch.to_pylist():
+        lengths, held = _array(row["lengths"], "<i8"), _array(row["held_out"], "?")
+        g = ngrams(_array(row["codes"], "<u4"), _array(row["hashes"], "<u8"), lengths)
+        c1 = np.concatenate([[ends], got[0] >> 1])
+        c2, c3, own2, own3 = (np.empty(len(x), np.int64) for x in (g.pairs, g.triples, g.pairs, g.triples))
+        for h, c, own, back in ((g.pairs, c2, own2, got[1]), (g.triples, c3, own3, got[2])):
+            order = np.argsort(h)
+            c[order], own[order] = back >> 1, back & 1
+        kept1, kept2, kept3 = (c >= least for c in (c1, c2, c3))
+        kept1[0] = True
+        # contexts' sums over the n-grams that this batch owns
+        mine2, mine3 = np.flatnonzero(kept2 & (own2 > 0)), np.flatnonzero(kept3 & (own3 > 0))
+        add = lambda at, v, n: np.bincount(at, weights=v, minlength=n).astype("<i8")
+        above = [add(g.first[mine2], 2 * c2[mine2] - 1, len(c1)), add(g.head[mine3], 2 * c3[mine3] - 1, len(c2))]
+        below = [add(g.first[mine2], c1[g.second[mine2]] + 1, len(c1)), add(g.head[mine3], 2 * c2[g.tail[mine3]] - 1, len(c2))]
+        # every token: its pair, the triple that ends with it (-1 for a text's first token), its word
+        place = np.flatnonzero(g.pair_at >= 0)
+        pair, word = g.pair_at[place], g.seq[place + 1]
+        triple = np.concatenate([[-1], g.triple_at])[place]
+        head = np.where(triple >= 0, g.head[triple], -1) if len(c3) else np.full(len(place), -1)
+        by3 = (triple >= 0) & (kept3[triple] if len(c3) else False)
+        by2 = ~by3 & kept2[pair]
+        by1 = ~by3 & ~by2
+        log1 = np.log10((c1 + 1) / scale)
+        logs = log1[word]
+        logs[by2] = np.log10((c2[pair[by2]] - DISCOUNT) / c1[g.first[pair[by2]]])
+        if by3.any():
+            logs[by3] = np.log10((c3[triple[by3]] - DISCOUNT) / c2[head[by3]])
+        falls = [by1 & kept1[g.first[pair]], ~by3 & (head >= 0) & kept2[head]]
+        context = [g.first[pair], head]
+        n = lengths + 1
+        record = {
+            "batch": row["batch"], "doc_ids": row["doc_ids"], "id_nulls": row["id_nulls"], "held_out": row["held_out"], "n_tokens": _blob(n),
+            "n_known": _blob(common.segment_sums((c1[word] > 0).astype(np.int64), n).astype("<i8")), "base": _blob(common.segment_sums(log1[word], n)), "known": _blob(common.segment_sums(logs, n)),
+        }
+        refs, base = [], 0
+        for k, h in enumerate((g.words, g.pairs)):
+            used = above[k] > 0
+            used[context[k][falls[k]]] = True
+            chosen = np.flatnonzero(used)
+            chosen = chosen[np.argsort(h[chosen])]
+            number = np.full(len(h) + 1, -1, np.int64)
+            number[chosen] = base + np.arange(len(chosen))
+            refs.append(np.where(falls[k], number[context[k]], -1))
+            base += len(chosen)
+            own = (c1[chosen], np.zeros(len(chosen), np.int64)) if k == 0 else (c2[chosen], c1[g.second[chosen]])
+            for name, values in (("hashes", h), ("above", above[k]), ("below", below[k])):
+                record[f"{name}{k}"] = _blob(values[chosen])
+            record[f"uses{k}"], record[f"base_uses{k}"] = _blob(own[0].astype("<i8")), _blob(own[1].astype("<i8"))
+        both = np.stack(refs, axis=1).reshape(-1)
+        record["refs"] = _blob(both[both >= 0].astype("<u4"))
+        record["n_refs"] = _blob(common.segment_sums((falls[0].astype(np.int64) + falls[1]), n).astype("<i8"))
+        out.append(pa.RecordBatch.from_pylist([record], schema=_fields(_PLANNED)))
+    common.release()
+    return pa.Table.from_batches(out, schema=_fields(_PLANNED))
+
+
+def _context_parts(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """The contexts of each batch (kind 0 words, 1 pairs) with its parts of their sums."""
+    for batch in batches:
+        for row in _rows(batch):
+            for k in (0, 1):
+                yield _part_rows(row["batch"], k, parts, _array(row[f"hashes{k}"], "<u8"), _array(row[f"above{k}"], "<i8"), _array(row[f"below{k}"], "<i8"))
+            common.release()
+
+
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scored(batch: pa.Table, totals: pa.Table, model: Automaton) -> pa.Table:
+def _scored(batch: pa.Table, totals: pa.Table, parts: int, train_tokens: int, scale: float) -> pa.Table:
     out = []
-    parts = [_array(b, "<i8") for b in totals.sort_by("part")["totals"].to_pylist()]
+    above, below = (_by_kind(totals, c, parts, 2) for c in ("a", "b"))
     for row in batch.to_pylist():
-        codes, own, counts = _array(row["codes"], "<u4"), _array(row["hashes"], "<u8"), _array(row["lengths"], "<i8")
-        uses = np.concatenate([*parts, np.zeros(0, np.int64)])
-        logs, ids = np.log10((uses + 1) / model.scale), model.ids(own)
-        base = common.segment_sums(logs[codes], counts) + np.log10((model.ends + 1) / model.scale)
-        known = common.segment_sums((uses > 0).astype(np.int64)[codes], counts) + (model.ends > 0)
-        rare = common.segment_sums(np.where(ids < 0, logs, 0.0)[codes], counts)
-        score, start = [], 0
-        for e in np.cumsum(counts).tolist():
-            score.append(model.traverse([*ids[codes[start:e]].tolist(), 0]))
-            start = e
-        doc_ids = pa.array(_array(row["doc_ids"], "<i8"), mask=_array(row["id_nulls"], "?"))
-        found = [doc_ids, _array(row["held_out"], "?"), counts + 1, known, np.full(len(counts), model.train_tokens), base, rare + np.array(score)]
+        weights = []
+        for k in (0, 1):
+            uses, shorter = 2.0 * _array(row[f"uses{k}"], "<i8"), 2.0 * _array(row[f"base_uses{k}"], "<i8") if k else scale
+            begins = above[k] > 0
+            left, low = np.where(begins, uses - above[k], 1) / np.where(begins, uses, 1), np.where(begins, shorter - below[k], 1) / np.where(begins, shorter, 1)
+            weights.append(np.log10(left / low))
+        fallen = common.segment_sums(np.concatenate(weights)[_array(row["refs"], "<u4")], _array(row["n_refs"], "<i8"))
+        doc_ids, n = pa.array(_array(row["doc_ids"], "<i8"), mask=_array(row["id_nulls"], "?")), _array(row["n_tokens"], "<i8")
+        found = [doc_ids, _array(row["held_out"], "?"), n, _array(row["n_known"], "<i8"), np.full(len(n), train_tokens), _array(row["base"], "<f8"), _array(row["known"], "<f8") + fallen]
         out.append(pa.RecordBatch.from_arrays([pa.array(x) for x in found], schema=_fields(_SCORED)))
     common.release()
     return pa.Table.from_batches(out, schema=_fields(_SCORED))
 
 
-def score(docs: DataFrame, folds: int = 7, out_fold: int = 2, rate: float = RATE) -> DataFrame:
+def score(docs: DataFrame, folds: int = 7, out_fold: int = 2, least: int = LEAST) -> DataFrame:
     """Base and model scores of every row of ``docs``, learnt from rows outside one fold of the ids."""
     spark = docs.sparkSession
     common.tune(spark)
@@ -306,19 +344,15 @@ def score(docs: DataFrame, folds: int = 7, out_fold: int = 2, rate: float = RATE
     sums = encoded.agg(F.sum("n_words").alias("words"), F.sum("n_tokens").alias("tokens"), F.sum("n_train").alias("ends")).first()
     ends, parts = sums["ends"] or 0, max(1, -(-(sums["words"] or 0) // RANGE_WORDS))
     train_tokens = (sums["tokens"] or 0) + ends
-    least = max(2, int(np.ceil(train_tokens * rate)))
-    words = encoded.select("batch", "hashes", "counts").mapInArrow(lambda it: _ranges(it, parts), _WORDS)
-    totals = common.table(words.groupBy("part").applyInArrow(lambda t: _range_totals(t, least), _TOTALS), "totals")
-    # at most 1 / rate kept words, and a number for each range
-    kept = totals.where("batch = -1").select("hashes", "totals", "n_known").collect()
-    hashes = np.concatenate([_array(r["hashes"], "<u8") for r in kept] or [np.zeros(0, "<u8")])
-    counts = np.concatenate([_array(r["totals"], "<i8") for r in kept] or [np.zeros(0, "<i8")])
-    order = np.argsort(hashes)
-    hashes, counts = hashes[order], counts[order]
-    pairs = _kept(encoded, hashes, None, least)
-    triples = _kept(encoded, hashes, pairs[0], least)
-    vocabulary = sum(r["n_known"] for r in kept) + (ends > 0)
-    held = spark.sparkContext.broadcast(build(hashes, counts, pairs, triples, train_tokens, vocabulary, ends))
+    sent = encoded.select("batch", "held_out", "lengths", "codes", "hashes", "counts").mapInArrow(lambda it: _ngram_parts(it, parts), _PARTS)
+    totals = common.table(sent.groupBy("part").applyInArrow(lambda t: _range_totals(t, parts), _TOTALS), "totals")
+    vocabulary = (totals.agg(F.sum("n_known")).first()[0] or 0) + (ends > 0)
+    scale = float(train_tokens + vocabulary + 1)
     left = encoded.select("batch", "doc_ids", "id_nulls", "held_out", "lengths", "codes", "hashes")
-    right = totals.where("batch >= 0").select("batch", "part", "totals")
-    return left.groupBy("batch").cogroup(right.groupBy("batch")).applyInArrow(lambda a, b: _scored(a, b, held.value), _SCORED)
+    right = totals.where("batch >= 0").select("batch", "part", "a")
+    planned = common.table(left.groupBy("batch").cogroup(right.groupBy("batch")).applyInArrow(lambda a, b: _planned(a, b, parts, ends, scale, least), _PLANNED), "planned")
+    common.drop_tables(encoded, totals)
+    sent = planned.select("batch", *(f"{c}{k}" for k in "01" for c in ("hashes", "above", "below"))).mapInArrow(lambda it: _context_parts(it, parts), _PARTS)
+    contexts = sent.groupBy("part").applyInArrow(_context_totals, _TOTALS).select("batch", "part", "a", "b")
+    texts = planned.drop(*(f"{c}{k}" for k in "01" for c in ("hashes", "above", "below")))
+    return texts.groupBy("batch").cogroup(contexts.groupBy("batch")).applyInArrow(lambda a, b: _scored(a, b, parts, train_tokens, scale), _SCORED)

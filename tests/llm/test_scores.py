@@ -236,3 +236,13 @@ def test_scores_of_empty_tables(spark):
     held = next(k for k in range(100) if remainder(k, 7) == 2)
     only = ngram_lm.score(documents(spark, [(held, "all held out")])).collect()[0]
     assert (only["n_tokens"], only["n_known"], only["train_tokens"], only["base_score"], only["score"]) == (4, 0, 0, 0.0, 0.0)
+
+
+def test_kept_ngrams_do_not_depend_on_the_size_of_the_corpus(spark):
+    """A pair and a triple seen a few times count however many other words there are."""
+    learnt = [k for k in range(20) if remainder(k, 7) != 2][:2]
+    rows = [(k, "red blue green") for k in learnt] + [(100 + k, " ".join(f"w{k}x{j}" for j in range(9000))) for k in range(80)]
+    assert sum(len(t.split()) for i, t in rows if remainder(i, 7) != 2) > 2 * 2**18
+    want, *_ = _expected(rows, 2)
+    got = {x["doc_id"]: x["score"] for x in ngram_lm.score(documents(spark, rows)).collect()}
+    assert all(got[i] == pytest.approx(score, abs=1e-6) for i, *_, score in want)
