@@ -5,10 +5,12 @@ placeholders. In a second form of a text, capitalised words inside a sentence be
 placeholders too, so that renamed questions are found while a passage that starts in the middle
 of a sentence still matches by the first form. Windows of five template words are looked up in a
 hash table of the benchmark's windows. Hits of one document and item that lie on one diagonal
-are aligned, and their slots must be consistent: one value of the item stands for one value of
-the document and the other way round, as in a question whose numbers, names or units were
-replaced. A document is contaminated by an item when consistent diagonals cover at least ``SIMILARITY``
-of the item's windows.
+are aligned. Windows of the same words count as they are. Windows with replaced slots must be
+consistent on their diagonal: one value of the item stands for one value of the document, as in a
+question whose numbers, names or units were replaced, and, but for numbers, the other way round;
+where there are several, the most frequent one holds, and just the windows that break it are
+dropped. A document is contaminated by an item when what is left covers at least ``SIMILARITY`` of
+the item's windows.
 
 The benchmark is taken in blocks of at most ``BLOCK_BYTES`` of text, each broadcast in turn, so
 memory is bounded for any benchmark while every item meets every document.
@@ -21,7 +23,7 @@ apart; an empty table or benchmark gives no findings; only doc_id, item_id and t
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -122,6 +124,7 @@ class Benchmark:
         self.n = np.maximum(w.counts - WINDOW + 1, 0)
         self.words = [w.core[c] for c in w.codes.tolist()]
         self.slot = ((w.kind[w.codes] > 0) | named(w)).tolist()
+        self.number = (w.kind[w.codes] == 1).tolist()
         start, forms = windows(w)
         keys = np.concatenate([k[ok] for k, ok in forms]) if len(start) else np.zeros(0, np.uint64)
         at = np.concatenate([start[ok] for _, ok in forms]) if len(start) else np.zeros(0, np.int64)
@@ -142,11 +145,20 @@ class Benchmark:
         return index, self.at[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
 
-def _consistent(pairs: list[tuple[str, str]]) -> bool:
-    """Whether the slots' values replace each other one to one."""
-    there: dict[str, str] = {}
-    back: dict[str, str] = {}
-    return all(there.setdefault(a, b) == b and back.setdefault(b, a) == a for a, b in pairs)
+def _most(pairs: list[tuple[str, str]]) -> dict[str, str]:
+    """The most frequent second value of each first one; of equals one that stays the same, then the first met."""
+    best: dict[str, tuple[int, bool, str]] = {}
+    for (a, b), n in Counter(pairs).items():
+        if a not in best or (n, a == b) > best[a][:2]:
+            best[a] = (n, a == b, b)
+    return {a: b for a, (_, _, b) in best.items()}
+
+
+def _inconsistent(slots: dict[int, tuple[str, str, bool]]) -> set[int]:
+    """Places whose slot breaks the replacement of values; ``slots``: item value, document value, whether a number."""
+    there = _most([(a, b) for a, b, _ in slots.values()])
+    back = _most([(b, a) for a, b, number in slots.values() if not number and there[a] == b])
+    return {p for p, (a, b, number) in slots.items() if there[a] != b or not (number or back[b] == a)}
 
 
 def findings(text: pa.Array, bench: Benchmark, similarity: float = SIMILARITY) -> tuple[list[list[int]], list[list[int]]]:
@@ -156,11 +168,14 @@ def findings(text: pa.Array, bench: Benchmark, similarity: float = SIMILARITY) -
     found, changed = [[] for _ in range(len(text))], [[] for _ in range(len(text))]
     if not len(start):
         return found, changed
-    index, place = (np.concatenate(x) for x in zip(*(bench.hits(np.where(ok, keys, np.uint64(0))) for keys, ok in forms), strict=True))
+    hits = [bench.hits(np.where(ok, keys, np.uint64(0))) for keys, ok in forms]
+    index, place = (np.concatenate(x) for x in zip(*hits, strict=True))
+    same = np.repeat([False, False, True], [len(x) for x, _ in hits])
     row = common.owners(np.maximum(w.counts - WINDOW + 1, 0))[index]
-    groups: dict[tuple[int, int], dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
-    for r, i, j, p in zip(row.tolist(), bench.item[place].tolist(), start[index].tolist(), place.tolist(), strict=True):
-        groups[r, i][j - p].add(p)
+    groups: dict[tuple[int, int], dict[int, dict[int, bool]]] = defaultdict(lambda: defaultdict(dict))
+    for r, i, j, p, exact in zip(row.tolist(), bench.item[place].tolist(), start[index].tolist(), place.tolist(), same.tolist(), strict=True):
+        diagonal = groups[r, i][j - p]
+        diagonal[p] = diagonal.get(p, False) or exact
     for (r, i), diagonals in groups.items():
         n = int(bench.n[i])
         if len(set().union(*diagonals.values())) < similarity * n:
@@ -168,12 +183,13 @@ def findings(text: pa.Array, bench: Benchmark, similarity: float = SIMILARITY) -
         covered, replaced = set(), False
         for d, at in diagonals.items():
             words = sorted({p + k for p in at for k in range(WINDOW)})
-            both = [(bench.slot[p], bench.words[p], w.core[w.codes[p + d]]) for p in words]
+            both = [(p, bench.slot[p], bench.words[p], w.core[w.codes[p + d]]) for p in words]
             # ordinary words that stay the same are no slots, whatever a name beside them is replaced by
-            pairs = [(a, b) for slot, a, b in both if slot or a != b]
-            if _consistent(pairs):
-                covered |= at
-                replaced |= any(a != b for a, b in pairs)
+            slots = {p: (a, b, bench.number[p]) for p, slot, a, b in both if slot or a != b}
+            broken = _inconsistent(slots)
+            good = [p for p, exact in at.items() if exact or broken.isdisjoint(range(p, p + WINDOW))]
+            covered.update(good)
+            replaced |= any(q in slots and slots[q][0] != slots[q][1] for p in good for q in range(p, p + WINDOW))
         if len(covered) >= similarity * n:
             found[r].append(bench.ids[i])
             if replaced:

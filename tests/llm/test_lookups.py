@@ -120,6 +120,18 @@ def test_decontamination(spark, extra):
     assert not any(r["contaminated"] for r in decontam.search(docs, benchmark.limit(0)).collect())
 
 
+def test_one_inconsistent_slot_drops_its_own_windows_only():
+    words = prose(1, 48).split()
+    near = " ".join([*words[:10], "5", *words[10:40], "5", *words[40:]])
+    some = "Fill the tank with 3 buckets of water and 5 buckets of milk before you leave for school"
+    place = " ".join([*words[:10], "Lyon", *words[10:40], "Lyon", *words[40:]])
+    bench = decontam.Benchmark([1, 2, 3], [near, some, place])
+    changed = near[: near.rindex("5")] + "7" + near[near.rindex("5") + 1 :]
+    moved = place[: place.rindex("Lyon")] + "Bern" + place[place.rindex("Lyon") + 4 :]
+    texts = [changed, some.replace("3", "4").replace("5", "4"), some.replace("3", "5"), moved]
+    assert decontam.findings(pa.array(texts), bench) == ([[1], [2], [2], [3]], [[], [2], [2], []])
+
+
 def test_plain_windows_equal_brute_force():
     items = [prose(k, 20 + k) for k in range(8)]
     texts = [f"{prose(100 + k, 15)} {' '.join(items[k % 8].split()[: 8 + 3 * k])} {prose(200 + k, 15)}" for k in range(12)]
