@@ -15,10 +15,13 @@ the item's windows.
 The benchmark is taken in blocks of at most ``BLOCK_BYTES`` of text, each broadcast in turn, so
 memory is bounded for any benchmark while every item meets every document.
 
-Defined results: a null or short text is clean; items of fewer than five words are not searched,
-as any prose holds them; windows with fewer than two ordinary words count only when their exact
-words match; an item listed twice is found under both ids; rows with the same doc_id are kept
-apart; an empty table or benchmark gives no findings; only doc_id, item_id and text are read.
+Windows with fewer than two ordinary words don't find a diagonal by their template, but count like
+the others on one that was found. An item of two to four words is one window of its own length.
+
+Defined results: a null text is clean; an item all of whose windows have fewer than two ordinary
+words is found by its exact words only; an item of one word is found where a document consists of
+that word, as any prose holds it; an item with a null id contaminates but adds no id to the lists;
+an item listed twice is found under both ids; rows with the same doc_id are kept apart; an empty table or benchmark gives no findings; only doc_id, item_id and text are read.
 """
 
 from __future__ import annotations
@@ -96,42 +99,59 @@ def named(w: Words) -> np.ndarray:
     return w.capital[w.codes] & ~before
 
 
-def windows(w: Words) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Start of each text's windows and, for the three forms (plain, with names, exact), hashes and whether they count."""
-    n = np.maximum(w.counts - WINDOW + 1, 0)
+def forms_of(w: Words) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For the three forms (plain, with names, exact) each word's hash and whether it is a placeholder."""
+    name, slot = named(w), w.kind[w.codes] > 0
+    name_hash = np.uint64(xxhash.xxh3_64_intdigest(NAME))
+    plain, exact = w.plain[w.codes], w.exact[w.codes]
+    return [(plain, slot), (np.where(name & ~slot, name_hash, plain), slot | name), (exact, np.zeros_like(slot))]
+
+
+def windows(w: Words, size: int = WINDOW) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Start of each text's windows of ``size`` words and, for each form, hashes and whether they find an item."""
+    n = np.maximum(w.counts - size + 1, 0)
     row = common.owners(n)
     start = (np.cumsum(w.counts) - w.counts)[row] + np.arange(len(row)) - (np.cumsum(n) - n)[row]
-    name = named(w)
-    slot = w.kind[w.codes] > 0
-    name_hash = np.uint64(xxhash.xxh3_64_intdigest(NAME))
-    with_names = np.where(name & ~slot, name_hash, w.plain[w.codes])
     out = []
-    for k, (values, special) in enumerate(((w.plain[w.codes], slot), (with_names, slot | name), (w.exact[w.codes], np.zeros_like(slot)))):
-        key, ordinary = np.full(len(start), k, np.uint64), np.zeros(len(start), np.int64)
-        for j in range(WINDOW):
+    for k, (values, special) in enumerate(forms_of(w)):
+        key, ordinary = np.full(len(start), k + 3 * (WINDOW - size), np.uint64), np.zeros(len(start), np.int64)
+        for j in range(size):
             key = common.mix(key * np.uint64(0x9E3779B97F4A7C15) + values[start + j])
             ordinary += ~special[start + j]
-        out.append((key, ordinary >= 2))
+        out.append((key, ordinary >= 2 if k < 2 else np.ones(len(key), bool)))
     return start, out
 
 
 class Benchmark:
     """A block of items with its table of window hashes."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int | None], texts: list[str]):
         w = template(pa.array([t or "" for t in texts], pa.string()))
         self.ids, self.first = ids, np.cumsum(w.counts) - w.counts
-        self.n = np.maximum(w.counts - WINDOW + 1, 0)
+        self.size = np.minimum(w.counts, WINDOW)
+        self.n = np.where(w.counts > 0, w.counts - self.size + 1, 0)
+        self.sizes = sorted(set(self.size[self.size > 0].tolist()))
         self.words = [w.core[c] for c in w.codes.tolist()]
         self.slot = ((w.kind[w.codes] > 0) | named(w)).tolist()
         self.number = (w.kind[w.codes] == 1).tolist()
-        start, forms = windows(w)
-        keys = np.concatenate([k[ok] for k, ok in forms]) if len(start) else np.zeros(0, np.uint64)
-        at = np.concatenate([start[ok] for _, ok in forms]) if len(start) else np.zeros(0, np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.at = keys[order], at[order]
+        self.forms = [values for values, _ in forms_of(w)]
         self.item = np.searchsorted(self.first, np.arange(len(w.codes)), "right") - 1
         # items without words share their start with the next one; the last of equals has the words
+        every, found, keys, at = [], [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for size in self.sizes:
+            start, forms = windows(w, size)
+            own = self.size[self.item[start]] == size
+            every.append(start[own])
+            found.append(start[own & (forms[0][1] & forms[1][1])])
+            keys += [k[ok & own] for k, ok in forms]
+            at += [start[ok & own] for _, ok in forms]
+        keys, at = np.concatenate(keys), np.concatenate(at)
+        #: for each item the starts of windows that a template doesn't look up
+        self.heavy: dict[int, list[int]] = defaultdict(list)
+        for p in np.setdiff1d(np.concatenate(every), np.concatenate(found)).tolist() if every else []:
+            self.heavy[int(self.item[p])].append(p)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.at = keys[order], at[order]
         self.bits = 1 << max(16, int(len(keys) * 16).bit_length())
         self.seen = np.zeros(self.bits, bool)
         self.seen[(self.keys & np.uint64(self.bits - 1)).astype(np.int64)] = True
@@ -164,32 +184,41 @@ def _inconsistent(slots: dict[int, tuple[str, str, bool]]) -> set[int]:
 def findings(text: pa.Array, bench: Benchmark, similarity: float = SIMILARITY) -> tuple[list[list[int]], list[list[int]]]:
     """For each text the items that contaminate it, and those of them whose slots were replaced."""
     w = template(text)
-    start, forms = windows(w)
     found, changed = [[] for _ in range(len(text))], [[] for _ in range(len(text))]
-    if not len(start):
+    parts = []
+    for size in bench.sizes:
+        start, forms = windows(w, size)
+        row = common.owners(np.maximum(w.counts - size + 1, 0))
+        whole = (w.counts == 1)[row] if size == 1 else np.ones(len(row), bool)
+        for k, (keys, ok) in enumerate(forms):
+            index, place = bench.hits(np.where(ok & whole, keys, np.uint64(0)))
+            parts.append((row[index], start[index], place, np.full(len(index), k == 2)))
+    if not parts:
         return found, changed
-    hits = [bench.hits(np.where(ok, keys, np.uint64(0))) for keys, ok in forms]
-    index, place = (np.concatenate(x) for x in zip(*hits, strict=True))
-    same = np.repeat([False, False, True], [len(x) for x, _ in hits])
-    row = common.owners(np.maximum(w.counts - WINDOW + 1, 0))[index]
+    row, start, place, same = (np.concatenate(x) for x in zip(*parts, strict=True))
+    ends, own = np.cumsum(w.counts), [values for values, _ in forms_of(w)]
     groups: dict[tuple[int, int], dict[int, dict[int, bool]]] = defaultdict(lambda: defaultdict(dict))
-    for r, i, j, p, exact in zip(row.tolist(), bench.item[place].tolist(), start[index].tolist(), place.tolist(), same.tolist(), strict=True):
+    for r, i, j, p, exact in zip(row.tolist(), bench.item[place].tolist(), start.tolist(), place.tolist(), same.tolist(), strict=True):
         diagonal = groups[r, i][j - p]
         diagonal[p] = diagonal.get(p, False) or exact
     for (r, i), diagonals in groups.items():
-        n = int(bench.n[i])
-        if len(set().union(*diagonals.values())) < similarity * n:
+        n, size, heavy = int(bench.n[i]), int(bench.size[i]), bench.heavy.get(i, [])
+        if len(set(heavy).union(*diagonals.values())) < similarity * n:
             continue
         covered, replaced = set(), False
         for d, at in diagonals.items():
-            words = sorted({p + k for p in at for k in range(WINDOW)})
+            for p in heavy:
+                if p not in at and ends[r] - w.counts[r] <= p + d and p + d + size <= ends[r]:
+                    if any((a[p + d : p + d + size] == b[p : p + size]).all() for a, b in zip(own, bench.forms, strict=True)):
+                        at[p] = False
+            words = sorted({p + k for p in at for k in range(size)})
             both = [(p, bench.slot[p], bench.words[p], w.core[w.codes[p + d]]) for p in words]
             # ordinary words that stay the same are no slots, whatever a name beside them is replaced by
             slots = {p: (a, b, bench.number[p]) for p, slot, a, b in both if slot or a != b}
             broken = _inconsistent(slots)
-            good = [p for p, exact in at.items() if exact or broken.isdisjoint(range(p, p + WINDOW))]
+            good = [p for p, exact in at.items() if exact or broken.isdisjoint(range(p, p + size))]
             covered.update(good)
-            replaced |= any(q in slots and slots[q][0] != slots[q][1] for p in good for q in range(p, p + WINDOW))
+            replaced |= any(q in slots and slots[q][0] != slots[q][1] for p in good for q in range(p, p + size))
         if len(covered) >= similarity * n:
             found[r].append(bench.ids[i])
             if replaced:
@@ -198,7 +227,7 @@ def findings(text: pa.Array, bench: Benchmark, similarity: float = SIMILARITY) -
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[Benchmark]:
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes)
     for k in range(n):
@@ -207,12 +236,12 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[Benchmark]:
 
 
 def _pass(source: DataFrame, bench: Benchmark, similarity: float) -> DataFrame:
-    """All columns of ``source`` with item_ids and changed_ids of one block."""
+    """All columns of ``source`` with item_ids and changed_ids of one block; a null stands for items without id."""
     held = source.sparkSession.sparkContext.broadcast(bench)
 
     def run(batches):
         for batch in common.slices(batches):
-            hits = [pa.array([sorted(set(x)) for x in y], pa.list_(pa.int64())) for y in findings(common.texts(batch), held.value, similarity)]
+            hits = [pa.array([sorted(set(x), key=lambda i: (i is None, i)) for x in y], pa.list_(pa.int64())) for y in findings(common.texts(batch), held.value, similarity)]
             rest = batch.drop_columns(["text"])
             yield pa.RecordBatch.from_arrays([*rest.columns, *hits], names=[*rest.schema.names, "item_ids", "changed_ids"])
 
@@ -241,7 +270,8 @@ def search(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY
         empty = F.array().cast("array<long>")
         found = keyed.select("doc_id", "h").join(merged, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k")), "left")
         found = found.select("doc_id", F.coalesce("item_ids", empty).alias("item_ids"), F.coalesce("changed_ids", empty).alias("changed_ids"))
-    return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "changed_ids")
+    ids = [F.array_compact(c).alias(c) for c in ("item_ids", "changed_ids")]
+    return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), *ids)
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:

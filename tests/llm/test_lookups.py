@@ -132,6 +132,23 @@ def test_one_inconsistent_slot_drops_its_own_windows_only():
     assert decontam.findings(pa.array(texts), bench) == ([[1], [2], [2], [3]], [[], [2], [2], []])
 
 
+def test_items_dense_in_slots_short_items_and_items_without_id(spark):
+    sums, order, short = "What is 48 + 17 x 6 - 92 / 4", "Sort the numbers 41 7 93 12 58 26 77 in ascending order", "Name 3 prime factors"
+    bench = decontam.Benchmark([1, 2, 3, 4, 5], [sums, order, short, "", "yes"])
+    texts = [
+        f"{prose(1, 9)} what is 31 + 25 x 8 - 60 / 5", f"{prose(2, 9)} sort the numbers 5 66 31 80 9 2 14 in ascending order {prose(3, 9)}", f"{prose(4, 9)} name 7 prime factors {prose(5, 9)}", "Yes.", f"{prose(6, 9)} yes",
+        "what is 31 + 25 x", "1 2 3 4 5 6 7 8 9", "sort the numbers in ascending order", "prime factors",
+    ]
+    found, changed = decontam.findings(pa.array(texts), bench)
+    assert found == [[1], [2], [3], [5], [], [], [], [], []] and changed == [[1], [2], [3], [], [], [], [], [], []]
+    docs = documents(spark, list(enumerate(texts)))
+    benchmark = spark.createDataFrame([(None, sums), (2, order), (None, order), (7, short)], "item_id long, text string")
+    for block in (1 << 20, 60):
+        got = {r["doc_id"]: (r["contaminated"], r["item_ids"]) for r in decontam.search(docs, benchmark, block_bytes=block).collect()}
+        assert [got[k] for k in range(4)] == [(True, []), (True, [2]), (True, [7]), (False, [])]
+        assert sorted(r["doc_id"] for r in decontam.cleaned(docs, benchmark, block_bytes=block).collect()) == [3, 4, 5, 6, 7, 8]
+
+
 def test_plain_windows_equal_brute_force():
     items = [prose(k, 20 + k) for k in range(8)]
     texts = [f"{prose(100 + k, 15)} {' '.join(items[k % 8].split()[: 8 + 3 * k])} {prose(200 + k, 15)}" for k in range(12)]
