@@ -6,6 +6,11 @@ digest of the whole result is hash-joined with the digests of known licences. Ea
 text is looked up in the same way among known notices, so that a licence named inside a longer
 document is found too; equal lines of a document count once.
 
+A whole text is looked up in a second form too, in which just statements of copyright and of
+reserved rights are dropped, not any line that begins with the word, and line breaks are folded
+before the spellings, so that it doesn't matter where a licence is wrapped. The digest column is
+that of the first form, as in the SQL.
+
 Defined results: a null text has no digest and no licence; a text that is empty after
 normalising has the digest of the empty string, which no licence has; a document that matches
 several notices lists each once, in order; rows with the same doc_id are kept apart; an empty
@@ -58,11 +63,21 @@ KNOWN = [
 
 COPYRIGHT = "(^|[\\x0A])[ \\x09]*(copyright|[(]c[)]|©)[^\\x0A]*"
 OTHER = "[^\\p{L}\\p{N}]+"
+#: Lines that state a copyright (a sign, a year or a place for one) or that rights are reserved.
+STATEMENT = r"(^|\n)[ \t]*(copyright[^\n]*([(]c[)]|©|(19|20)[0-9]{2})|copyright[ \t:]*[<\[{]|[(]c[)][^\n]*(copyright|(19|20)[0-9]{2})|©)[^\n]*|(^|\n)[ \t]*all rights reserved[ \t\r.]*(?=\n|$)"
 
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text."""
-    out = F.regexp_replace(F.lower(text), COPYRIGHT, " ")
+    return _spelled(F.regexp_replace(F.lower(text), COPYRIGHT, " "))
+
+
+def unwrapped(text: Column) -> Column:
+    """The form that doesn't depend on where lines are wrapped."""
+    return _spelled(F.regexp_replace(F.regexp_replace(F.lower(text), STATEMENT, " "), r"\s+", " "))
+
+
+def _spelled(out: Column) -> Column:
     for pattern, to in SPELLINGS:
         out = F.regexp_replace(out, pattern, to.replace("\\1", "$1")) if "(" in pattern or "?" in pattern else F.replace(out, F.lit(pattern), F.lit(to))
     return F.trim(F.regexp_replace(out, OTHER, " "))
@@ -77,9 +92,10 @@ def canonical_sql(text: str) -> str:
 
 
 def registry(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """digest and license_id of the known licences; their number is that of ``known``."""
+    """digest and license_id of the known licences in both forms; their number is at most twice that of ``known``."""
     rows = spark.createDataFrame(known, "license_id string, text string")
-    return rows.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    forms = F.explode(F.array(F.sha2(canonical(F.col("text")), 256), F.sha2(unwrapped(F.col("text")), 256)))
+    return rows.select(forms.alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan(docs: DataFrame, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
@@ -91,8 +107,9 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
     lines = F.array_distinct(F.split("text", "\n"))
     found = F.transform(lines, lambda x: F.try_element_at(F.col("known"), F.sha2(canonical(x), 256)))
     notices = F.array_join(F.array_sort(F.array_distinct(F.array_compact(found))), ";")
-    out = rows.join(lookup, how="inner").select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"), notices.alias("notices"))
-    return out.join(F.broadcast(table), "digest", "left").select("doc_id", "digest", "license_id", "notices")
+    whole = F.try_element_at(F.col("known"), F.sha2(unwrapped(F.col("text")), 256))
+    out = rows.join(lookup, how="inner").select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"), whole.alias("whole"), notices.alias("notices"))
+    return out.join(F.broadcast(table), "digest", "left").select("doc_id", "digest", F.coalesce("whole", "license_id").alias("license_id"), "notices")
 
 
 def _oracle() -> str:

@@ -1,6 +1,7 @@
 """URL rules, licence digests, decontamination and the pipeline."""
 
 import hashlib
+import textwrap
 
 import duckdb
 import numpy as np
@@ -93,6 +94,18 @@ def test_licences(spark, extra):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_wrapped_licences(spark):
+    wrap = lambda text, width: "\n".join(textwrap.fill(x, width, break_on_hyphens=False) for x in text.split("\n"))
+    isc, bsd = licenses._ISC_BODY, licenses._BSD_HEAD + licenses._BSD_TAIL
+    isc_lines = isc.replace("above copyright", "above\ncopyright").replace("copies.\nTHE", "copies.\n\nTHE")
+    assert "\ncopyright notice and this permission notice appear in all copies.\n" in isc_lines
+    texts = [(10, "ISC", isc_lines), (11, "ISC", "Copyright (c) 2020, A. Person\n\n" + isc_lines), (12, "BSD-2-Clause", "Copyright (c) 2020, A. Person\nAll rights reserved.\n\n" + wrap(bsd, 79)), (13, "BSD-2-Clause", "All rights reserved.\nCopyright 1999 A. Person\n" + bsd.replace("COPYRIGHT HOLDER OR", "COPYRIGHT\nOWNER OR")), (14, None, isc_lines.replace("copyright notice and this permission notice appear in all copies.", ""))]
+    texts += [(100 + k, "MIT", "MIT License\n\nCopyright (c) <year> <holder>\n\n" + wrap(licenses._MIT_BODY, 40 + k)) for k in range(40)]
+    texts += [(200 + k, name, wrap(body, 40 + k)) for k in range(40) for name, body in (("ISC", isc), ("BSD-2-Clause", bsd), ("Zlib", licenses._ZLIB_BODY), ("Unlicense", licenses._UNLICENSE))]
+    got = sorted((r["doc_id"], str(r["license_id"])) for r in licenses.scan(documents(spark, [(i, t) for i, _, t in texts])).collect())
+    assert got == sorted((i, str(n)) for i, n, _ in texts)
+
+
 ITEM = "A train leaves Lyon at 9 and travels 120 km to the city where Anna waits for 3 hours before the second train arrives"
 
 
