@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VOWELS = "аеиоуыэюя"
@@ -85,3 +86,17 @@ def stemmed_vocabulary(words: DataFrame, column: str = "word") -> DataFrame:
             yield b.assign(stem=b[column].map(stem))
 
     return words.select(F.col(column).cast("string")).where(F.col(column).isNotNull()).distinct().mapInPandas(run, f"{column} string, stem string")
+
+
+@lru_cache(1 << 18)
+def _remembered(word: str) -> str:
+    return stem(word)
+
+
+def stem_set(words: Column) -> Column:
+    """The distinct stems of an array of words; a worker remembers the stems of words it has met."""
+
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda ws: sorted({_remembered(w) for w in ws}))
+
+    return F.pandas_udf(run, "array<string>")(words)

@@ -63,7 +63,7 @@ def frame(queries: DataFrame, items: DataFrame, past: DataFrame, config: Retriev
     hist = geo.location_centers(past)
     centers = geo.query_centers(queries.select("search_loc"), stats, hist).where("center_source < 2")
     pool = fusion.candidate_pool(lists(queries, items, centers, config) | (extra or {}), config.rrf_k, config.list_names())
-    out = features.build_features(pool, queries, items, stats).join(_more(items), "doc_id")
+    out = features.build_features(pool, queries, items, stats, stem=True).join(_more(items), "doc_id")
     out = dense.pair_similarity(out, queries, items.select(F.col("item_id").alias("doc_id"), "embedding"))
     if config.history:
         share = history.corpus_location_share(items)

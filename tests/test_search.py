@@ -50,6 +50,15 @@ def test_search_end_to_end(spark):
     assert region.groupBy("query_id").count().where("count > 3").isEmpty() and region.count() > 0
 
 
+def test_overlaps_of_the_search_plan_are_those_of_stems(spark):
+    items, queries, past = _world(spark)
+    config = RetrievalConfig(depth_global=20, depth_local=10, depth_radius=10, depth_geo=10, history=False, microcats=False, centroid=False)
+    out = search.frame(queries.limit(1).withColumn("query_text", F.lit("ремонтом")), items, past, config)
+    got = {r["doc_id"]: (r["title_overlap"], r["params_overlap"]) for r in out.collect()}
+    titles = {r["item_id"]: (float("ремонт" in r["title"]), float("ремонт" in r["params"])) for r in items.collect()}
+    assert got and all(titles[i] == x for i, x in got.items()) and (1.0, 1.0) in got.values()
+
+
 def test_encoder_interface(spark):
     docs = spark.createDataFrame([(1, "ремонт окон"), (2, None), (3, "ремонт окон")], "k long, t string")
     got = {r["k"]: r["embedding"] for r in encode.encode(docs, "k", "t").collect()}
