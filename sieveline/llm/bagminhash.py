@@ -3,8 +3,8 @@
 Signatures follow the BagMinHash idea. A shingle that occurs w times carries the discretised
 weight w. Its weight axis is cut into the dyadic ranges (0,1], (1,2], (2,4], (4,8], ...; each
 range has a Poisson process of its own, drawn in ascending order from the shingle's hash, and
-each point falls on one signature component and, bit by bit, into one half of its range after
-the other until its weight level is known; points above level w are dropped. A component keeps
+each point falls on one signature component and on one of its range's weight levels, drawn
+directly as all are equally likely; points above level w are dropped. A component keeps
 its least point, so two documents agree in a component with the probability of their weighted
 Jaccard similarity. Only points below a limit that nearly surely fills all components are drawn,
 which makes the cost of a signature almost independent of the document's length.
@@ -19,9 +19,10 @@ unless both already are in one class, no group is expanded into all its pairs, a
 gathered in one task.
 
 Defined results: a null text or one without words is in a class of its own; a text of fewer
-than ``shingle`` words is one shingle; equal word sequences are exact copies; rows with the same
-doc_id and the same words are copies of each other; a null doc_id gets a null class; an empty
-table gives an empty result.
+than ``shingle`` words is one shingle; a very long text is compared whole; equal word sequences
+are exact copies; rows with the same doc_id and the same words are copies of each other, and with
+other words are judged apart; a null doc_id gets a null class and is compared with nothing; an
+empty table gives an empty result; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -136,7 +137,7 @@ def _signed(batches: Iterator[pa.RecordBatch], size: int, bands: int, rows: int)
         offsets = np.concatenate([[0], np.cumsum(np.where(full, bands, 0))]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[full].reshape(-1)))
         total = np.where(full, np.maximum(counts - size + 1, 1), 0)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total), pa.array(content[:, 0]), pa.array(content[:, 1]), lists], names=["doc_id", "total", "c1", "c2", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(total), pa.array(content[:, 0]), pa.array(content[:, 1]), lists], names=["doc_id", "h", "total", "c1", "c2", "keys"])
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -158,11 +159,20 @@ def _overlaps(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
 
 
 def _verified(pairs: DataFrame, involved: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) that overlap enough."""
-    left = involved.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-    right = involved.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-    return both.mapInArrow(lambda it: _overlaps(it, size), "a long, b long, sim double").where(F.col("sim") >= similarity).select("a", "b")
+    """The pairs (a, b) of a table that overlap enough.
+
+    A document of many pairs is dealt out by its partners, with a copy of its text for each run of them,
+    so no task gets all pairs of a leader.
+    """
+    limit = common.hot_limit(pairs.count())
+    both = pairs
+    for key, other, text in (("a", "b", "ta"), ("b", "a", "tb")):
+        # at most ``HOT_KEYS`` rows
+        hubs = F.broadcast(pairs.groupBy(key).count().where(F.col("count") > limit).select(key, F.ceil(F.col("count") / limit).alias("runs")))
+        runs = F.coalesce("runs", F.lit(1))
+        own = involved.select(F.col("id").alias(key), F.col("text").alias(text)).join(hubs, key, "left").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), runs - 1))).drop("runs")
+        both = both.join(hubs, key, "left").withColumn("run", F.pmod(F.xxhash64(other), runs)).drop("runs").join(own, [key, "run"]).drop("run")
+    return both.select("a", "b", "ta", "tb").mapInArrow(lambda it: _overlaps(it, size), "a long, b long, sim double").where(F.col("sim") >= similarity).select("a", "b")
 
 
 def _elements(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -184,68 +194,105 @@ def _prefixes(rest: DataFrame, involved: DataFrame, size: int, similarity: float
     frequency = elements.groupBy("element").agg(F.count("*").alias("n")).where("n > 1")
     # an element of a single document comes first, as none is rarer
     rarest = Window.partitionBy("id").orderBy(F.coalesce("n", F.lit(1)), "element")
-    placed = elements.join(frequency, "element", "left").withColumn("at", F.row_number().over(rarest))
+    placed = common.keyed_join(elements, frequency, ["element"], elements.count(), "left").withColumn("at", F.row_number().over(rarest))
     least = F.ceil(F.round(F.col("total") * similarity, 6))
     prefix = common.table(placed.where((F.col("at") <= F.col("total") - least + 1) & F.col("n").isNotNull()).select("id", "total", "element", "at"), "prefix")
     common.drop_tables(elements)
     return prefix
 
 
-def _prefix_pairs(left: DataFrame, right: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of different classes that share an element of their prefixes and may overlap enough by its positions."""
-    a, b = (t.select("element", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "class_id", "total", "at"))) for t, x in ((left, "a"), (right, "b")))
+_SIDE = ("id", "class_id", "total", "at")
+
+
+def _side(rows: DataFrame, x: str) -> DataFrame:
+    return rows.withColumnsRenamed({c: f"{c}_{x}" for c in _SIDE})
+
+
+def _possible(both: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different classes, of rows that share an element of their prefixes, that may overlap enough by its positions."""
     needed = F.ceil(F.round((F.col("total_a") + F.col("total_b")) * (similarity / (1 + similarity)), 6))
     possible = 1 + F.least(F.col("total_a") - F.col("at_a"), F.col("total_b") - F.col("at_b"))
-    return a.join(b, "element").where((F.col("class_id_a") != F.col("class_id_b")) & (possible >= needed)).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+    return both.where((F.col("class_id_a") != F.col("class_id_b")) & (possible >= needed)).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+
+
+def _prefix_pairs(rows: DataFrame, similarity: float, leaders: bool) -> DataFrame:
+    """Pairs that share an element of their prefixes: with ``leaders``, each row and its element's first document, else all."""
+    if not leaders:
+        return _possible(_side(rows, "a").join(_side(rows, "b"), "element"), similarity)
+    first = F.min(F.struct("at", "total", "id", "class_id"))
+    partners = rows.groupBy("element").agg(first.alias("f"), F.count("*").alias("n")).select("element", "f.*", "n")
+    return _possible(common.keyed_join(_side(rows, "a"), _side(partners, "b"), ["element"], rows.count()), similarity)
+
+
+def _named(signed: DataFrame) -> tuple[DataFrame, bool]:
+    """One row for each word sequence: id (its node), first (least doc_id and text hash), n, total and keys; whether ids are shared.
+
+    A node is the least doc_id; where several word sequences share it, all but one are named by their digest.
+    """
+    named = signed.where("total > 0 and doc_id is not null")
+    copies = common.table(named.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.count("*").alias("n"), F.min("total").alias("total"), F.min_by("keys", "doc_id").alias("keys")).withColumn("id", F.col("first.doc_id")), "copies")
+    shared = copies.groupBy("id").agg(F.min(F.struct("c1", "c2")).alias("least"), F.count("*").alias("n")).where("n > 1")
+    if shared.isEmpty():
+        return copies, False
+    apart = common.keyed_join(copies.withColumnRenamed("n", "rows"), shared, ["id"], copies.count(), "left")
+    node = F.when(F.col("least").isNull() | (F.col("least") == F.struct("c1", "c2")), F.col("id")).otherwise(F.col("c1"))
+    out = common.table(apart.select("c1", "c2", "first", F.col("rows").alias("n"), "total", "keys", node.alias("id")), "copies")
+    common.drop_tables(copies)
+    return out, True
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
-    """doc_id, class_id (least doc_id of its class) and content (two keys of the word sequence) of each row of ``docs``."""
+    """doc_id, class_id (least doc_id of its class) and h (a hash of the text) of each row of ``docs``."""
     common.tune(docs.sparkSession)
-    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    signed = common.table(source.mapInArrow(lambda it: _signed(it, size, bands, rows), "doc_id long, total long, c1 long, c2 long, keys array<long>"), "signed")
-    named = signed.where("total > 0 and doc_id is not null")
+    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("h", F.xxhash64("text"))
+    signed = common.table(source.mapInArrow(lambda it: _signed(it, size, bands, rows), "doc_id long, h long, total long, c1 long, c2 long, keys array<long>"), "signed")
     # exact copies first: one representative for each word sequence
-    copies = common.table(named.groupBy("c1", "c2").agg(F.min("doc_id").alias("id"), F.min("total").alias("total"), F.min_by("keys", "doc_id").alias("keys")), "copies")
+    copies, apart = _named(signed)
     members = copies.select("id", "total", F.explode("keys").alias("key"))
     shortest = F.min(F.struct("total", "id"))["id"].alias("leader")
-    shared = members.groupBy("key").agg(shortest, F.count("*").alias("n")).where("n > 1").select("key", "leader")
-    members = common.table(members.join(shared, "key").select("key", "id", "leader"), "members")
-    ids = members.select(F.col("id").alias("doc_id")).distinct()
-    involved = common.table(source.join(ids, "doc_id").select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"]), "involved")
+    shared = members.groupBy("key").agg(shortest, F.count("*").alias("n")).where("n > 1")
+    members = common.table(common.keyed_join(members, shared, ["key"], copies.count() * bands).select("key", "id", "leader"), "members")
+    reps = copies.join(members.select("id").distinct(), "id").select("id", F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias("h"))
+    involved = common.table(source.join(reps, ["doc_id", "h"]).select("id", "text").dropDuplicates(["id"]), "involved")
     tried = common.table(members.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct(), "pairs")
     links = common.table(_verified(tried, involved, size, similarity), "links")
     found = components.components(links)
     # buckets whose members, but for the leader that met them all, are in more than one class
-    labelled = members.where("id <> leader").join(found, "id", "left").select("key", "id", F.coalesce("class_id", "id").alias("class_id"))
-    several = labelled.groupBy("key").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low < high").select("key")
+    labelled = common.table(members.where("id <> leader").join(found, "id", "left").select("key", "id", F.coalesce("class_id", "id").alias("class_id")), "labelled")
+    several = labelled.groupBy("key").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n")
     # they are settled by prefixes: against one document of each element, which merges most
     # classes, then by all pairs that may be similar and are in different classes
-    prefix = _prefixes(labelled.join(several, "key").select("id").distinct(), involved, size, similarity)
-    done = [members, links, involved, prefix, tried]
-    for against in ("element", None):
-        rows = prefix.join(found, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
-        first = F.min(F.struct("at", "total", "id", "class_id")).alias("f")
-        partners = rows.groupBy(against).agg(first).select(against, "f.*") if against else rows
-        pairs = common.table(_prefix_pairs(rows, partners, similarity).join(tried, ["a", "b"], "left_anti"), "pairs")
+    rest = common.keyed_join(labelled, several, ["key"], labelled.count()).select("id").distinct()
+    prefix = _prefixes(rest, involved, size, similarity)
+    done = [members, links, involved, prefix, tried, labelled]
+    for leaders in (True, False):
+        placed = common.table(prefix.join(found, "id", "left").withColumn("class_id", F.coalesce("class_id", "id")), "placed")
+        pairs = common.table(_prefix_pairs(placed, similarity, leaders).join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.unionByName(pairs)
-        done.append(pairs)
         new = common.table(_verified(pairs, involved, size, similarity), "links")
         if not new.isEmpty():
             found = components.components(new, found)
-        done.append(new)
+        done += [placed, pairs, new]
+    by_content = copies.join(found, "id", "left").select("c1", "c2", "n", "first", F.coalesce("class_id", "id").alias("class_id"))
+    if apart:
+        by_content = common.table(by_content, "nodes")
+        least = by_content.groupBy("class_id").agg(F.min("first.doc_id").alias("least"), F.count("*").alias("n"))
+        by_content = common.keyed_join(by_content.withColumnRenamed("n", "rows"), least, ["class_id"], copies.count()).select("c1", "c2", F.col("rows").alias("n"), F.col("least").alias("class_id"))
+    by_content = common.table(by_content.select("c1", "c2", "n", "class_id"), "by_content")
     common.drop_tables(*done)
-    by_content = copies.join(found, "id", "left").select("c1", "c2", F.coalesce("class_id", "id").alias("class_id"))
-    return signed.join(by_content, ["c1", "c2"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), "c1", "c2")
+    total = copies.agg(F.sum("n")).first()[0] or 0
+    worded = F.expr("total > 0 and doc_id is not null")
+    out = common.keyed_join(signed.where(worded).select("doc_id", "h", "c1", "c2"), by_content, ["c1", "c2"], total).select("doc_id", "class_id", "h")
+    return out.unionByName(signed.where(~worded).select("doc_id", F.col("doc_id").alias("class_id"), "h"))
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` that stay when each class keeps the document of its least id, with all their columns."""
-    found = common.table(classes(docs, similarity, size), "classes")
-    stay = found.where("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    """One row of ``docs`` for each class, the one of the least id and text hash, with all its columns; rows without id stay."""
+    found = common.table(classes(docs, similarity, size).where("doc_id is not null"), "classes")
+    stay = found.groupBy("class_id").agg(F.min(F.struct("doc_id", "h")).alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.h").alias("kept_h"))
     key = docs["doc_id"].cast("long")
-    out = docs.join(stay, key == stay["kept_id"], "left_semi").unionByName(docs.where(key.isNull()))
-    # rows repeated under one id are copies too; looking for them reads no text
-    if found.where("doc_id = class_id").groupBy("doc_id", "c1", "c2").count().where("count > 1").limit(1).count():
+    out = docs.join(stay, (key == stay["kept_id"]) & (F.xxhash64(docs["text"].cast("string")) == stay["kept_h"]), "left_semi")
+    # rows repeated with one id and text are copies too; looking for them reads no text
+    if not found.where("doc_id = class_id").groupBy("doc_id", "h").count().where("count > 1").isEmpty():
         out = out.dropDuplicates(["doc_id", "text"])
-    return out
+    return out.unionByName(docs.where(key.isNull()))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,11 +24,14 @@ _own_dir: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Only where ``spark.checkpoint.dir`` is unset (local tests) is a temporary one made.
+    Only on a local master is a temporary one made where ``spark.checkpoint.dir`` is unset; on a
+    cluster, executors would each write to their own disk.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="sieveline-"))
     return f"file://{_own_dir[0]}"
@@ -60,6 +64,34 @@ def drop_tables(*tables: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A join sets a key apart from this many rows on, or from a ``HOT_KEYS``-th of all rows if that is more.
+HOT_ROWS, HOT_KEYS = 64, 4096
+
+
+def hot_limit(total: int) -> int:
+    """Rows that a key may have before it is hot; at most ``HOT_KEYS`` keys of ``total`` rows have more."""
+    return max(HOT_ROWS, total // HOT_KEYS)
+
+
+def keyed_join(left: DataFrame, right: DataFrame, on: list[str], total: int, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has each key once and, as ``n``, at least its number of rows in ``left``.
+
+    Hot keys, at most ``HOT_KEYS`` rows of ``right``, are broadcast, so their rows stay where they
+    are; the others are shuffled. ``total`` is the sum of ``n``. ``left`` is read twice and should be a table.
+    """
+    limit = hot_limit(total)
+    hot, cold = F.broadcast(right.where(F.col("n") > limit)), right.where(F.col("n") <= limit)
+    return left.join(hot, on).unionByName(left.join(hot.select(*on), on, "left_anti").join(cold, on, how))
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished plans now, not whenever the driver's heap is next collected."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches into runs of rows whose texts hold at most ``limit`` bytes together.
 

@@ -72,7 +72,9 @@ def test_a_signature_ignores_the_documents_around_it():
 
 
 @pytest.mark.parametrize("extra", [False, True])
-def test_classes_equal_brute_force(spark, extra):
+def test_classes_equal_brute_force(spark, extra, monkeypatch):
+    if extra:
+        monkeypatch.setattr(common, "HOT_ROWS", 3)  # most keys of these rows are hot ones
     passage = prose(99, 60)
     rows = list(ODD)
     for k in range(6):
@@ -103,7 +105,27 @@ def test_deduplicated_keeps_one_row_of_each_class_and_all_columns(spark):
     assert bagminhash.deduplicated(documents(spark, [])).count() == 0
 
 
-def test_components(spark):
+def test_texts_that_share_an_id_are_judged_apart(spark):
+    base, other = prose(3, 80), prose(4, 80)
+    rows = [(5, base), (5, other), (4, _edited(other, 1, 1)), (9, _edited(base, 1, 2)), (9, prose(6, 80)), (None, base)]
+    got = sorted((r["doc_id"], r["class_id"]) for r in bagminhash.classes(documents(spark, rows)).where("doc_id is not null").collect())
+    assert got == [(4, 4), (5, 4), (5, 5), (9, 5), (9, 9)]
+    left = sorted((r["doc_id"] or 0, r["text"]) for r in bagminhash.deduplicated(documents(spark, rows)).collect())
+    assert left == sorted([(0, base), (4, rows[2][1]), (5, base), (9, rows[4][1])])
+
+
+def test_a_keyed_join_equals_a_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    left = spark.createDataFrame([(k % 7 if k % 3 else 1, k) for k in range(60)] + [(None, 99)], "k long, v long")
+    counts = left.where("k is not null and k <> 2").groupBy("k").count().withColumnRenamed("count", "n")
+    for how, rows in (("inner", left.where("k is not null and k <> 2").count()), ("left", 61)):
+        got = common.keyed_join(left, counts, ["k"], 61, how)
+        assert got.exceptAll(left.join(counts, "k", how)).isEmpty() and got.count() == rows
+
+
+@pytest.mark.parametrize("hot", [64, 2])
+def test_components(spark, hot, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     r = random.Random(1)
     edges = [(k, k + 1) for k in range(100, 160)] + [(500, k) for k in range(501, 560)] + [(r.randrange(900, 1000), r.randrange(900, 1000)) for _ in range(60)]
     parent = {}
