@@ -4,8 +4,9 @@ Counting. A pass over the texts writes them as batches of word codes, each with
 hashes and their counts in training texts; texts are neither shuffled nor split into words again.
 Each batch sends its distinct words, pairs and triples, cut into ranges of the hash, to one group
 for each range, which adds them up over all batches and sends the totals back; so every batch gets
-the exact count of each of its n-grams, and no task holds more than a range or a batch. Words and
-n-grams are told apart by 64-bit hashes.
+the exact count of each of its n-grams, and no task holds more than a range or a batch. Words are
+told apart by 64-bit hashes, pairs and triples by ``SPARE_BITS`` bits more than it takes to number the
+corpus' words (64 at most), so one in four million clashes with another at any size.
 
 The automaton. An n-gram is kept when it occurs at least ``LEAST`` times in training texts,
 whatever the size of the corpus, and nothing bounds how many are kept. An arc for a kept n-gram
@@ -43,9 +44,11 @@ from sieveline.llm import common
 #: Occurrences in training texts that a kept n-gram must have.
 LEAST = 2
 DISCOUNT = 0.5
-BATCH_BYTES = 8 << 20
-#: Words of all texts for each range of n-gram hashes.
-RANGE_WORDS = 1 << 20
+#: Bytes of text in a batch, and words of all texts for each range of n-gram hashes. A batch sends a row
+#: to each range, so larger ones make fewer rows of a large corpus and need more memory in a task.
+BATCH_BYTES = 4 << 20
+RANGE_WORDS = 1 << 22
+SPARE_BITS = 22
 END = np.uint64(xxhash.xxh3_64_intdigest("\x01end"))
 
 
@@ -134,12 +137,12 @@ def _fields(ddl: str) -> pa.Schema:
 _ENCODED = "batch long, n_words long, n_tokens long, n_train long, doc_ids binary, id_nulls binary, held_out binary, lengths binary, codes binary, hashes binary, counts binary"
 
 
-def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encoded(batches: Iterator[pa.RecordBatch], batch_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches of texts as codes of their distinct words, which are in the order of their hashes."""
     from pyspark import TaskContext
 
     name = TaskContext.get().partitionId() << 32
-    for batch in common.slices(batches, limit=BATCH_BYTES):
+    for batch in common.slices(batches, limit=batch_bytes):
         codes, _, h, counts = tokens(common.texts(batch))
         h, at = np.unique(h, return_inverse=True)
         codes = at[codes].astype("<u4")
@@ -163,17 +166,30 @@ def _cuts(h: np.ndarray, parts: int) -> list[int]:
     return np.searchsorted((h >> np.uint64(32)).astype(np.int64) * parts >> 32, np.arange(parts + 1)).tolist()
 
 
-def _part_rows(batch: int, kind: int, parts: int, h: np.ndarray, a: np.ndarray, b: np.ndarray | None = None) -> pa.RecordBatch:
+@dataclass(frozen=True)
+class Ranges:
+    """How many ranges hashes are cut into, and how many low bits of a pair's or triple's don't count."""
+
+    n: int
+    shift: int
+
+
+def ranges(words: int, range_words: int = RANGE_WORDS) -> Ranges:
+    return Ranges(max(1, -(-words // range_words)), max(0, 64 - SPARE_BITS - words.bit_length()))
+
+
+def _part_rows(batch: int, kind: int, parts: Ranges, h: np.ndarray, a: np.ndarray, b: np.ndarray | None = None) -> pa.RecordBatch:
     """Rows for the ranges of ascending hashes and the values that go with them."""
-    cuts = _cuts(h, parts)
+    cuts = _cuts(h, parts.n)
+    h = h >> np.uint64(parts.shift if kind else 0)
     rows = [
-        {"batch": batch, "part": kind * parts + r, "hashes": _blob(np.diff(h[i:j], prepend=np.uint64(0))), "a": _blob(a[i:j]), "b": None if b is None else _blob(b[i:j])}
+        {"batch": batch, "part": kind * parts.n + r, "hashes": _blob(np.diff(h[i:j], prepend=np.uint64(0))), "a": _blob(a[i:j]), "b": None if b is None else _blob(b[i:j])}
         for r, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if i < j
     ]
     return pa.RecordBatch.from_pylist(rows, schema=_fields(_PARTS))
 
 
-def _ngram_parts(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+def _ngram_parts(batches: Iterator[pa.RecordBatch], parts: Ranges) -> Iterator[pa.RecordBatch]:
     """The words (kind 0), pairs (1) and triples (2) of each batch and their counts in training texts."""
     for batch in batches:
         for row in _rows(batch):
@@ -304,7 +320,7 @@ def _planned(batch: pa.Table, totals: pa.Table, parts: int, ends: int, scale: fl
     return pa.Table.from_batches(out, schema=_fields(_PLANNED))
 
 
-def _context_parts(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+def _context_parts(batches: Iterator[pa.RecordBatch], parts: Ranges) -> Iterator[pa.RecordBatch]:
     """The contexts of each batch (kind 0 words, 1 pairs) with its parts of their sums."""
     for batch in batches:
         for row in _rows(batch):
@@ -334,25 +350,30 @@ def _scored(batch: pa.Table, totals: pa.Table, parts: int, train_tokens: int, sc
     return pa.Table.from_batches(out, schema=_fields(_SCORED))
 
 
-def score(docs: DataFrame, folds: int = 7, out_fold: int = 2, least: int = LEAST) -> DataFrame:
+def score(docs: DataFrame, folds: int = 7, out_fold: int = 2, least: int = LEAST, batch_bytes: int = BATCH_BYTES, range_words: int = RANGE_WORDS) -> DataFrame:
     """Base and model scores of every row of ``docs``, learnt from rows outside one fold of the ids."""
     spark = docs.sparkSession
     common.tune(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     source = source.withColumn("held_out", common.held_out(F.col("doc_id"), folds, out_fold))
-    encoded = common.table(source.mapInArrow(_encoded, _ENCODED), "encoded")
+    encoded = common.table(source.mapInArrow(lambda it: _encoded(it, batch_bytes), _ENCODED), "encoded")
     sums = encoded.agg(F.sum("n_words").alias("words"), F.sum("n_tokens").alias("tokens"), F.sum("n_train").alias("ends")).first()
-    ends, parts = sums["ends"] or 0, max(1, -(-(sums["words"] or 0) // RANGE_WORDS))
+    ends, parts = sums["ends"] or 0, ranges(sums["words"] or 0, range_words)
+    n = parts.n
     train_tokens = (sums["tokens"] or 0) + ends
     sent = encoded.select("batch", "held_out", "lengths", "codes", "hashes", "counts").mapInArrow(lambda it: _ngram_parts(it, parts), _PARTS)
-    totals = common.table(sent.groupBy("part").applyInArrow(lambda t: _range_totals(t, parts), _TOTALS), "totals")
+    totals = common.table(sent.groupBy("part").applyInArrow(lambda t: _range_totals(t, n), _TOTALS), "totals")
+    del sent
+    common.free_shuffles(spark)
     vocabulary = (totals.agg(F.sum("n_known")).first()[0] or 0) + (ends > 0)
     scale = float(train_tokens + vocabulary + 1)
     left = encoded.select("batch", "doc_ids", "id_nulls", "held_out", "lengths", "codes", "hashes")
     right = totals.where("batch >= 0").select("batch", "part", "a")
-    planned = common.table(left.groupBy("batch").cogroup(right.groupBy("batch")).applyInArrow(lambda a, b: _planned(a, b, parts, ends, scale, least), _PLANNED), "planned")
+    planned = common.table(left.groupBy("batch").cogroup(right.groupBy("batch")).applyInArrow(lambda a, b: _planned(a, b, n, ends, scale, least), _PLANNED), "planned")
     common.drop_tables(encoded, totals)
+    del left, right
+    common.free_shuffles(spark)
     sent = planned.select("batch", *(f"{c}{k}" for k in "01" for c in ("hashes", "above", "below"))).mapInArrow(lambda it: _context_parts(it, parts), _PARTS)
     contexts = sent.groupBy("part").applyInArrow(_context_totals, _TOTALS).select("batch", "part", "a", "b")
     texts = planned.drop(*(f"{c}{k}" for k in "01" for c in ("hashes", "above", "below")))
-    return texts.groupBy("batch").cogroup(contexts.groupBy("batch")).applyInArrow(lambda a, b: _scored(a, b, parts, train_tokens, scale), _SCORED)
+    return texts.groupBy("batch").cogroup(contexts.groupBy("batch")).applyInArrow(lambda a, b: _scored(a, b, n, train_tokens, scale), _SCORED)
