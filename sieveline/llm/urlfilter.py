@@ -5,14 +5,16 @@ URL's path starts with the rule's. Of several that fit, the longest wins. A URL
 is looked up in a list of URLs in canonical form: a blocked Bloom filter (one 512-bit block for
 each URL, eight bits in it) lets possible members pass, and an exact join with the list removes
 the false ones. The filter's size follows the list up to ``MAX_BLOCKS`` blocks, so what is
-broadcast is bounded; a longer list only makes more false positives for the join to remove.
+broadcast is bounded; a longer list only makes more false positives for the join to remove. Rows
+that a rule decides or that the filter stops are not shuffled, and a URL that many pages share
+doesn't gather them in one task.
 
 Canonical form: scheme, fragment, default port and a leading ``www.`` or ``m.`` go, the host is
 lower-cased, tracking parameters (``utm_*``, ``ref``) go, a path loses a final ``/``.
 
 Defined results: a null URL has an empty host and path, no rule and verdict allow; so has one
-without ``://``; a URL listed twice is listed; rows with the same page_id are kept apart; an
-empty list or table gives no blocks; other columns are not read.
+without ``://``; a very long URL is judged whole; a URL listed twice is listed; rows with the same
+page_id are kept apart; an empty list or table gives no blocks; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from sieveline.llm import common
 
@@ -70,21 +73,26 @@ def build_filter(listed: DataFrame, max_blocks: int = MAX_BLOCKS) -> np.ndarray:
     return out
 
 
-def passing(pages: DataFrame, filter_: np.ndarray) -> DataFrame:
-    """The distinct ``canon`` values of ``pages`` that the filter lets pass."""
-    held = pages.sparkSession.sparkContext.broadcast(filter_)
+def _marked(ruled: DataFrame, filter_: np.ndarray) -> DataFrame:
+    """``ruled`` with ``maybe``: no rule decides the row, and the filter lets its ``canon`` pass."""
+    held = ruled.sparkSession.sparkContext.broadcast(filter_)
 
     def run(batches):
         for batch in batches:
-            h1, h2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h1", "h2"))
-            block = held.value[h1 & (len(held.value) - 1)]
-            ok = np.ones(len(h1), bool)
-            for k in range(WORDS):
-                ok &= (block[:, k] >> ((h2 >> (6 * k)) & 63)) & 1 == 1
-            yield batch.select(["canon"]).filter(pa.array(ok))
+            h1, h2, asked = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_h1", "_h2", "_asked"))
+            yield batch.append_column("maybe", pa.array(asked.astype(bool) & _member(held.value, h1, h2)))
 
-    keyed = pages.where("canon is not null").select("canon", F.xxhash64("canon").alias("h1"), F.xxhash64(F.lit(1), "canon").alias("h2"))
-    return keyed.mapInArrow(run, "canon string").distinct()
+    asked = F.col("verdict").isNull() & F.col("canon").isNotNull()
+    keyed = ruled.withColumns({"_h1": F.xxhash64("canon"), "_h2": F.xxhash64(F.lit(1), "canon"), "_asked": asked})
+    return keyed.mapInArrow(run, StructType([*keyed.schema.fields, StructField("maybe", BooleanType())])).drop("_h1", "_h2", "_asked")
+
+
+def _member(filter_: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    block = filter_[h1 & (len(filter_) - 1)]
+    ok = np.ones(len(h1), bool)
+    for k in range(WORDS):
+        ok &= (block[:, k] >> ((h2 >> (6 * k)) & 63)) & 1 == 1
+    return ok
 
 
 def judge(pages: DataFrame, listed: DataFrame, max_blocks: int = MAX_BLOCKS) -> DataFrame:
@@ -95,10 +103,16 @@ def judge(pages: DataFrame, listed: DataFrame, max_blocks: int = MAX_BLOCKS) ->
     urls = listed.select(F.col("url").cast("string").alias("url")).select(canon.alias("canon")).where("canon is not null").distinct()
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
     parts = source.select("page_id", F.expr(HOST).alias("host"), F.expr(PATH).alias("path"), canon.alias("canon"))
-    ruled = parts.select("*", F.expr(name).alias("rule"), F.expr(verdict).alias("ruled"))
-    # only what no rule decides is looked up; the join is exact, so false positives go
-    hits = passing(ruled.where("ruled is null"), build_filter(urls, max_blocks)).join(urls, "canon", "left_semi").select("canon", F.lit("block").alias("hit"))
-    return ruled.join(hits, "canon", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", "hit", F.lit("allow")).alias("verdict"))
+    ruled = parts.select("page_id", "host", "path", F.expr(name).alias("rule"), F.expr(verdict).alias("verdict"), "canon")
+    marked = common.table(_marked(ruled, build_filter(urls, max_blocks)), "urls")
+    # only rows that no rule decides and that the filter lets pass are joined; the join is exact, so
+    # false positives go, and a URL that many pages have is joined where its rows are
+    maybe = marked.where("maybe").drop("verdict", "maybe")
+    counts = maybe.groupBy("canon").agg(F.count("*").alias("n"))
+    known = counts.join(urls.withColumn("verdict", F.lit("block")), "canon", "left")
+    looked = common.keyed_join(maybe, known, ["canon"], maybe.count(), "left")
+    out = ["page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict")]
+    return marked.where("not maybe").select(*out).unionByName(looked.select(*out))
 
 
 ORACLE = f"""

@@ -52,14 +52,21 @@ def test_false_positives_of_the_filter_go(spark):
     urls = [f"http://h{k}.org/p" for k in range(300)]
     listed = spark.createDataFrame([(u,) for u in urls[:100]], "url string")
     pages = _pages(spark, urls)
-    full = np.full((1, urlfilter.WORDS), -1)  # a filter that lets everything pass
-    canon = pages.select(F.expr(urlfilter.canonical()).alias("canon"))
-    assert urlfilter.passing(canon, full).count() == 300
-    tight = urlfilter.build_filter(listed.select(F.expr(urlfilter.canonical()).alias("canon")))
-    passed = {r["canon"] for r in urlfilter.passing(canon, tight).collect()}
-    assert {f"h{k}.org/p" for k in range(100)} <= passed and len(passed) < 140
+    ruled = pages.select(F.lit(None).cast("string").alias("verdict"), F.expr(urlfilter.canonical()).alias("canon"))
+    passed = lambda f: {r["canon"] for r in urlfilter._marked(ruled, f).where("maybe").collect()}
+    assert len(passed(np.full((1, urlfilter.WORDS), -1))) == 300  # a filter that lets everything pass
+    tight = passed(urlfilter.build_filter(listed.select(F.expr(urlfilter.canonical()).alias("canon"))))
+    assert {f"h{k}.org/p" for k in range(100)} <= tight and len(tight) < 140
     assert sum(v[4] == "block" for v in _judged(urlfilter.judge(pages, listed, max_blocks=1))) == 100
     assert not any(v[4] == "block" for v in _judged(urlfilter.judge(pages, listed.limit(0))))
+    assert urlfilter.judge(pages.limit(0), listed).count() == 0
+
+
+def test_a_url_of_many_pages_and_a_very_long_one(spark):
+    long = "http://h.org/" + "a" * 200_000
+    urls = ["http://x.org/a"] * 300 + [long, long + "b", None, None] + ["http://y.org/?q=1"] * 90
+    got = _judged(urlfilter.judge(_pages(spark, urls), spark.createDataFrame([("http://x.org/a",), (long,), ("http://x.org/a",)], "url string")))
+    assert [v[4] for v in sorted(got)] == ["block"] * 301 + ["allow"] * 93
 
 
 def _oracle(sql, **tables):
