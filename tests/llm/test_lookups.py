@@ -87,28 +87,41 @@ def test_url_oracle(spark, tmp_path):
 
 @pytest.mark.parametrize("extra", [False, True])
 def test_licences(spark, extra):
-    mit = dict(licenses.KNOWN)
-    rows = [*ODD, (50, mit["ISC"]), (51, "Copyright (c) 2020 A. Person\n\n" + mit["ISC"].upper().replace(",", " ;")), (52, "some text\nreleased under the MIT LICENCE\nmore"), (53, mit["Unlicense"].replace("licens", "licens") + " x"), (54, "Licensed under CC BY 4.0.\nReleased under the MIT License.\nreleased under the mit license")]
+    text = dict(licenses.KNOWN)
+    mit, isc = licenses._MIT_BODY, licenses._ISC_BODY
+    rows = [*ODD, (50, isc), (51, "Copyright (c) 2020 A. Person\n\n" + isc.upper().replace(",", " ;")), (52, "some text\nreleased under the MIT LICENCE\nmore"), (53, licenses._UNLICENSE + " x"), (54, "Licensed under CC BY 4.0.\nReleased under the MIT License.\nreleased under the mit license"), (55, "// SPDX-License-Identifier: MIT\nint x;")]
+    rows += [(5, mit), (5, mit), (5, "Released under the MIT License."), (None, isc), (None, None), (56, "a" * 300_000 + "\nReleased under the MIT License.")]
     docs = documents(spark, rows, extra)
-    got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
-    assert (got[50]["license_id"], got[51]["license_id"], got[52]["license_id"], got[53]["license_id"]) == ("ISC", "ISC", None, None)
-    assert (got[52]["notices"], got[54]["notices"]) == ("MIT", "CC-BY-4.0;MIT")
-    assert (got[1]["digest"], got[1]["notices"]) == (None, None) and got[2]["digest"] == hashlib.sha256(b"").hexdigest()
-    columns, want = _oracle(licenses.ORACLE, documents=docs.select("doc_id", "text").where("doc_id is not null and doc_id <> 5"))
+    got = [(r["doc_id"], r["digest"], r["license_id"], r["notices"]) for r in licenses.scan(docs).collect()]
+    by_id = {r[0]: r[1:] for r in got if r[0] not in (None, 5)}
+    assert [by_id[k][1] for k in (50, 51, 52, 53)] == ["ISC", "ISC", None, None]
+    assert [by_id[k][2] for k in (52, 54, 55, 56)] == ["MIT", "CC-BY-4.0;MIT", "MIT", "MIT"]
+    assert by_id[1] == (None, None, None) and by_id[2][0] == hashlib.sha256(b"").hexdigest()
+    assert sorted(str(r[2]) for r in got if r[0] == 5) == ["MIT", "MIT", "MIT", "None", "None"] and sorted(str(r[2]) for r in got if r[0] is None) == ["ISC", "None", "None"]
+    columns, want = _oracle(licenses.ORACLE, documents=docs.select("doc_id", "text"))
     at = [columns.index(c) for c in ("doc_id", "digest", "license_id", "notices")]
-    assert sorted((tuple(r[k] for k in at) for r in want), key=str) == sorted(((i, r["digest"], r["license_id"], r["notices"]) for i, r in got.items() if i not in (None, 5)), key=str)
+    assert sorted((tuple(r[k] for k in at) for r in want), key=str) == sorted(got, key=str)
     plan = licenses.scan(docs)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+    assert "Python" not in plan and "Arrow" not in plan and "BroadcastHashJoin" in plan and "NestedLoop" not in plan
+    assert licenses.scan(documents(spark, [])).count() == 0 and text["GPL-3.0"]
 
 
 def test_wrapped_licences(spark):
     wrap = lambda text, width: "\n".join(textwrap.fill(x, width, break_on_hyphens=False) for x in text.split("\n"))
-    isc, bsd = licenses._ISC_BODY, licenses._BSD_HEAD + licenses._BSD_TAIL
+    isc, bsd, mit = licenses._ISC_BODY, licenses._BSD_HEAD + licenses._BSD_TAIL, licenses._MIT_BODY
     isc_lines = isc.replace("above copyright", "above\ncopyright").replace("copies.\nTHE", "copies.\n\nTHE")
     assert "\ncopyright notice and this permission notice appear in all copies.\n" in isc_lines
     texts = [(10, "ISC", isc_lines), (11, "ISC", "Copyright (c) 2020, A. Person\n\n" + isc_lines), (12, "BSD-2-Clause", "Copyright (c) 2020, A. Person\nAll rights reserved.\n\n" + wrap(bsd, 79)), (13, "BSD-2-Clause", "All rights reserved.\nCopyright 1999 A. Person\n" + bsd.replace("COPYRIGHT HOLDER OR", "COPYRIGHT\nOWNER OR")), (14, None, isc_lines.replace("copyright notice and this permission notice appear in all copies.", ""))]
-    texts += [(100 + k, "MIT", "MIT License\n\nCopyright (c) <year> <holder>\n\n" + wrap(licenses._MIT_BODY, 40 + k)) for k in range(40)]
-    texts += [(200 + k, name, wrap(body, 40 + k)) for k in range(40) for name, body in (("ISC", isc), ("BSD-2-Clause", bsd), ("Zlib", licenses._ZLIB_BODY), ("Unlicense", licenses._UNLICENSE))]
+    texts += [(15, "MIT", "Copyright Jane Q. Doe\n" + mit), (16, "MIT", "Copyright by Jane Doe, 2020-2024.\n" + mit), (17, "MIT", mit.replace("sublicense", "sub-licence").replace("AUTHORS OR COPYRIGHT", "AUTHORS OR\nCOPYRIGHT")), (18, None, "Copyright Notice\n" + mit)]
+    for k, mark in enumerate(("# ", " * ", "// ", "-- ", "; ")):
+        texts.append((20 + k, "MIT", "\n".join(mark + x for x in ("MIT License\n\nCopyright (c) 2024 A. Person\n\n" + wrap(mit, 70)).split("\n"))))
+    texts += [(100 + k, "MIT", "MIT License\n\nCopyright (c) <year> <holder>\n\n" + wrap(mit, 40 + k)) for k in range(40)]
+    whole = [("ISC", isc), ("BSD-2-Clause", bsd), ("Zlib", licenses._ZLIB_BODY), ("Unlicense", licenses._UNLICENSE), ("BSL-1.0", licenses._BOOST)]
+    texts += [(200 + k, name, wrap(body, 40 + 7 * k)) for k in range(8) for name, body in whole]
+    # paragraphs of the long texts filled anew, but for those with lines that state a copyright
+    fill = lambda x, width: x if "opyright (C)" in x or "opyright [" in x else textwrap.fill(" ".join(x.split()), width, break_on_hyphens=False)
+    texts += [(250 + k, i, "\n\n".join(fill(x, 45 + 9 * k) for x in t.split("\n\n"))) for k in range(5) for i, t in licenses._stored()]
+    texts += [(300, i, t) for i, t in licenses._stored()]
     got = sorted((r["doc_id"], str(r["license_id"])) for r in licenses.scan(documents(spark, [(i, t) for i, _, t in texts])).collect())
     assert got == sorted((i, str(n)) for i, n, _ in texts)
 
