@@ -150,6 +150,60 @@ def test_upper_bound_is_exact():
         p = risk_rules.upper_bound(x, n, level)
         assert sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(x + 1)) == pytest.approx(level, rel=1e-6)
     assert risk_rules.upper_bound(5, 5, 0.05) == 1.0
+    for x, n, p in ((0, 1, 0.3), (2, 7, 0.5), (40, 100, 0.2), (90, 100, 0.95), (3, 5000, 0.001), (12, 3000, 0.0125)):
+        assert risk_rules.at_most(x, n, p) == pytest.approx(sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(x + 1)), rel=1e-9)
+    assert 0 < risk_rules.at_most(1_249_000, 10**8, 0.0125) < 0.5 < risk_rules.at_most(1_251_000, 10**8, 0.0125)  # as fast for many labels
+
+
+def test_cutoffs_keep_their_promise():
+    """Of many holdouts no more than the level's share certify a cutoff whose true rate is too high."""
+    r, share, level, n = np.random.default_rng(2), 0.05, 0.1, 300
+    rates = np.linspace(0.12, 0.01, 12)  # true rates of an ascending grid; the last four are within the share
+    allowed = int(np.argmax(rates <= share))
+    wrong = found = 0
+    for _ in range(3000):
+        u = r.random(n)
+        k = risk_rules.certified(n, [int((u < p).sum()) for p in rates], share, level)
+        wrong += k is not None and k < allowed
+        found += k is not None
+    assert wrong / 3000 <= level + 3 * (level * (1 - level) / 3000) ** 0.5
+    assert found > 2000
+    for x in range(30):
+        assert (risk_rules.at_most(x, n, share) <= level) == (risk_rules.upper_bound(x, n, level) <= share)
+
+
+def test_cutoffs_equal_brute_force(spark, monkeypatch):
+    """Labels of copies and repeated label rows count once, a contested document not at all; strata are judged alone."""
+    monkeypatch.setattr(common, "HOT_ROWS", 3)  # every stratum is a hot key
+    r = random.Random(3)
+    noisy = lambda k: " ".join(w + ("#" if r.random() < 0.0006 * (k % 9) else "") for w in prose(k, 60).split())
+    rows = [(k, noisy(k), ("en", "de", None)[k % 3]) for k in range(1500)]
+    rows += [(5000 + k, "## ".join(prose(1, 60).split()), "en") for k in range(40)]  # one text
+    labels = [(k, 1, 0) for k in range(1500)] + [(k, 0, 0) for k in range(0, 90)] + [(k, 1, 0) for k in range(300, 600)] + [(5000 + k, 1, 0) for k in range(40)]
+    docs, marks = documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    found = risk_rules.measured(docs)
+    got = {x["stratum"]: x for x in risk_rules.cutoffs(found, marks, 0.2, 0.2).collect()}
+    good = {i for i, *_ in rows} - set(range(90))
+    texts = collections.defaultdict(set)
+    for i, t, lang in rows:
+        if i in good:
+            texts["" if lang is None else f"={lang}"].add(t)
+    assert set(got) == set(texts) == {"", "=en", "=de"}
+    chosen = set()
+    for name, own in texts.items():
+        shares = [_measures(t)[2] / _measures(t)[0] for t in own]
+        want = None
+        for cut in reversed(risk_rules.GRID):
+            if risk_rules.upper_bound(sum(x > cut for x in shares), len(shares), 0.2 / 12) > 0.05:
+                break
+            want = cut
+        assert got[name]["cut_symbols"] == want
+        chosen.add(want)
+    assert chosen - {None}
+    judged = {x["doc_id"]: x for x in risk_rules.judge(docs, marks, 0.2, 0.2).collect()}
+    for i, t, lang in rows:
+        m, cut = _measures(t), got["" if lang is None else f"={lang}"]["cut_symbols"]
+        assert ("symbols" in judged[i]["broken_rules"]) == (cut is not None and m[2] / m[0] > cut)
 
 
 def test_rules_reject_junk_and_are_off_without_proof(spark):
