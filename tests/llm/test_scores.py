@@ -41,28 +41,69 @@ def test_language_filter(spark):
     assert all(0 <= r["lang_score"] <= 1 for r in by_id.values())
 
 
-def test_bit_slices_hold_exactly_each_language(spark):
-    """The filter's answer for an n-gram is each language's own Bloom filter's answer."""
-    rows = [(k, _tongue(lang := ("aa", "bb", "cc")[k % 3], k, 40), lang) for k in range(30)]
-    model = langfilter.fit(documents(spark, rows).select("text", "lang"), n_slots=512)
+def _kept(rows, least=langfilter.LEAST, share=langfilter.SHARE):
+    """For each language the hashes of its n-grams, by plain counting."""
+    counts = collections.defaultdict(collections.Counter)
+    for _, t, lang in rows:
+        counts[lang].update(langfilter.grams(common.words(langfilter.letters(pa.array([t])))[0])[0].tolist())
+    totals = {lang: sum(c.values()) for lang, c in counts.items()}
+    most = collections.Counter()
+    for lang, c in counts.items():
+        for g, n in c.items():
+            most[g] = max(most[g], n / totals[lang])
+    return {lang: {g for g, n in c.items() if n >= least and n / totals[lang] >= share * most[g]} for lang, c in counts.items()}
+
+
+@pytest.mark.parametrize("shard_grams", [1 << 19, 40])
+def test_bit_slices_hold_exactly_each_language(spark, shard_grams):
+    """The filter's answer for an n-gram is each language's own Bloom filter's answer, in one shard or several."""
+    rows = [(k, _tongue(lang := ("aa", "bb", "cc")[k % 3], k, 40) + " " + _tongue("bb", k, 2), lang) for k in range(30)]
+    docs = documents(spark, rows)
+    model = langfilter.fit(docs.select("text", "lang"), n_slots=256, shard_grams=shard_grams)
+    kept, n = _kept(rows), len(model.shards)
+    assert n == max(1, -(-len(set().union(*kept.values())) // shard_grams)) and (n > 2) == (shard_grams == 40)
+    assert any(kept[x] != langfilter.grams(common.words(langfilter.letters(pa.array([t for _, t, y in rows if x == y])))[0])[0].tolist() for x in kept)
     own = {}
     for k, lang in enumerate(model.languages):
-        texts = pa.array([t for _, t, x in rows if x == lang])
-        h, _ = langfilter.grams(common.words(langfilter.letters(texts))[0])
-        counts = collections.Counter(h.tolist())
-        kept = np.array([g for g, n in counts.items() if n >= sum(counts.values()) * langfilter.RATE], np.uint64)
-        bits = np.zeros(512, bool)
-        bits[langfilter.slots(kept, 512).reshape(-1)] = True
-        own[lang] = bits
-        assert (model.masks[:, 0] >> k & 1).astype(bool).tolist() == bits.tolist()
-        assert model.false_rate[k] == pytest.approx(bits.mean() ** langfilter.HASHES)
-    text = _tongue("aa", 5, 20) + " " + _tongue("bb", 6, 9)
-    share, n = langfilter.shares(pa.array([text]), model)
+        h = np.array(sorted(kept[lang]), np.uint64)
+        for s, shard in enumerate(model.shards):
+            bits = np.zeros(256, bool)
+            bits[langfilter.slots(h[(h >> np.uint64(40)) % np.uint64(n) == s], 256).reshape(-1)] = True
+            assert (shard.masks[:, 0] >> k & 1).astype(bool).tolist() == bits.tolist()
+            assert shard.false_rate[k] == pytest.approx(bits.mean() ** langfilter.HASHES)
+            own[lang, s] = bits
+    text = _tongue("aa", 5, 20) + " " + _tongue("bb", 6, 9) + " qwrtz"
     h, _ = langfilter.grams(common.words(langfilter.letters(pa.array([text])))[0])
-    assert n[0] == len(h)
-    for k, lang in enumerate(model.languages):
-        raw = own[lang][langfilter.slots(h, 512)].all(axis=1).mean()
-        assert share[0, k] == pytest.approx(max(0, (raw - model.false_rate[k]) / (1 - model.false_rate[k])))
+    want = {}
+    for lang in model.languages:
+        found = 0.0
+        for g in h:
+            s = int(g >> np.uint64(40)) % n
+            f = own[lang, s].mean() ** langfilter.HASHES
+            found += (own[lang, s][langfilter.slots(np.array([g]), 256)[0]].all() - f) / (1 - f)
+        want[lang] = min(1, max(0, found / len(h)))
+    best = max(sorted(want), key=want.get)
+    got = langfilter.predict(documents(spark, [(1, text, "xx"), (2, "", "xx")], True), model).collect()
+    by_id = {r["doc_id"]: (r["lang_pred"], r["lang_score"]) for r in got}
+    assert by_id[1] == (best, pytest.approx(want[best])) and by_id[2] == ("und", 0.0)
+
+
+def test_no_ngram_is_left_out_for_being_rare(spark):
+    """Many more n-grams than any fixed number: each that was seen twice counts for its language."""
+    r = random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = list({"".join(r.choices(letters, k=7)) for _ in range(9000)})
+    rows = [(k, " ".join(words[k::20]) + " zebra" * 300, "aa") for k in range(20)] + [(100 + k, " ".join(words[k::20]), "aa") for k in range(20)] + [(200, "крокодил жираф " * 9, "bb")]
+    model = langfilter.fit(documents(spark, rows).select("text", "lang"))
+    assert len(_kept(rows)["aa"]) > 30_000
+    rare = " ".join(words[:40])
+    assert langfilter.predict(documents(spark, [(1, rare, None)]), model).first()["lang_score"] == pytest.approx(1, abs=1e-6)
+
+
+def test_too_many_labels_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(langfilter, "MAX_LANGUAGES", 2)
+    with pytest.raises(ValueError, match="more than 2"):
+        langfilter.fit(documents(spark, [(k, "word", f"l{k}") for k in range(3)]).select("text", "lang"))
 
 
 def test_language_filter_without_training_rows(spark):
@@ -70,6 +111,9 @@ def test_language_filter_without_training_rows(spark):
     model = langfilter.fit(docs.select("text", "lang"))
     assert [(r["lang_pred"], r["lang_score"]) for r in langfilter.predict(docs, model).collect()] == [("und", 0.0)]
     assert langfilter.predict(documents(spark, []), model).count() == 0
+    long = "кот " * 200_000
+    model = langfilter.fit(documents(spark, [(1, "кот и пёс", "ru"), (1, "кот и пёс", "ru"), (2, "cat and dog", "en"), (2, "cat and dog", "en")]).select("text", "lang"))
+    assert [tuple(r) for r in langfilter.predict(documents(spark, [(9, long), (9, long)]), model).select("doc_id", "lang_pred").collect()] == [(9, "ru")] * 2
 
 
 # --- attention model -----------------------------------------------------------------------------
