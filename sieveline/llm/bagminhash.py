@@ -167,11 +167,14 @@ def _verified(pairs: DataFrame, involved: DataFrame, size: int, similarity: floa
     limit = common.hot_limit(pairs.count())
     both = pairs
     for key, other, text in (("a", "b", "ta"), ("b", "a", "tb")):
-        # at most ``HOT_KEYS`` rows
-        hubs = F.broadcast(pairs.groupBy(key).count().where(F.col("count") > limit).select(key, F.ceil(F.col("count") / limit).alias("runs")))
-        runs = F.coalesce("runs", F.lit(1))
-        own = involved.select(F.col("id").alias(key), F.col("text").alias(text)).join(hubs, key, "left").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), runs - 1))).drop("runs")
-        both = both.join(hubs, key, "left").withColumn("run", F.pmod(F.xxhash64(other), runs)).drop("runs").join(own, [key, "run"]).drop("run")
+        own, on = involved.select(F.col("id").alias(key), F.col("text").alias(text)), [key]
+        counts = pairs.groupBy(key).count().where(F.col("count") > limit).collect()  # at most ``HOT_KEYS``
+        if counts:
+            hubs = F.broadcast(pairs.sparkSession.createDataFrame([(r[key], -(-r["count"] // limit)) for r in counts], f"{key} long, runs long"))
+            runs = F.coalesce("runs", F.lit(1))
+            own = own.join(hubs, key, "left").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), runs - 1))).drop("runs")
+            both, on = both.join(hubs, key, "left").withColumn("run", F.pmod(F.xxhash64(other), runs)).drop("runs"), [key, "run"]
+        both = both.join(own, on).drop("run")
     return both.select("a", "b", "ta", "tb").mapInArrow(lambda it: _overlaps(it, size), "a long, b long, sim double").where(F.col("sim") >= similarity).select("a", "b")
 
 
@@ -191,13 +194,13 @@ def _prefixes(rest: DataFrame, involved: DataFrame, size: int, similarity: float
     """The elements (id, total, element, at) from each multiset's rarest one up to the last that two similar multisets may share first."""
     source = involved.join(rest, "id").select("id", "text")
     elements = common.table(source.mapInArrow(lambda it: _elements(it, size), "id long, total long, element long"), "elements")
-    frequency = elements.groupBy("element").agg(F.count("*").alias("n")).where("n > 1")
+    frequency = common.table(elements.groupBy("element").agg(F.count("*").alias("n")).where("n > 1"), "frequency")
     # an element of a single document comes first, as none is rarer
     rarest = Window.partitionBy("id").orderBy(F.coalesce("n", F.lit(1)), "element")
     placed = common.keyed_join(elements, frequency, ["element"], elements.count(), "left").withColumn("at", F.row_number().over(rarest))
     least = F.ceil(F.round(F.col("total") * similarity, 6))
     prefix = common.table(placed.where((F.col("at") <= F.col("total") - least + 1) & F.col("n").isNotNull()).select("id", "total", "element", "at"), "prefix")
-    common.drop_tables(elements)
+    common.drop_tables(elements, frequency)
     return prefix
 
 
@@ -250,7 +253,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE
     copies, apart = _named(signed)
     members = copies.select("id", "total", F.explode("keys").alias("key"))
     shortest = F.min(F.struct("total", "id"))["id"].alias("leader")
-    shared = members.groupBy("key").agg(shortest, F.count("*").alias("n")).where("n > 1")
+    shared = common.table(members.groupBy("key").agg(shortest, F.count("*").alias("n")).where("n > 1"), "shared")
     members = common.table(common.keyed_join(members, shared, ["key"], copies.count() * bands).select("key", "id", "leader"), "members")
     reps = copies.join(members.select("id").distinct(), "id").select("id", F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias("h"))
     involved = common.table(source.join(reps, ["doc_id", "h"]).select("id", "text").dropDuplicates(["id"]), "involved")
@@ -264,7 +267,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE
     # classes, then by all pairs that may be similar and are in different classes
     rest = common.keyed_join(labelled, several, ["key"], labelled.count()).select("id").distinct()
     prefix = _prefixes(rest, involved, size, similarity)
-    done = [members, links, involved, prefix, tried, labelled]
+    done = [members, links, involved, prefix, tried, labelled, shared]
     for leaders in (True, False):
         placed = common.table(prefix.join(found, "id", "left").withColumn("class_id", F.coalesce("class_id", "id")), "placed")
         pairs = common.table(_prefix_pairs(placed, similarity, leaders).join(tried, ["a", "b"], "left_anti"), "pairs")

@@ -77,11 +77,14 @@ def keyed_join(left: DataFrame, right: DataFrame, on: list[str], total: int, how
     """``left`` joined with ``right``, which has each key once and, as ``n``, at least its number of rows in ``left``.
 
     Hot keys, at most ``HOT_KEYS`` rows of ``right``, are broadcast, so their rows stay where they
-    are; the others are shuffled. ``total`` is the sum of ``n``. ``left`` is read twice and should be a table.
+    are; the others are shuffled. ``total`` is the sum of ``n``. Where keys are hot ``left`` is read twice.
     """
-    limit = hot_limit(total)
-    hot, cold = F.broadcast(right.where(F.col("n") > limit)), right.where(F.col("n") <= limit)
-    return left.join(hot, on).unionByName(left.join(hot.select(*on), on, "left_anti").join(cold, on, how))
+    hot = right.where(F.col("n") > hot_limit(total)).withColumn("_k", F.xxhash64(*on)).collect()
+    if not hot:
+        return left.join(right, on, how)
+    near = right.sparkSession.createDataFrame([tuple(r)[:-1] for r in hot], right.schema)
+    known = F.xxhash64(*on).isin([r["_k"] for r in hot])
+    return left.where(known).join(F.broadcast(near), on, how).unionByName(left.where(~known).join(right.where(~known), on, how))
 
 
 def free_shuffles(spark: SparkSession) -> None:
