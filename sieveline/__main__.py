@@ -1,53 +1,65 @@
-"""Command line: run a query over a folder of tables, or prepare the splits of a log."""
+"""Command line: run a query over a folder of tables, or one of the jobs of the search."""
 
 from __future__ import annotations
 
 import argparse
+import json
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
+from sieveline.plans import catalog, workflow
+from sieveline.plans.config import SearchConfig, from_contract
+from sieveline.sources import io
 
-def prepare_split(spark: SparkSession, train: str, out: str) -> dict[str, int]:
-    """Parts, contexts by part, evaluation samples and the item corpus; returns their row counts."""
-    from sieveline.operators import split
-    from sieveline.sources import io
 
-    log = io.load_train(spark, train)
-    parts = split.assign_parts(log)
-    if not split.disjoint(parts):
-        raise ValueError("a text is in two parts")
-    io.write_table(parts, f"{out}/text_parts.parquet")
-    contexts = split.build_contexts(log.join(parts, "query_text"), [*io.CONTEXT_COLS, "part"])
-    io.write_table(contexts, f"{out}/contexts.parquet", ["part"])
-    contexts = spark.read.parquet(f"{out}/contexts.parquet")
-    for part in ("dev", "test"):
-        io.write_table(split.sample_queries(contexts.where(F.col("part") == part)), f"{out}/eval_{part}.parquet")
-    io.write_table(split.build_corpus(log.select(io.ITEM_COLS)), f"{out}/{io.CORPORA['split']}")
-    return {r["part"]: r["count"] for r in contexts.groupBy("part").count().collect()}
+def _parser() -> argparse.ArgumentParser:
+    parser = argparse.ArgumentParser(prog="sieveline", description=__doc__)
+    commands = parser.add_subparsers(dest="command", required=True)
+
+    def command(name: str, text: str, *required: str, **optional: str | None) -> None:
+        own = commands.add_parser(name, help=text)
+        for arg in required:
+            own.add_argument(arg)
+        for arg, default in optional.items():
+            own.add_argument(f"--{arg.replace('_', '-')}", default=default)
+
+    command("query", "run a registered query and write its result as Parquet", "name", "tables", "output")
+    command("prepare-split", "split a training log by query text", "train", "output")
+    command("embed", "fill the store of item vectors of a prepared split", "split", "work", config=None, corpus="split")
+    command("finetune", "train an encoder on a prepared split and store its item vectors", "split", "work", "name", config=None)
+    command("train", "train a ranker on a prepared split", "split", "output", config=None)
+    command("compare", "compare two stored runs by query", "run", "reference")
+    command("predict", "answer queries with a stored ranker", "model", "queries", "split", "output", work=None, corpus="split", config=None)
+    return parser
 
 
 def main(argv: list[str] | None = None) -> None:
-    parser = argparse.ArgumentParser(prog="sieveline", description=__doc__)
-    commands = parser.add_subparsers(dest="command", required=True)
-    run = commands.add_parser("query", help="run a registered query and write its result as Parquet")
-    run.add_argument("name")
-    run.add_argument("tables")
-    run.add_argument("output")
-    prepare = commands.add_parser("prepare-split", help="split a training log by query text")
-    prepare.add_argument("train")
-    prepare.add_argument("output")
+    parser = _parser()
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("sieveline").getOrCreate()
+    config = from_contract(io.read_json(spark, args.config)) if getattr(args, "config", None) else None
     if args.command == "query":
-        from sieveline.plans import catalog
-
         known = catalog.queries()
         if args.name not in known:
             parser.error(f"unknown query {args.name!r}; one of {', '.join(known)}")
         known[args.name](spark, args.tables).write.mode("errorifexists").parquet(args.output)
+    elif args.command == "prepare-split":
+        print(workflow.prepare_split(spark, args.train, args.output))
+    elif args.command == "embed":
+        items = workflow.listings(io.load_corpus(spark, args.split, args.corpus))
+        print(workflow.embed(items, args.work, (config or SearchConfig()).retrieval.dense).count())
+    elif args.command == "finetune":
+        _, losses = workflow.finetune_encoder(spark, args.split, args.work, config or SearchConfig(), args.name)
+        print(losses[:1], losses[-1:])
+    elif args.command == "train":
+        done = workflow.train(spark, args.split, args.output, config or SearchConfig())
+        print(json.dumps({k: done[k] for k in ("name", "metrics", "timings")}))
+    elif args.command == "compare":
+        workflow.compare(spark, args.run, args.reference).show(truncate=False)
     else:
-        print(prepare_split(spark, args.train, args.output))
+        log = spark.read.parquet(f"{args.split}/contexts.parquet")
+        corpus = io.load_corpus(spark, args.split, args.corpus)
+        print(json.dumps(workflow.predict(spark, args.model, args.queries, corpus, log, args.output, args.work or f"{args.output}.work", config)["timings"]))
 
 
 if __name__ == "__main__":

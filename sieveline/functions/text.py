@@ -6,7 +6,7 @@ written with Unicode properties; the same patterns work in other SQL engines.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -59,18 +59,21 @@ def token_set(text: Column) -> Column:
     return F.array_distinct(tokens(text))
 
 
-def term_counts(docs: DataFrame, key: Column, text: Column, name: str) -> DataFrame:
+def term_counts(docs: DataFrame, key: Column, text: Column, name: str, leave_out: frozenset[str] = frozenset(), form: Callable[[str], str] | None = None) -> DataFrame:
     """``name`` (the key), dl (words), term and tf of each distinct word of each text, counted where the text stands.
 
-    Counting in Arrow batches shuffles nothing, unlike grouping exploded words, and takes about a
+    Words of ``leave_out`` don't count; with ``form`` a term is a word's form, made once for each distinct word
+    of a batch. Counting in Arrow batches shuffles nothing, unlike grouping exploded words, and takes about a
     third of the time of the same with sorted arrays and lambdas.
     """
     source = docs.select(key.alias(name), F.lower(F.coalesce(text, F.lit(""))).alias("_t"))
     kind = source.schema[name].dataType.simpleString()
-    return source.mapInArrow(lambda it: _counted(it, name), f"`{name}` {kind}, dl long, term string, tf long")
+    return source.mapInArrow(lambda it: _counted(it, name, leave_out, form), f"`{name}` {kind}, dl long, term string, tf long")
 
 
-def _counted(batches: Iterator[pa.RecordBatch], name: str, rows: int = 512) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], name: str, leave_out: frozenset[str], form: Callable[[str], str] | None, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    out = pa.array(sorted(leave_out), pa.string())
+    known: dict[str, str] = {}
     for whole in batches:
         for k in range(0, whole.num_rows, rows):
             batch = whole.slice(k, rows)
@@ -79,11 +82,20 @@ def _counted(batches: Iterator[pa.RecordBatch], name: str, rows: int = 512) -> I
             row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
             some = pc.greater(pc.binary_length(words), 0)
             coded, row = words.filter(some).dictionary_encode(), row[some.to_numpy(zero_copy_only=False)]
-            size = max(1, len(coded.dictionary))
-            pairs, tf = np.unique(row * size + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            terms, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+            if leave_out and len(terms):
+                keep = ~pc.is_in(terms, out).to_numpy(zero_copy_only=False)[codes]
+                row, codes = row[keep], codes[keep]
+            if form is not None:
+                forms = pa.array([known[t] if t in known else known.setdefault(t, form(t)) for t in terms.to_pylist()], pa.string()).dictionary_encode()
+                if len(known) > 1 << 18:
+                    known.clear()
+                terms, codes = forms.dictionary, forms.indices.to_numpy(zero_copy_only=False)[codes] if len(codes) else codes
+            size = max(1, len(terms))
+            pairs, tf = np.unique(row * size + codes, return_counts=True)
             dl = np.bincount(row, minlength=batch.num_rows)
             own = pairs // size
-            yield pa.RecordBatch.from_arrays([batch.column(name).take(pa.array(own)), pa.array(dl[own]), coded.dictionary.take(pa.array(pairs % size)), pa.array(tf)], names=[name, "dl", "term", "tf"])
+            yield pa.RecordBatch.from_arrays([batch.column(name).take(pa.array(own)), pa.array(dl[own]), terms.take(pa.array(pairs % size)), pa.array(tf)], names=[name, "dl", "term", "tf"])
 
 
 def overlap(query: Column, item: Column) -> Column:
@@ -113,7 +125,8 @@ def parse_filters(text: Column, keys: list[str] = FILTER_KEYS) -> Column:
     """
     longest = "|".join(f"\\Q{k}\\E" for k in sorted(keys, key=lambda k: (-len(k), k)))
     marked = F.regexp_replace(F.coalesce(text, F.lit("")), f"({longest})", "\x1e$1\x1d")
-    entries = F.transform(F.slice(F.split(marked, "\x1e", -1), 2, 10_000), lambda e: F.struct(F.split_part(e, F.lit("\x1d"), F.lit(1)).alias("key"), F.trim(F.split_part(e, F.lit("\x1d"), F.lit(2))).alias("value")))
+    parts = F.split(marked, "\x1e", -1)
+    entries = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda e: F.struct(F.split_part(e, F.lit("\x1d"), F.lit(1)).alias("key"), F.trim(F.split_part(e, F.lit("\x1d"), F.lit(2))).alias("value")))
     # a map takes each key once
     names = F.array_distinct(F.transform(entries, lambda e: e["key"]))
     values = F.transform(names, lambda n: F.element_at(F.filter(entries, lambda e: e["key"] == n), -1)["value"])

@@ -2,11 +2,15 @@
 
 Queries are taken in blocks of bounded size, each broadcast to a scan of the items: every task
 keeps the k best of each query among its rows, so what is shuffled to the final cut is at most
-k rows for each query and task. Ties are cut by id in both phases, so both agree.
+k rows for each query and task. A task scores ``ROWS`` items at a time and looks closer only at those
+that may be among a query's k best, so its memory is bounded by block, k and ``ROWS``. Ties are cut
+by id in both phases, so both agree.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,8 +19,8 @@ from pyspark.sql import functions as F
 from sieveline.functions.numeric import dot
 from sieveline.operators.lexical import top_k
 
-#: Queries held by each worker at once.
-BLOCK = 4096
+#: Queries held by each worker at once, and items that it scores at once.
+BLOCK, ROWS = 2048, 1024
 DIGITS = 9
 
 
@@ -24,49 +28,72 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(-1, width)
 
 
-def _search_block(items: DataFrame, ids: np.ndarray, vectors: np.ndarray, groups: np.ndarray | None, k: int, key_kind: str) -> DataFrame:
+class _Best:
+    """The k best (score, id) of each query so far; ids are numbered by a growing list."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.scores, self.at, self.ids = k, np.full((n, 0), -np.inf), np.zeros((n, 0), np.int64), np.zeros(0, object)
+
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Take in a slice of items, of which a query keeps k at most."""
+        scores = np.round(scores, DIGITS)
+        if scores.shape[1] > self.k:
+            # what is below a query's k-th best score of the slice can't be in; ties with it stay for the cut by id
+            low = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, -self.k, None]
+            scores = np.where(scores >= low, scores, -np.inf)
+        every, known = np.concatenate([self.ids, ids]), len(self.ids)
+        order = np.argsort(every, kind="stable")
+        place = np.empty(len(every), np.int64)
+        place[order] = np.arange(len(every))
+        both, at = np.concatenate([self.scores, scores], axis=1), np.concatenate([place[self.at], np.broadcast_to(place[known:], scores.shape)], axis=1)
+        best = np.lexsort((at, -both), axis=1)[:, : self.k]
+        self.scores, at = np.take_along_axis(both, best, 1), np.take_along_axis(at, best, 1)
+        # forget ids that no query holds any more
+        used, back = np.unique(np.where(np.isfinite(self.scores), at, order.size), return_inverse=True)
+        real = used < order.size
+        self.ids = np.concatenate([every[order[used[real]]], np.zeros(0, every.dtype)]) if real.any() else every[:0]
+        self.at = np.minimum(back.reshape(at.shape), max(len(self.ids) - 1, 0))
+
+
+def _search_block(items: DataFrame, ids: np.ndarray, vectors: np.ndarray, groups: np.ndarray | None, k: int, schema: str) -> DataFrame:
     held = items.sparkSession.sparkContext.broadcast((ids, vectors, groups))
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q_ids, q, q_group = held.value
-        best: tuple | None = None
-        for batch in batches:
-            if not batch.num_rows or not len(q_ids):
-                continue
-            item = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            scores = q @ _matrix(batch.column("embedding"), q.shape[1]).T
-            if q_group is not None:
-                scores = np.where(q_group[:, None] == batch.column("grp").to_numpy(zero_copy_only=False)[None, :], scores, -np.inf)
-            own = np.broadcast_to(item, scores.shape)
-            if best is not None:
-                scores, own = np.concatenate([best[0], scores], axis=1), np.concatenate([best[1], own], axis=1)
-            order = np.lexsort((own, -np.round(scores, DIGITS)), axis=1)[:, :k]
-            best = np.take_along_axis(scores, order, 1), np.take_along_axis(own, order, 1)
-        if best is not None:
-            keep = np.isfinite(best[0])
+        best = _Best(len(q_ids), k)
+        for whole in batches:
+            for start in range(0, whole.num_rows if len(q_ids) else 0, ROWS):
+                batch = whole.slice(start, ROWS)
+                scores = q @ _matrix(batch.column("embedding"), q.shape[1]).T
+                if q_group is not None:
+                    scores = np.where(q_group[:, None] == batch.column("grp").to_numpy(zero_copy_only=False)[None, :], scores, -np.inf)
+                best.add(scores, batch.column("doc_id").to_numpy(zero_copy_only=False))
+        keep = np.isfinite(best.scores)
+        if keep.any():
             rows = np.broadcast_to(q_ids[:, None], keep.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[keep]), pa.array(best[1][keep]), pa.array(best[0][keep])], names=["query_id", "doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[keep]), pa.array(best.ids[best.at[keep]]), pa.array(best.scores[keep])], names=["query_id", "doc_id", "score"])
 
-    return items.mapInArrow(run, f"query_id {key_kind}, doc_id {key_kind}, score double")
+    return items.mapInArrow(run, schema)
 
 
-def search(items: DataFrame, queries: DataFrame, k: int, group: str | None = None, key_kind: str = "long") -> DataFrame:
+def search(items: DataFrame, queries: DataFrame, k: int, group: str | None = None) -> DataFrame:
     """The k best ``items`` (doc_id, embedding) for each of ``queries`` (query_id, embedding), with rank.
 
-    With ``group`` (a column of both) only items of the query's own group compete.
+    With ``group`` (a column of both) only items of the query's own group compete. Scores are rounded to
+    ``DIGITS`` digits. The driver holds a block of queries at a time.
     """
     cols = ["embedding"] + ([F.col(group).alias("grp")] if group else [])
     items = items.select("doc_id", *cols).where("embedding is not null")
     queries = queries.select("query_id", *cols).where("embedding is not null")
-    n = queries.count()
-    blocks = max(1, -(-n // BLOCK))
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {items.schema['doc_id'].dataType.simpleString()}, score double"
+    blocks = max(1, -(-queries.count() // BLOCK))
     found = None
     for b in range(blocks):
         got = (queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).toArrow()
         if not got.num_rows and (found is not None or b < blocks - 1):
             continue  # an empty block, but one is kept for the schema
         vectors = np.array(got["embedding"].to_pylist(), np.float64).reshape(got.num_rows, -1) if got.num_rows else np.zeros((0, 0))
-        part = _search_block(items, got["query_id"].to_numpy(), vectors, got["grp"].to_numpy() if group else None, k, key_kind)
+        part = _search_block(items, got["query_id"].to_numpy(), vectors, got["grp"].to_numpy() if group else None, k, schema)
         found = part if found is None else found.unionByName(part)
     return top_k(found, k, digits=DIGITS)
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.functions.text import stable_hash
+
 KS = (50, 100, 300, 1000)
 RESAMPLES = 5000
 
@@ -42,57 +42,69 @@ def recall_report(predictions: DataFrame, queries: DataFrame, seen: DataFrame, k
     return one.select(F.inline("a"))
 
 
-def paired_bootstrap(diffs: np.ndarray, resamples: int = RESAMPLES, seed: int = 42) -> tuple[float, float, float]:
-    """Mean difference and its 95 per cent percentile interval over resampled queries."""
-    r = np.random.default_rng(seed)
-    means = np.array([diffs[r.integers(0, len(diffs), len(diffs))].mean() for _ in range(resamples)])
-    low, high = np.percentile(means, [2.5, 97.5])
-    return float(diffs.mean()), float(low), float(high)
+def per_query(predicted: DataFrame, k: int = KS[0]) -> DataFrame:
+    """query_id, its slices, and recall of the first k and of the whole pool, for a run that is stored."""
+    return predicted.select("query_id", "query_text", "filters", "category", recall_at_k(F.col("doc_ids"), F.col("item_ids"), k).alias("recall"), recall_at_k(F.col("doc_ids"), F.col("item_ids"), 2**31 - 1).alias("pool_recall"))
+
 
+#: Largest number of copies of a row in a resample that its weights tell apart: more have probability 1e-6.
+MOST_COPIES = 8
 
-def verdict(low: float, high: float) -> str:
-    return "better" if low > 0 else "worse" if high < 0 else "undetermined"
 
+def poisson_weight(u: Column) -> Column:
+    """How often a row is in a resample: the Poisson quantile (mean 1) of a uniform number."""
+    weight, below, term = F.lit(0), 0.0, float(np.exp(-1.0))
+    for k in range(MOST_COPIES):
+        below, term = below + term, term / (k + 1)
+        weight = weight + (u >= below).cast("int")
+    return weight
 
-def bootstrap_by_hash(diffs: DataFrame, resamples: int = RESAMPLES) -> DataFrame:
-    """The same interval without collecting queries: each row gets a Poisson weight for each resample.
 
-    Weights come from hashes of (id, resample) and are added up in each task, so what is shuffled
-    is one number for each resample and task.
+def bootstrap(diffs: DataFrame, by: tuple[str, ...] = (), resamples: int = RESAMPLES) -> DataFrame:
+    """n, mean difference and its 95 per cent percentile interval for each group of ``diffs`` (query_id, diff).
+
+    Nothing is collected: each row has a Poisson weight for each resample, made of a hash of its id and
+    the resample, and weighted sums are added up in each task, so what is shuffled is one row for each
+    group, resample and task. The same rows give the same interval in any order.
     """
-    draws = diffs.select("query_id", "diff", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
-    u = (F.pmod(F.xxhash64("query_id", "resample"), F.lit(2**31)) + 0.5) / 2.0**31
-    cumulative, p = [], np.exp(-1.0)
-    total = 0.0
-    for k in range(8):
-        total += p
-        cumulative.append(total)
-        p /= k + 1
-    weight = sum(((u >= c).cast("int") for c in cumulative), F.lit(0))
-    means = draws.withColumn("w", weight).groupBy("resample").agg(F.try_divide(F.sum(F.col("w") * F.col("diff")), F.sum("w")).alias("m"))
-    return means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+    # differences of recalls are small fractions: in whole billionths a sum doesn't depend on its order
+    units = F.round(F.col("diff") * 10**9).cast("long")
+    own = diffs.groupBy("query_id").agg(F.collect_list(F.struct(*by, units.alias("units"))).alias("rows"))  # a row for each group that a query is in
+    u = (stable_hash(F.concat_ws("/", F.col("query_id").cast("string"), F.col("resample").cast("string")), "bootstrap") % 1_000_003 + F.lit(0.5)).cast("double") / 1_000_003
+    draws = own.select("query_id", "rows", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample")).select("resample", "rows", poisson_weight(u).alias("w")).where("w > 0")
+    sums = draws.select("resample", "w", F.inline("rows")).groupBy(*by, "resample").agg(F.sum(F.col("w") * F.col("units")).alias("s"), F.sum("w").alias("n"))
+    means = sums.withColumn("m", F.try_divide(F.col("s"), F.col("n")) / 10**9)
+    limits = means.groupBy(*by).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+    whole = diffs.groupBy(*by).agg(F.count("*").alias("n"), F.avg("diff").alias("diff"))
+    return whole.join(limits, list(by)) if by else whole.crossJoin(limits)  # one row each
+
+
+def verdict(low: Column, high: Column) -> Column:
+    """What an interval says about a difference."""
+    return F.when(low > 0, "better").when(high < 0, "worse").otherwise("undetermined")
 
 
 def aligned(a: DataFrame, b: DataFrame) -> DataFrame:
     """query_id and the two runs' recalls; raises unless both hold the same queries once each."""
     joined = a.select("query_id", F.col("recall").alias("recall_a"), F.col("pool_recall").alias("pool_a")).join(b.select("query_id", F.col("recall").alias("recall_b"), F.col("pool_recall").alias("pool_b"), F.lit(1).alias("_b")), "query_id", "full_outer")
-    if not joined.where("recall_a is null or _b is null").isEmpty():
+    if not joined.where("recall_a is null or _b is null").isEmpty() or not joined.groupBy("query_id").count().where("count > 1").isEmpty():
         raise ValueError("the runs hold different queries")
     return joined.drop("_b")
 
 
-def compare_per_query(a: DataFrame, b: DataFrame, masks: dict[str, Callable[[], Column]] | None = None, resamples: int = RESAMPLES) -> dict[str, dict]:
-    """Bootstrap of recall and pool recall, overall and by slice. Queries come to the driver: a few thousand rows."""
-    context = a.drop("recall", "pool_recall")
-    rows = aligned(a, b).join(context, "query_id").orderBy("query_id")
-    got = rows.select("*", *(m().alias(f"_m_{n}") for n, m in (masks or {}).items())).toPandas()
-    out = {}
-    for name, frame in {"overall": got, **{n: got[got[f"_m_{n}"].fillna(False).astype(bool)] for n in masks or {}}}.items():
-        if len(frame):
-            mean, low, high = paired_bootstrap((frame["recall_a"] - frame["recall_b"]).to_numpy(), resamples)
-            out[name] = {"n": len(frame), "diff": mean, "low": low, "high": high, "verdict": verdict(low, high)}
-    mean, low, high = paired_bootstrap((got["pool_a"] - got["pool_b"]).to_numpy(), resamples)
-    return out | {"pool": {"n": len(got), "diff": mean, "low": low, "high": high, "verdict": verdict(low, high)}}
+def compare_runs(a: DataFrame, b: DataFrame, resamples: int = RESAMPLES, masks: dict[str, Column] | None = None) -> DataFrame:
+    """slice, n, diff, low, high and verdict of run a against run b: overall, for the pool, and by slices of the queries.
+
+    ``masks`` (name -> condition on a's columns) replaces the usual slices of query_text, filters and category.
+    """
+    words = F.size(F.split("query_text", " ", -1))
+    masks = slices(words) if masks is None else masks
+    named = a.select("query_id", F.array_compact(F.array(F.lit("overall"), *(F.when(c, F.lit(n)) for n, c in masks.items()))).alias("slices"))
+    rows = aligned(a, b).join(named, "query_id")
+    recall = rows.select("query_id", F.explode("slices").alias("slice"), (F.col("recall_a") - F.col("recall_b")).alias("diff"))
+    pool = rows.select("query_id", F.lit("pool").alias("slice"), (F.col("pool_a") - F.col("pool_b")).alias("diff"))
+    found = bootstrap(recall.unionByName(pool), ("slice",), resamples)
+    return found.withColumn("verdict", verdict(F.col("low"), F.col("high"))).select("slice", "n", "diff", "low", "high", "verdict")
 
 
 def average_runs(runs: list[DataFrame]) -> DataFrame:

@@ -52,9 +52,9 @@ def with_positive(frame: DataFrame) -> DataFrame:
     return frame.join(frame.where("label > 0").select("query_id").distinct(), "query_id", "left_semi")
 
 
-def check_contract(frame: DataFrame, features: list[str]) -> DataFrame:
-    """The frame's keys and features in the contract's order; a missing or repeated feature raises."""
+def check_contract(frame: DataFrame, features: list[str], keep: list[str] | None = None) -> DataFrame:
+    """The frame's keys and features in the contract's order, and ``keep``; a missing or repeated feature raises."""
     missing = [f for f in features if f not in frame.columns]
     if missing or len(set(features)) != len(features):
         raise ValueError(f"feature contract broken: missing {missing}, {len(features) - len(set(features))} repeated")
-    return frame.select("query_id", "doc_id", *features)
+    return frame.select("query_id", "doc_id", *features, *(c for c in keep or [] if c not in features))

@@ -17,22 +17,23 @@ def location_stats(items: DataFrame) -> DataFrame:
     return items.groupBy("loc").agg(F.median("lat").alias("lat"), F.median("lon").alias("lon"), F.count("*").alias("n_items"))
 
 
-def location_centers(pairs: DataFrame) -> DataFrame:
-    """For each searched place the median of its chosen items' coordinates, pairs, items and median spread in km."""
+def location_centers(pairs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """For each searched place (of each view, with ``keys``) the median of its chosen items' coordinates, pairs, items and median spread in km."""
+    own = [*keys, "search_loc"]
     located = pairs.where("lat is not null and lon is not null")
-    centre = located.groupBy("search_loc").agg(F.median("lat").alias("c_lat"), F.median("lon").alias("c_lon"), F.count("*").alias("n_pairs"), F.countDistinct("item_id").alias("n_items"))
+    centre = located.groupBy(*own).agg(F.median("lat").alias("c_lat"), F.median("lon").alias("c_lon"), F.count("*").alias("n_pairs"), F.countDistinct("item_id").alias("n_items"))
     away = haversine_km(F.col("c_lat"), F.col("c_lon"), F.col("lat"), F.col("lon"))
-    spread = located.join(centre, "search_loc").groupBy("search_loc").agg(F.median(away).alias("spread_km"))
-    return centre.join(spread, "search_loc").withColumnsRenamed({"c_lat": "lat", "c_lon": "lon"})
+    spread = located.join(centre, own).groupBy(*own).agg(F.median(away).alias("spread_km"))
+    return centre.join(spread, own).withColumnsRenamed({"c_lat": "lat", "c_lon": "lon"})
 
 
-def query_centers(places: DataFrame, stats: DataFrame, history: DataFrame) -> DataFrame:
-    """Centre of each searched place: the corpus' own median, else the history's; source 0, 1 or 2 (unknown)."""
+def query_centers(places: DataFrame, stats: DataFrame, history: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Centre of each searched place: the corpus' own median, else the history's (of the same view); source 0, 1 or 2 (unknown)."""
     own = stats.select(F.col("loc").alias("search_loc"), F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"))
-    past = history.select("search_loc", F.col("lat").alias("h_lat"), F.col("lon").alias("h_lon"))
-    joined = places.select("search_loc").distinct().join(own, "search_loc", "left").join(past, "search_loc", "left")
+    past = history.select(*keys, "search_loc", F.col("lat").alias("h_lat"), F.col("lon").alias("h_lon"))
+    joined = places.select(*keys, "search_loc").distinct().join(own, "search_loc", "left").join(past, [*keys, "search_loc"], "left")
     source = F.when(F.col("o_lat").isNotNull(), 0).when(F.col("h_lat").isNotNull(), 1).otherwise(2)
-    return joined.select("search_loc", F.coalesce("o_lat", "h_lat").alias("lat"), F.coalesce("o_lon", "h_lon").alias("lon"), source.alias("center_source"))
+    return joined.select(*keys, "search_loc", F.coalesce("o_lat", "h_lat").alias("lat"), F.coalesce("o_lon", "h_lon").alias("lon"), source.alias("center_source"))
 
 
 def radius_join(centers: DataFrame, items: DataFrame, km: float) -> DataFrame:

@@ -41,6 +41,16 @@ def full_view(df: DataFrame) -> DataFrame:
     return df.withColumn("view_id", F.lit(0))
 
 
+def benchmark_history(log_contexts: DataFrame, items: DataFrame) -> DataFrame:
+    """What queries of no past text may see: all choices of the whole log, in one view."""
+    return full_view(history_pairs(log_contexts, items))
+
+
+def union_of_views(pairs: DataFrame) -> DataFrame:
+    """Each choice that any view may see, once."""
+    return pairs.drop("view_id").distinct()
+
+
 def check_coverage(queries: DataFrame, viewed: DataFrame) -> None:
     """Every query must be in exactly one view."""
     bad = queries.select("query_id").join(viewed.groupBy("query_id").count(), "query_id", "full_outer").where("count is null or count <> 1")

@@ -7,6 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sieveline.operators import tables
+from sieveline.sources import io
+
+# Quantiles of a profile.
 LEVELS = [0.01, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
 
 
@@ -22,18 +26,30 @@ def top_values(df: DataFrame, column: str, name: str, n: int) -> DataFrame:
 
 
 def quantiles(df: DataFrame, column: str, name: str, levels: list[float] = LEVELS) -> DataFrame:
-    """Non-null count, extremes and exact interpolated quantiles."""
-    x = F.col(column).cast("double")
-    q = F.percentile(x, F.array(*map(F.lit, levels)))
-    one = df.agg(F.count(x).alias("n"), F.min(x).alias("min"), q.alias("q"), F.max(x).alias("max"))
-    return one.select(F.lit(name).alias("dataset"), F.lit(column).alias("column"), "n", "min", *(F.col("q")[k].alias(f"p{int(100 * p):02d}") for k, p in enumerate(levels)), "max")
+    """Non-null count, extremes and exact interpolated quantiles, from the places of the sorted values: no task holds all of them."""
+    spark = df.sparkSession
+    x = df.select(F.col(column).cast("double").alias("x")).where("x is not null")
+    placed = tables.row_index(x, ["x"], "row", io.scratch(spark, "sorted"))
+    n = placed.count()
+    cells = []
+    for p in levels:
+        at = p * max(n - 1, 0)
+        low, high = (F.max(F.when(F.col("row") == k, F.col("x"))) for k in (int(at), min(int(at) + 1, max(n - 1, 0))))
+        cells.append((low + (high - low) * (at - int(at))).alias(f"p{int(100 * p):02d}"))
+    one = placed.agg(F.count("*").alias("n"), F.min("x").alias("min"), *cells, F.max("x").alias("max"))
+    return one.select(F.lit(name).alias("dataset"), F.lit(column).alias("column"), "*")
+
+
+def _distinct(*columns: Column) -> Column:
+    """Number of distinct values, told apart by two 64-bit hashes, so that values aren't shuffled."""
+    return F.countDistinct(F.xxhash64(*columns), F.xxhash64(F.lit(1), *columns))
 
 
 def integrity(df: DataFrame, key: str, pattern: str, name: str) -> DataFrame:
     """Rows, repeated whole rows, null, malformed and distinct keys."""
     text = F.col(key).cast("string")
-    rows = F.struct(*df.columns)
-    return df.agg(F.count("*").alias("n_rows"), (F.count("*") - F.countDistinct(F.to_json(rows))).alias("duplicate_rows"), F.count_if(text.isNull()).alias("null_ids"), F.count_if(~text.rlike(pattern)).alias("malformed_ids"), F.countDistinct(text).alias("unique_ids")).select(F.lit(name).alias("dataset"), "*")
+    rows = _distinct(*(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in df.columns))
+    return df.agg(F.count("*").alias("n_rows"), (F.count("*") - rows).alias("duplicate_rows"), F.count_if(text.isNull()).alias("null_ids"), F.count_if(~text.rlike(pattern)).alias("malformed_ids"), F.countDistinct(text).alias("unique_ids")).select(F.lit(name).alias("dataset"), "*")
 
 
 def missingness(df: DataFrame, name: str) -> DataFrame:
@@ -61,6 +77,7 @@ def bucket_shares(df: DataFrame, buckets: dict[str, Column], name: str) -> DataF
 
 def anomalies() -> dict[str, Column]:
     """Conditions that an item's numbers shouldn't meet."""
+    # The checks' names and limits.
     p, r, n, lat, lon = (F.col(c) for c in ("item_price", "item_rating", "item_rating_reviews_count", "item_latitude", "item_longitude"))
     return {
         "price_negative": p < 0, "price_zero": p == 0, "price_one": p == 1, "price_over_1_million": p > 1_000_000, "rating_outside_0_5": ~r.between(0, 5), "reviews_negative": n < 0, "reviews_fractional": n != F.floor(n),
@@ -83,7 +100,7 @@ def histogram(df: DataFrame, column: str, low: float, high: float, bins: int, lo
 def text_profile(df: DataFrame, key: str, text: str, name: str) -> DataFrame:
     """Mean length, texts shared by several keys, markup and texts over 2000 characters."""
     t = F.coalesce(text, F.lit(""))
-    return df.agg(F.count("*").alias("n"), F.avg(F.length(t)).alias("mean_chars"), (F.countDistinct(key) - F.countDistinct(t)).alias("extra_keys"), F.count_if(t.rlike("<[a-zA-Z/][^>]*>")).alias("with_markup"), F.count_if(F.length(t) > 2000).alias("over_2000")).select(F.lit(name).alias("dataset"), "*")
+    return df.agg(F.count("*").alias("n"), F.avg(F.length(t)).alias("mean_chars"), (F.countDistinct(key) - _distinct(t)).alias("extra_keys"), F.count_if(t.rlike("<[a-zA-Z/][^>]*>")).alias("with_markup"), F.count_if(F.length(t) > 2000).alias("over_2000")).select(F.lit(name).alias("dataset"), "*")
 
 
 def popularity(pairs: DataFrame) -> DataFrame:

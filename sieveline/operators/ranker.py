@@ -29,14 +29,14 @@ def select_top(frame: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFram
     return queries.select("query_id").join(own, "query_id", "left").withColumn("doc_ids", F.coalesce("doc_ids", empty))
 
 
-def train_gbt(frame: DataFrame, features: list[str], trees: int = 20, depth: int = 4, seed: int = 42):
+def train_gbt(frame: DataFrame, features: list[str], trees: int = 20, depth: int = 4, rate: float = 0.1, seed: int = 42):
     """Gradient-boosted trees on (features, label), nulls as -1; a pointwise stand-in for listwise boosting."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
     rows = _filled(frame, features).select("label", *features)
-    stages = [VectorAssembler(inputCols=features, outputCol="_x"), GBTClassifier(labelCol="label", featuresCol="_x", maxIter=trees, maxDepth=depth, seed=seed)]
+    stages = [VectorAssembler(inputCols=features, outputCol="_x"), GBTClassifier(labelCol="label", featuresCol="_x", maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed)]
     return Pipeline(stages=stages).fit(rows)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,24 +13,25 @@ from sieveline.operators.microcats import softmax_weights
 CORE_MASS = 0.9
 
 
-def _mean(rows: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
-    """Element-wise (weighted) sum or mean of ``embedding`` for each key, as an array."""
-    value = F.col("x").cast("double") * (F.col(weight) if weight else F.lit(1.0))
-    long = rows.select(*keys, *([weight] if weight else []), F.posexplode("embedding").alias("pos", "x"))
-    cells = long.groupBy(*keys, "pos").agg((F.sum(value) if weight else F.avg(value)).alias("v"))
-    return cells.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("embedding"))
+def _vectors(rows: DataFrame, keys: list[str], kind: str, weight: str | None = None) -> DataFrame:
+    """Element-wise ``mean`` or ``sum`` of ``embedding`` for each key, weighted or not; partial sums are made before the shuffle."""
+    vector = array_to_vector(F.transform("embedding", lambda x: x.cast("double")))
+    metric = getattr(Summarizer, kind)
+    value = metric(F.col("_v"), F.col(weight)) if weight else metric(F.col("_v"))
+    cells = rows.where("embedding is not null").withColumn("_v", vector).groupBy(*keys).agg(value.alias("_s"))
+    return cells.select(*keys, vector_to_array("_s").alias("embedding"))
 
 
 def text_item_means(pairs: DataFrame, items: DataFrame) -> DataFrame:
-    """Mean embedding of each text's distinct chosen items."""
+    """Mean embedding of each text's distinct chosen items; the same choice seen in several views counts once."""
     distinct = pairs.select("query_text", "item_id").distinct()
-    return _mean(distinct.join(items.select("item_id", "embedding"), "item_id"), ["query_text"])
+    return _vectors(distinct.join(items.select("item_id", "embedding"), "item_id"), ["query_text"], "mean")
 
 
 def neighbor_centroids(neighbors: DataFrame, means: DataFrame) -> DataFrame:
     """Softmax-weighted mean of the neighbours' item means, of unit length (zero stays zero)."""
     weighted = neighbors.withColumn("_w", softmax_weights(F.col("score"))).join(means, "query_text")
-    sums = _mean(weighted, ["query_id"], "_w")
+    sums = _vectors(weighted, ["query_id"], "sum", "_w")
     norm = F.sqrt(dot(F.col("embedding"), F.col("embedding")))
     return sums.withColumn("_n", norm).select("query_id", F.transform("embedding", lambda x: F.coalesce(F.try_divide(x, F.col("_n")), F.lit(0.0))).alias("embedding"))
 

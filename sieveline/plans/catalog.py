@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sieveline.plans import eval_queries, history_queries, profile_queries, retrieval_queries, text_queries
+from sieveline.plans import eval_queries, history_queries, io_queries, profile_queries, retrieval_queries, text_queries
 
-MODULES = [text_queries, retrieval_queries, history_queries, eval_queries, profile_queries]
+MODULES = [text_queries, retrieval_queries, history_queries, eval_queries, profile_queries, io_queries]
 
 
 def _all() -> dict:

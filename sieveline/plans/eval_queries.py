@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,20 +12,22 @@ from sieveline.operators import diagnostics, evaluation, features, finetune, fus
 from sieveline.plans.history_queries import _KM, _STATS
 from sieveline.plans.retrieval_queries import TOKENS, _bm25_sql
 from sieveline.plans.text_queries import CONTEXTS_SQL, contexts, hash_sql, sample_sql
+from sieveline.sources import io
 from sieveline.sources.adapter import ITEMS_SQL, items, read
 
-N_QUERIES, DEPTH, TOP = 40, 80, 20
+N_QUERIES, DEPTH, TOP = split.EVAL_QUERIES, 80, 20
 LISTS = {"bm25_global": 60, "bm25_local": 40}
 
 
 def _queries(spark, d) -> DataFrame:
-    return split.sample_queries(contexts(spark, d), N_QUERIES).persist()  # a small sample, used by every list
+    """The evaluation sample, a context of each of its texts."""
+    return split.sample_queries(contexts(spark, d), N_QUERIES).persist()
 
 
 def _lists(spark, d, queries: DataFrame, own: DataFrame) -> dict:
     docs = own.select(F.col("item_id").alias("doc_id"), F.concat_ws(" ", "title", "params").alias("text"), "loc")
     idx = lexical.index(docs)
-    asked = queries.select("query_id", F.concat_ws(" ", "query_text", "category").alias("text"), "search_loc")
+    asked = queries.select("query_id", F.col("query_text").alias("text"), "search_loc")
     return {"bm25_global": (lexical.search(idx, asked, DEPTH), LISTS["bm25_global"]), "bm25_local": (lexical.search_local(idx, asked, DEPTH, "search_loc", docs), LISTS["bm25_local"])}
 
 
@@ -129,15 +134,17 @@ def average_runs(spark, d):
 
 
 def paired_bootstrap(spark, d):
+    """Both runs compared by slices."""
     a, b = _runs(spark, d)
-    got = evaluation.compare_per_query(a, b, {"filters_set": lambda: F.col("filters_set")}, 500)
-    return spark.createDataFrame([(k, v["n"], v["diff"], v["low"], v["high"], v["verdict"]) for k, v in got.items()], "slice string, n long, diff double, low double, high double, verdict string")
+    got = evaluation.compare_runs(a, b, masks={"filters_set": F.col("filters_set"), "no_centre": ~F.col("has_center")})
+    return _rounded(got, "diff", "low", "high")
 
 
 def bootstrap_by_hash(spark, d):
-    a, b = _runs(spark, d)
-    diffs = evaluation.aligned(a, b).select("query_id", (F.col("recall_a") - F.col("recall_b")).alias("diff"))
-    return evaluation.bootstrap_by_hash(diffs, 500)
+    """The interval of one difference: of the recalls in the whole pool and in the first ranks."""
+    a, _ = _runs(spark, d)
+    diffs = a.select("query_id", (F.col("pool_recall") - F.col("recall")).alias("diff"))
+    return _rounded(evaluation.bootstrap(diffs), "diff", "low", "high")
 
 
 def validate_answer(spark, d):
@@ -163,15 +170,27 @@ def few_per_text(spark, d):
 
 
 def ranker_gbt(spark, d):
+    """Boosted trees learnt from the queries outside the validation bucket, applied to those in it."""
     built, queries, _ = frame(spark, d)
-    labelled = features.attach_labels(built, queries).persist()
     names = ["rrf", "title_overlap", "params_overlap", "loc_match", "dist_km", "price"]
-    model = ranker.train_gbt(labelled, names, trees=3, depth=3)
-    scored = ranker.predict_gbt(model, labelled, names)
-    return ranker.model_ranks(scored).select("query_id", "doc_id", "score", "model_rank", "label")
+    labelled = features.attach_labels(built, queries).select("query_id", "query_text", "doc_id", "rrf_rank", "label", *names)
+    path = io.scratch(spark, "labelled")
+    labelled.write.parquet(path)
+    labelled, held = spark.read.parquet(path), split.valid_bucket(F.col("query_text"))
+    model = ranker.train_gbt(features.with_positive(labelled.where(~held)), names, trees=20, depth=4)
+    return ranker.model_ranks(ranker.predict_gbt(model, labelled.where(held), names)).select("query_id", "doc_id", "score", "model_rank", "label")
+
+
+def unique_batches(spark, d):
+    """The training triples dealt into batches that hold no text or item twice."""
+    queries, own = _queries(spark, d), items(spark, d)
+    triples = finetune.pick_triples(_lists(spark, d, queries, own)["bm25_global"][0], queries, 10, 60).join(queries.select("query_id", "query_text"), "query_id")
+    rows = [(r["query_text"], r["pos"], r["neg"]) for r in triples.orderBy("query_id").collect()]  # a triple for each query of the sample
+    found = [(k, *row) for k, batch in enumerate(finetune.unique_batches(rows, 16)) for row in batch]
+    return spark.createDataFrame(found, "batch long, query_text string, pos long, neg long")
 
 
-_LONG = "docs as (select item_id doc_id, concat_ws(' ', title, params) as text, loc from items), queries0 as (select *, concat_ws(' ', query_text, category) as text from ctx)"
+_LONG = "docs as (select item_id doc_id, concat_ws(' ', title, params) as text, loc from items), queries0 as (select *, query_text as text from ctx)"
 _CUT = "row_number() over (partition by query_id order by round(score, 9) desc, doc_id)"
 _FRAME = f"""with {CONTEXTS_SQL}, {ITEMS_SQL}, {_STATS}, ctx as {sample_sql(N_QUERIES)}, {_LONG}, {_bm25_sql('docs', 'queries0')},
 a as (select query_id, doc_id, {_CUT} as rank from scored qualify {_CUT} <= {LISTS['bm25_global']}),
@@ -208,6 +227,18 @@ _BY = {"same_location": "same_location::varchar", "has_center": "has_center::var
 _RECALL = "len(list_intersect(coalesce(ids[:{0}], []), item_ids)) / len(item_ids)::double"
 _PRED = "pred as (select query_id, item_ids, query_text, filters, category, ids from ctx left join (select query_id, list(doc_id order by model_rank) ids from ranked group by 1) using (query_id))"
 _TWO = f"{_FRAME}, {_ranked(ranker.LINEAR)}, {_ranked({'rrf': 1.0}, 'plain')}, {_pos('ranked', 'p1')}, {_pos('plain', 'p2')}, o1 as ({_OUT.format('p1')}), o2 as ({_OUT.format('p2')})"
+_WEIGHT = " + ".join(f"(u >= {c!r})::int" for c in itertools.accumulate(math.exp(-1) / math.factorial(k) for k in range(evaluation.MOST_COPIES)))
+
+
+def _boot(source: str, by: str, group: str) -> str:
+    """CTEs whole (n, diff) and lim (low, high) of the differences d in ``source``, by its column ``by``."""
+    u = f"({hash_sql("(query_id || '/' || r)", 'bootstrap')} % 1000003 + 0.5e0) / 1000003"
+    tail = f" group by {group}" if group else ""
+    return f"""draws as (select query_id, r, {_WEIGHT} w from (select query_id, r, {u} u from (select distinct query_id from {source}), range({evaluation.RESAMPLES}) t(r))),
+sums as (select {by}r, sum(w * round(d * 1000000000)::bigint)::double / nullif(sum(w), 0) / 1000000000 m from draws join {source} using (query_id) where w > 0 group by {by}r),
+lim as (select {by}quantile_cont(m, 0.025) low, quantile_cont(m, 0.975) high from sums{tail}), whole as (select {by}count(*) n, avg(d) diff from {source}{tail})"""
+
+
 _ROWS = {
     **{f"recall@{k}": ("count(*)", f"avg({_RECALL.format(k)})") for k in (50, 100)}, "mean_pool_size": ("count(*)", "avg(coalesce(len(ids), 0)::double)"), "empty_pools": ("count(*)", "sum((coalesce(len(ids), 0) = 0)::int::double)"),
     **{n: (f"count(*) filter (where {c})", f"avg({_RECALL.format(50)}) filter (where {c})") for n, c in {"filters_empty": "filters = ''", "filters_set": "filters <> ''", "category_0": "category = '0'", "words_1": "nw = 1", "words_2": "nw = 2", "words_3": "nw = 3", "words_4plus": "nw >= 4"}.items()},
@@ -233,8 +264,12 @@ round(median(dist_km) filter (where in_top), 6) dist_kept, round(median(dist_km)
 select query_id, lost, coalesce(selected, '') selected from lost left join sel using (query_id) order by {hash_sql('query_id', 'examples')}, query_id limit 10"""),
     "compare_runs": (compare_runs, f"{_TWO} select query_id, round(o1.recall, 6) recall_a, round(o1.pool_recall, 6) pool_a, round(o2.recall, 6) recall_b, round(o2.pool_recall, 6) pool_b, round(o1.recall - o2.recall, 6) diff from o1 join o2 using (query_id)"),
     "average_runs": (average_runs, f"{_TWO} select query_id, round((o1.recall + o2.recall) / 2, 6) recall from o1 join o2 using (query_id)"),
-    "paired_bootstrap": (paired_bootstrap, None),
-    "bootstrap_by_hash": (bootstrap_by_hash, None),
+    "paired_bootstrap": (paired_bootstrap, f"""{_TWO}, x as (select o1.query_id, o1.recall - o2.recall d, o1.pool_recall - o2.pool_recall pd, o1.filters_set, o1.has_center from o1 join o2 using (query_id)),
+g as (select query_id, 'overall' slice, d from x union all select query_id, 'filters_set', d from x where filters_set union all select query_id, 'no_centre', d from x where not has_center union all select query_id, 'pool', pd from x), {_boot('g', 'slice, ', 'slice')}
+select slice, n, round(diff, 6) diff, round(low, 6) low, round(high, 6) high, case when low > 0 then 'better' when high < 0 then 'worse' else 'undetermined' end verdict from whole join lim using (slice)"""),
+    "bootstrap_by_hash": (bootstrap_by_hash, f"""{_TWO}, g as (select query_id, pool_recall - recall d from o1), {_boot('g', '', '')}
+select n, round(diff, 6) diff, round(low, 6) low, round(high, 6) high from whole, lim"""),
+    "unique_batches": (unique_batches, None),
     "validate_answer": (validate_answer, f"""with known as (select {_IDS} id from benchmark), own0 as (select case when item_id % 8 = 7 then 'x' || {_IDS} else {_IDS} end query_id, case item_id % 8 when 0 then {_IDS} when 1 then '' when 2 then {_IDS} || ' ' || {_IDS} when 3 then 'nothing'
   when 4 then array_to_string([lpad(x::varchar, 16, '0') for x in range(6)], ' ') when 5 then lpad('1000000000', 16, '0') else {_IDS} end answer from benchmark where item_id % 8 <> 6),
 own as (select * from own0 union all select query_id, 'nothing' from own0 where query_id like '%8'), x as (select *, string_split(answer, ' ') ids from own), g as (select query_id, count(*) c from own group by 1)

@@ -60,10 +60,8 @@ def transitions(spark, d):
 
 
 def _frame(spark, d) -> DataFrame:
-    """A small frame: queries of a few places against every fortieth item."""
-    places = contexts(spark, d).select("search_loc").distinct()
-    own = items(spark, d).where("item_id % 40 = 0").select(F.col("item_id").alias("doc_id"), F.col("loc").alias("item_loc"), "microcat", "lat", "lon")
-    return places.crossJoin(F.broadcast(own))  # a fortieth of the items, for a demonstration
+    """Every item of the log and the places that it was searched from."""
+    return _pairs(spark, d).select("search_loc", F.col("item_id").alias("doc_id"), "item_loc", "microcat", "lat", "lon").distinct()
 
 
 def transition_features(spark, d):
@@ -101,20 +99,23 @@ def text_microcats(spark, d):
     return _rounded(microcats.text_microcats(_pairs(spark, d)), "share")
 
 
-def _neighbors(spark, d, k=5):
-    """Vectors as texts: a query's neighbours among the other vectors, whose label names their choices."""
+def _neighbors(spark, d, need_microcat):
+    """Vectors as past texts in five folds. The queries, vectors whose id is divisible by 100, are each in a
+    view that must not see one fold's texts; a text's choices have microcategories, but some have none."""
     v = read(spark, d, "embeddings").select("vec_id", "embedding", "label")
-    queries = v.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    past = v.where("vec_id % 10 <> 0 or vec_id % 50 = 0").select(F.col("vec_id").alias("doc_id"), "embedding")
-    found = dense.search(past, queries, k)
-    choices = v.select(F.concat(F.lit("t"), "vec_id").alias("query_text"), F.explode(F.array((F.col("vec_id") % 7).cast("string"), F.col("label").cast("string"))).alias("microcat"))
-    return found.select("query_id", F.concat(F.lit("t"), "doc_id").alias("query_text"), "score"), choices, v
+    name = F.concat(F.lit("t"), "vec_id")
+    queries = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.expr("cast(vec_id div 100 % 5 as int)").alias("view_id"))
+    choices = v.select(name.alias("query_text"), (F.col("vec_id") % 5).cast("int").alias("fold"), F.explode(F.array(F.when(F.col("vec_id") % 3 > 0, (F.col("vec_id") % 7).cast("string")), F.when(F.col("vec_id") % 3 > 0, F.col("label").cast("string")))).alias("microcat"))
+    seen = history.crossfit_pairs(choices, choices.limit(0).select("query_text"))
+    near = microcats.history_neighbors(v.select(name.alias("query_text"), "embedding"), queries, seen, need_microcat=need_microcat)
+    return near, seen, v, queries
 
 
 def _microcats(spark, d, exact):
-    neighbors, choices, v = _neighbors(spark, d)
-    prob, per_query = microcats.distribution(neighbors, microcats.text_microcats(choices), exact)
-    frame = neighbors.select("query_id").distinct().crossJoin(F.broadcast(v.select(F.col("label").cast("string").alias("microcat")).distinct()))  # a handful of labels
+    near, seen, v, queries = _neighbors(spark, d, True)
+    prob, per_query = microcats.distribution(near, microcats.text_microcats(seen, ("view_id",)), exact, ("view_id",))
+    labels = v.select(F.col("label").cast("string").alias("microcat")).distinct()
+    frame = queries.select("query_id").join(F.broadcast(labels), F.lit(True))  # a handful of labels
     return _rounded(microcats.microcat_features(frame, prob, per_query), "mc_prob", "mc_ratio", "mc_entropy", "mc_top_sim")
 
 
@@ -127,14 +128,21 @@ def exact_microcats(spark, d):
 
 
 def neighbor_centroid_cos(spark, d):
-    neighbors, _, v = _neighbors(spark, d)
+    """A text's choices are its own vector's item and the next; candidates are each query's 20 nearest items."""
+    near, _, v, queries = _neighbors(spark, d, False)
     own = v.select(F.col("vec_id").alias("item_id"), "embedding")
-    chosen = v.select(F.concat(F.lit("t"), "vec_id").alias("query_text"), F.explode(F.array("vec_id", (F.col("vec_id") + 1) % 100)).alias("item_id"))
-    centroids = signals.neighbor_centroids(neighbors, signals.text_item_means(chosen, own))
-    frame = neighbors.select("query_id").distinct().crossJoin(F.broadcast(own.where("item_id < 20").select(F.col("item_id").alias("doc_id"), (F.col("item_id") + 1).alias("rrf_rank"))))  # twenty rows
+    chosen = v.select(F.concat(F.lit("t"), "vec_id").alias("query_text"), F.explode(F.array("vec_id", F.col("vec_id") + 1)).alias("item_id"))
+    centroids = signals.neighbor_centroids(near, signals.text_item_means(chosen, own))
+    frame = dense.search(own.withColumnRenamed("item_id", "doc_id"), queries, 20).select("query_id", "doc_id", F.col("rank").alias("rrf_rank"))
     return _rounded(signals.cosine_features(frame, centroids, own, "nb_cos"), "nb_cos")
 
 
+def views_union(spark, d):
+    """Choices of all views, each once."""
+    holdout = contexts(spark, d).where(HOLD).select("query_text").distinct()
+    return history.union_of_views(history.crossfit_pairs(_pairs(spark, d), holdout).select("view_id", "query_text", "item_id", "item_loc"))
+
+
 def region_core(spark, d):
     counts = _pairs(spark, d).groupBy("search_loc", "item_loc").agg(F.count("*").alias("n"))
     return _rounded(signals.region_core(counts), "mass_before")
@@ -144,16 +152,12 @@ def region_hits(spark, d):
     """Dense hits among the items of a query's core places; labels stand for places."""
     v = read(spark, d, "embeddings").select("vec_id", "embedding", "label")
     log = v.select((F.col("vec_id") % 5).cast("int").alias("search_loc"), F.col("label").alias("item_loc"))
-    core = signals.region_core(log.groupBy("search_loc", "item_loc").agg(F.count("*").alias("n")), 0.3).select("search_loc", "item_loc")
-    queries = v.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "embedding", (F.col("vec_id") / 10 % 5).cast("int").alias("search_loc"))
-    spread = queries.join(core, "search_loc").select("query_id", "embedding", F.col("item_loc").alias("label"))
-    # a query meets each of its places once, so a place's hits are cut before they are merged
-    docs = v.where("vec_id % 10 <> 0").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
-    keyed = spread.withColumn("query_id", F.col("query_id") * 1000 + F.col("label"))
-    hits = dense.search(docs, keyed, 5, group="label").withColumn("query_id", F.floor(F.col("query_id") / 1000)).drop("rank")
-    from sieveline.operators.lexical import top_k
+    queries = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.expr("cast(vec_id div 100 % 5 as int)").alias("search_loc"))
+    listings = v.select(F.col("vec_id").alias("item_id"), "embedding", F.col("label").alias("loc"))
+    from sieveline.plans.search import region_list
 
-    return _rounded(top_k(hits, 5), "score")
+    counts = log.groupBy("search_loc", "item_loc").agg(F.count("*").alias("n"))
+    return _rounded(region_list(queries.select("query_id", "embedding"), counts, queries, listings, 5), "score")
 
 
 _ROOT = "sqrt(pow(sin(radians({2} - {0}) / 2), 2) + cos(radians({0})) * cos(radians({2})) * pow(sin(radians({3} - {1}) / 2), 2))"
@@ -172,24 +176,25 @@ centers as (select search_loc, clat lat, clon lon, n_pairs, n_items, spread_km f
 _SHARE = "share0 as (select loc, count(*) / (select count(*) from items)::double share from items group by 1)"
 _TRANS = """counts as (select search_loc, item_loc, count(*) n from {0} group by 1, 2), totals as (select search_loc, coalesce(sum(n) filter (where s.loc is not null), 0)::bigint support,
   count(s.loc) targets, sum(case when s.loc is null then n else 0 end) / sum(n)::double outside_share from counts left join share s on s.loc = item_loc group by 1)"""
-_FRAME = "places as (select distinct search_loc from contexts), frame as (select search_loc, item_id doc_id, loc item_loc, lat, lon from places, items where item_id % 40 = 0)"
+_FRAME = "frame as (select distinct search_loc, item_id doc_id, item_loc, lat, lon from pairs)"
 _VIEWS = f"""hold as (select distinct query_text from contexts where {HOLD}), vq as (select *, case when query_text in (select query_text from hold) then 5 else {FOLD_SQL} end view_id from contexts),
 vp as (select p.*, v.view_id from pairs p, (select unnest(range(6)) view_id) v where v.view_id <> fold and query_text not in (select query_text from hold))"""
 _FALL = f"""{_PAIRS}, {_STATS}, {_centers('search_loc % 3 <> 0')}, {_FRAME},
 fall as (select f.search_loc, doc_id, item_loc, case when s.loc is not null then {_KM.format('s.lat', 's.lon', 'f.lat', 'f.lon')} else {_KM.format('c.lat', 'c.lon', 'f.lat', 'f.lon')} end dist_km, {_KM.format('c.lat', 'c.lon', 'f.lat', 'f.lon')} hist_dist_km,
   case when s.loc is not null then 0 when c.search_loc is not null then 1 else 2 end center_source, coalesce(n_pairs, 0) hist_pairs, spread_km hist_spread_km
   from frame f left join (select * from stats where loc % 2 = 0) s on s.loc = f.search_loc left join centers c on c.search_loc = f.search_loc)"""
-_NB = """v as (select vec_id, embedding, label from embeddings), sims as (select q.vec_id query_id, p.vec_id doc_id, list_inner_product(q.embedding::double[], p.embedding::double[]) score from v q, v p where q.vec_id % 10 = 0 and (p.vec_id % 10 <> 0 or p.vec_id % 50 = 0)),
-nb as (select query_id, doc_id, 't' || doc_id query_text, score from sims qualify row_number() over (partition by query_id order by round(score, 9) desc, doc_id) <= 5)"""
+_NB = """v as (select vec_id, embedding, label from embeddings), q as (select vec_id query_id, embedding, (vec_id // 100 % 5)::int view_id from v where vec_id % 100 = 0),
+sims as (select query_id, view_id, p.vec_id, list_inner_product(q.embedding::double[], p.embedding::double[]) score from q, v p where p.vec_id % 5 <> view_id and {}),
+nb as (select query_id, 't' || vec_id query_text, round(score, 9) score from sims qualify row_number() over (partition by query_id order by round(score, 9) desc, 't' || vec_id) <= 40)"""
 
 
 def _mc_sql(weight: str) -> str:
-    return f"""with {_NB}, choices as (select 't' || vec_id query_text, unnest([(vec_id % 7)::varchar, label::varchar]) microcat from v), cc as (select query_text, microcat, count(*) n from choices group by 1, 2),
+    return f"""with {_NB.format('p.vec_id % 3 > 0')}, choices as (select 't' || vec_id query_text, unnest([(vec_id % 7)::varchar, label::varchar]) microcat from v where vec_id % 3 > 0), cc as (select query_text, microcat, count(*) n from choices group by 1, 2),
 shares as (select query_text, microcat, n / sum(n) over (partition by query_text) share from cc), top as (select query_id, max(score) mc_top_sim from nb group by 1),
 raw as (select nb.*, {weight} r from nb join top using (query_id)), w as (select *, r / sum(r) over (partition by query_id) w from raw),
 prob as (select query_id, microcat, sum(w * share) mc_prob from w join shares using (query_text) group by 1, 2),
 per as (select query_id, max(mc_prob) mc_max, -sum(case when mc_prob > 0 then mc_prob * ln(mc_prob) else 0 end) mc_entropy from prob group by 1),
-frame as (select q.query_id, l.microcat from (select distinct query_id from nb) q, (select distinct label::varchar microcat from v) l)
+frame as (select q.query_id, l.microcat from q, (select distinct label::varchar microcat from v) l)
 select query_id, microcat, round(coalesce(mc_prob, 0), 6) mc_prob, round(coalesce(mc_prob, 0) / mc_max, 6) mc_ratio, round(mc_entropy, 6) mc_entropy, round(mc_top_sim, 6) mc_top_sim, (mc_top_sim >= 0.999)::int mc_is_exact_match
 from frame left join prob using (query_id, microcat) left join per using (query_id) left join top using (query_id)"""
 
@@ -213,14 +218,16 @@ select view_id, search_loc, coalesce(sum(n) filter (where s.loc is not null), 0)
     "text_microcats": (text_microcats, f"with {_PAIRS}, c as (select query_text, microcat, count(*) n from pairs where microcat is not null group by 1, 2) select query_text, microcat, round(n / sum(n) over (partition by query_text), 6) share from c"),
     "neighbor_microcats": (neighbor_microcats, _mc_sql("exp((score - mc_top_sim) / 0.05e0)")),
     "exact_microcats": (exact_microcats, _mc_sql("case when mc_top_sim >= 0.999 then (score >= 0.998)::int::double else exp((score - mc_top_sim) / 0.05e0) end")),
-    "neighbor_centroid_cos": (neighbor_centroid_cos, f"""with {_NB}, chosen as (select distinct 't' || vec_id query_text, unnest([vec_id, (vec_id + 1) % 100]) item_id from v),
+    "neighbor_centroid_cos": (neighbor_centroid_cos, f"""with {_NB.format('true')}, chosen as (select distinct 't' || vec_id query_text, unnest([vec_id, vec_id + 1]) item_id from v),
 cells as (select query_text, u.pos, avg(embedding[u.pos]::double) m from chosen join v on vec_id = item_id, (select unnest(range(1, 65)) pos) u group by 1, 2),
 w0 as (select *, exp((score - max(score) over (partition by query_id)) / 0.05e0) r from nb), w as (select *, r / sum(r) over (partition by query_id) w from w0),
 sums as (select query_id, pos, sum(w * m) s from w join cells using (query_text) group by 1, 2), unit as (select query_id, pos, s / sqrt(sum(s * s) over (partition by query_id)) s from sums),
-cos as (select query_id, vec_id doc_id, vec_id + 1 rrf_rank, sum(s * embedding[pos]::double) c from unit, v where vec_id < 20 group by 1, 2, 3)
+hits as (select query_id, p.vec_id, row_number() over (partition by query_id order by round(list_inner_product(q.embedding::double[], p.embedding::double[]), 9) desc, p.vec_id) rrf_rank from q, v p qualify rrf_rank <= 20),
+cos as (select query_id, vec_id doc_id, rrf_rank, sum(s * embedding[pos]::double) c from hits join v using (vec_id) join unit using (query_id) group by 1, 2, 3)
 select query_id, doc_id, rrf_rank, round(c, 6) nb_cos, row_number() over (partition by query_id order by round(c, 9) desc, rrf_rank) nb_cos_rank from cos"""),
+    "views_union": (views_union, f"with {_PAIRS}, {_VIEWS} select distinct query_text, item_id, item_loc from vp"),
     "region_core": (region_core, f"with {_PAIRS}, c as (select search_loc, item_loc, count(*) n from pairs group by 1, 2), m as (select *, coalesce(sum(n) over (partition by search_loc order by n desc, item_loc rows between unbounded preceding and 1 preceding), 0) / sum(n) over (partition by search_loc) b from c) select search_loc, item_loc, n, round(b, 6) mass_before from m where b < 0.9"),
-    "region_hits": (region_hits, """with c as (select vec_id % 5 search_loc, label item_loc, count(*) n from embeddings group by 1, 2), core as (select *, coalesce(sum(n) over (partition by search_loc order by n desc, item_loc rows between unbounded preceding and 1 preceding), 0) / sum(n) over (partition by search_loc) b from c qualify b < 0.3),
-sims as (select q.vec_id query_id, p.vec_id doc_id, list_inner_product(q.embedding::double[], p.embedding::double[]) score from embeddings q join core on search_loc = (q.vec_id // 10) % 5 join embeddings p on p.label = item_loc where q.vec_id % 10 = 0 and p.vec_id % 10 <> 0)
+    "region_hits": (region_hits, """with c as (select vec_id % 5 search_loc, label item_loc, count(*) n from embeddings group by 1, 2), core as (select *, coalesce(sum(n) over (partition by search_loc order by n desc, item_loc rows between unbounded preceding and 1 preceding), 0) / sum(n) over (partition by search_loc) b from c qualify b < 0.9),
+sims as (select q.vec_id query_id, p.vec_id doc_id, list_inner_product(q.embedding::double[], p.embedding::double[]) score from embeddings q join core on search_loc = (q.vec_id // 100) % 5 join embeddings p on p.label = item_loc where q.vec_id % 100 = 0)
 select query_id, doc_id, round(score, 6) score, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from sims qualify row_number() over (partition by query_id order by round(score, 9) desc, doc_id) <= 5"""),
 }

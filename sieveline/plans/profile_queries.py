@@ -149,7 +149,9 @@ def item_lookup(spark, d):
 
 
 def fingerprints(spark, d):
-    return io.fingerprints(spark, f"{d}/region.parquet")
+    """Rows and a digest of every table."""
+    names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+    return io.fingerprints(spark, [f"{d}/{n}.parquet" for n in names])
 
 
 def truncation_share(spark, d):
@@ -221,5 +223,7 @@ select *, row_number() over (partition by "case" order by query_text, search_loc
     "item_lookup": (item_lookup, f"with {ITEMS_SQL} select item_id, title, params, round(price, 6) price from items where item_id = 42"),
     "fingerprints": (fingerprints, None),
     "truncation_share": (truncation_share, r"select count(*) n, round(avg((len(list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda w: w <> '')) > 200)::int), 6) as share from documents"),
-    "encode_texts": (encode_texts, None),
+    "encode_texts": (encode_texts, r"""with words as (select item_id, unnest(string_split_regex(trim(lower(coalesce(text, ''))), '\s+')) w from benchmark), grams as (select item_id, w g from words where w <> '' union all select item_id, substr(w, k, 3) from words, range(1, 200) t(k) where k + 2 <= length(w)),
+hashed as (select item_id, ('0x' || substr(md5(g), 1, 8))::ubigint h from grams), cells as (select item_id, h % 64 pos, sum(case when h >= 2147483648 then 1 else -1 end)::double v from hashed group by 1, 2), norms as (select item_id, sqrt(sum(v * v)) n from cells group by 1)
+select item_id, list(round((coalesce(v, 0) / greatest(coalesce(n, 0), 1e-12))::float::double, 6) order by p.pos) embedding from benchmark cross join range(64) p(pos) left join cells using (item_id, pos) left join norms using (item_id) group by 1"""),
 }

@@ -6,8 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sieveline.operators import diagnostics, evaluation, finetune, geo, history, microcats, profile, ranker, signals, submission
-from sieveline.plans.config import RetrievalConfig, check_model, describe
+from sieveline.operators import contrastive, diagnostics, evaluation, finetune, geo, history, microcats, profile, ranker, signals, submission
+from sieveline.operators.encode import EncoderConfig
+from sieveline.operators.lexical import BM25Config
+from sieveline.plans.config import FeatureConfig, RetrievalConfig, SearchConfig, check_model, from_contract
 from sieveline.streaming import history as stream
 
 from .test_retrieval import _items
@@ -17,37 +19,117 @@ def _contexts(spark, rows):
     return spark.createDataFrame([(f"q{k}", t, p, i) for k, (t, p, i) in enumerate(rows)], "query_id string, query_text string, search_loc int, item_ids array<string>")
 
 
-def test_location_centers(spark):
-    pairs = history.history_pairs(_contexts(spark, [("x", 100, ["a", "c"]), ("y", 100, ["c"]), ("z", 7, [])]), _items(spark))
-    got = geo.location_centers(pairs).collect()
-    assert [(r["search_loc"], r["n_pairs"], r["n_items"], r["lat"]) for r in got] == [(100, 3, 2, 56.0)]
-
-
-def test_geo_fallback_and_damping(spark):
-    items = _items(spark).unionByName(_items(spark).where("item_id = 'a'").withColumns({"item_id": F.lit("d"), "loc": F.lit(11), "lat": F.lit(58.0)}))
-    pairs = history.history_pairs(_contexts(spark, [("x", 100, ["a"]), ("y", 200, ["a", "d"]), ("z", 200, ["a", "d"]), ("w", 200, ["a", "d"])]), items)
-    frame = spark.createDataFrame([("q0", "c", 7, 56.0, 37.0), ("q1", "c", 100, 56.0, 37.0), ("q2", "c", 200, 56.0, 37.0), ("q3", "c", 555, 56.0, 37.0)], "query_id string, doc_id string, search_loc int, lat double, lon double")
-    out = {r["query_id"]: r for r in history.geo_damping(history.geo_fallback(frame, geo.location_stats(items), geo.location_centers(pairs))).collect()}
-    assert [out[f"q{k}"]["center_source"] for k in range(4)] == [0, 1, 1, 2]
-    assert out["q1"]["dist_km"] == pytest.approx(111.2, abs=0.5) and out["q3"]["dist_km"] is None
-    assert [out[f"q{k}"]["hist_pairs"] for k in range(4)] == [0, 1, 6, 0]
-    assert [out[f"q{k}"]["geo_unreliable"] for k in range(4)] == [0, 1, 1, 0]  # one pair; spread of 167 km
-    assert out["q1"]["log_dist_clean"] == -1 and out["q3"]["log_dist_clean"] is None and out["q0"]["log_dist_clean"] == pytest.approx(math.log1p(out["q0"]["dist_km"]))
+# Six listings on one meridian, a degree (111.19 km) or a tenth of one apart: town 1 has two, town 2
+# three and town 3 one. Their microcategories are m1 and m2; the last has none.
+TOWNS = [("p", 1, "m1", 10.0), ("q", 1, "m2", 10.2), ("r", 2, "m1", 20.0), ("s", 2, "m1", 20.1), ("t", 2, "m2", 23.0), ("u", 3, None, 40.0)]
+DEGREE = 6371.0 * math.pi / 180
+
+
+def _towns(spark):
+    return spark.createDataFrame([(i, loc, m, lat, 50.0) for i, loc, m, lat in TOWNS], "item_id string, loc int, microcat string, lat double, lon double")
+
+
+def test_centres_of_searched_places_come_from_what_was_chosen_there(spark):
+    log = [("x", 8, ["r", "s"]), ("y", 8, ["t"]), ("z", 8, ["t"]), ("w", 9, ["u"]), ("v", 6, []), ("n", 6, None)]
+    got = {r["search_loc"]: r for r in geo.location_centers(history.history_pairs(_contexts(spark, log), _towns(spark))).collect()}
+    # of 20.0, 20.1, 23.0, 23.0 the median is 21.55, and of the distances from it 1.45, 1.45, 1.45, 1.55 the median is 1.45
+    assert set(got) == {8, 9}
+    assert (got[8]["n_pairs"], got[8]["n_items"], got[8]["lat"]) == (4, 3, pytest.approx(21.55)) and got[8]["spread_km"] == pytest.approx(1.45 * DEGREE, rel=1e-6)
+    assert (got[9]["n_pairs"], got[9]["spread_km"]) == (1, 0.0)
+    # with views, each has its own centres
+    viewed = history.crossfit_pairs(history.history_pairs(_contexts(spark, log), _towns(spark)), spark.createDataFrame([], "query_text string"))
+    per_view = geo.location_centers(viewed, ("view_id",))
+    whole = {r["search_loc"]: r["lat"] for r in per_view.where("view_id = 5").collect()}
+    assert whole == {8: pytest.approx(21.55), 9: 40.0}
+    for v in range(5):
+        seen = viewed.where(F.col("view_id") == v).drop("view_id")
+        want = {r["search_loc"]: r["lat"] for r in geo.location_centers(seen).collect()}
+        assert {r["search_loc"]: r["lat"] for r in per_view.where(F.col("view_id") == v).collect()} == want
+
+
+def test_distance_falls_back_on_history_and_is_damped_where_that_is_thin(spark):
+    items = _towns(spark)
+    # place 8: five close choices (reliable); 9: one choice; 6: five choices 3 degrees apart (spread out); 5: none
+    log = [(f"a{k}", 8, ["r"]) for k in range(5)] + [("b", 9, ["u"])] + [(f"c{k}", 6, ["r", "t"]) for k in range(3)]
+    centers = geo.location_centers(history.history_pairs(_contexts(spark, log), items))
+    frame = spark.createDataFrame([("near", 2, 20.1), ("steady", 8, 21.0), ("thin", 9, 41.0), ("wide", 6, 20.0), ("nowhere", 5, 20.0), ("blank", 2, None)], "query_id string, search_loc int, lat double").select("query_id", F.lit("d").alias("doc_id"), "search_loc", "lat", F.lit(50.0).alias("lon"))
+    out = {r["query_id"]: r for r in history.geo_damping(history.geo_fallback(frame, geo.location_stats(items), centers)).collect()}
+    source = {k: (r["center_source"], r["hist_pairs"], r["geo_unreliable"]) for k, r in out.items()}
+    assert source == {"near": (0, 0, 0), "steady": (1, 5, 0), "thin": (1, 1, 1), "wide": (1, 6, 1), "nowhere": (2, 0, 0), "blank": (0, 0, 0)}
+    # town 2's own median is 20.1
+    assert out["near"]["dist_km"] == pytest.approx(0, abs=1e-6) and out["steady"]["dist_km"] == pytest.approx(DEGREE) and out["thin"]["dist_km"] == pytest.approx(DEGREE)
+    assert out["nowhere"]["dist_km"] is None is out["blank"]["dist_km"]
+    assert out["steady"]["log_dist_clean"] == pytest.approx(math.log(1 + DEGREE)) and (out["thin"]["log_dist_clean"], out["wide"]["log_dist_clean"], out["nowhere"]["log_dist_clean"]) == (-1, -1, None)
+    far = frame.limit(1).withColumns({"query_id": F.lit("far"), "lat": F.lit(60.0)})
+    assert history.geo_damping(history.geo_fallback(far, geo.location_stats(items), centers)).first()["log_dist_clean"] == pytest.approx(math.log(1001))
     with pytest.raises(ValueError, match="fallback"):
         history.geo_damping(frame)
 
 
-def test_transitions(spark):
-    items = _items(spark)
+def test_transitions_are_smoothed_by_the_corpus_share(spark):
+    items = _towns(spark)
     share = history.corpus_location_share(items)
-    pairs = history.history_pairs(_contexts(spark, [("x", 7, ["a", "b", "c"])]), items)
-    frame = spark.createDataFrame([("q0", 7, 7), ("q0", 7, 9), ("q1", 5, 9), ("q1", 5, 77)], "query_id string, search_loc int, item_loc int")
-    got = {(r["search_loc"], r["item_loc"]): r for r in history.transition_features(frame, *history.transitions(pairs, share), share, alpha=3.0).collect()}
-    assert got[7, 7]["trans_prob"] == pytest.approx((2 + 3 * 2 / 3) / 6) and got[7, 9]["trans_prob"] == pytest.approx((1 + 1) / 6)
-    unseen = got[5, 9]
-    assert unseen["trans_prob"] == pytest.approx(1 / 3) and unseen["trans_lift"] == pytest.approx(math.log(2)) and unseen["trans_unknown"] == 1 and unseen["trans_outside_share"] is None
-    assert got[5, 77]["trans_lift"] is None
-    assert history.transitions(pairs, share.where("loc = 7"))[1].first()["outside_share"] == pytest.approx(1 / 3)
+    assert {r["loc"]: r["share"] for r in share.collect()} == {1: pytest.approx(2 / 6), 2: pytest.approx(3 / 6), 3: pytest.approx(1 / 6)}
+    # from place 1 five choices: four in town 2, one in town 3
+    pairs = history.history_pairs(_contexts(spark, [("x", 1, ["r", "s"]), ("y", 1, ["t", "r", "u"])]), items)
+    frame = spark.createDataFrame([(1, 2), (1, 1), (4, 2), (4, 9)], "search_loc int, item_loc int")
+    counts, totals = history.transitions(pairs, share)
+    got = {(r["search_loc"], r["item_loc"]): r for r in history.transition_features(frame, counts, totals, share, alpha=6.0).collect()}
+    assert (got[1, 2]["trans_prob"], got[1, 1]["trans_prob"]) == (pytest.approx((4 + 3) / 11), pytest.approx((0 + 2) / 11))
+    assert (got[1, 2]["trans_pairs"], got[1, 2]["trans_support"], got[1, 2]["trans_targets"], got[1, 2]["trans_unknown"], got[1, 1]["trans_unknown"]) == (4, 5, 2, 0, 1)
+    assert got[1, 2]["trans_lift"] == pytest.approx(math.log(1 + (7 / 11) / (1 / 2))) and got[1, 2]["trans_outside_share"] == 0
+    # a place without history falls back on the share; a town outside the corpus has no lift
+    assert got[4, 2]["trans_prob"] == pytest.approx(1 / 2) and got[4, 2]["trans_lift"] == pytest.approx(math.log(2)) and got[4, 2]["trans_outside_share"] is None
+    assert got[4, 9]["trans_prob"] == 0 and got[4, 9]["trans_lift"] is None
+    small = history.transitions(pairs, share.where("loc <> 2"))[1].first()
+    assert (small["support"], small["targets"], small["outside_share"]) == (1, 1, pytest.approx(4 / 5))
+
+
+def test_neighbours_are_those_that_the_view_allows(spark):
+    """Three past texts on the unit circle: a query meets the nearest of those its view may see."""
+    at = lambda degrees: [math.cos(math.radians(degrees)), math.sin(math.radians(degrees))]
+    texts = spark.createDataFrame([("east", at(0)), ("north", at(90)), ("between", at(40)), ("unseen", at(20))], "query_text string, embedding array<double>")
+    pairs = spark.createDataFrame([(0, "east", "p", "m1"), (0, "north", "t", "m2"), (1, "north", "t", "m2"), (1, "between", "u", None), (0, "between", "u", None)], "view_id int, query_text string, item_id string, microcat string")
+    queries = spark.createDataFrame([("a", 0, at(10)), ("b", 1, at(10)), ("c", 7, at(10))], "query_id string, view_id int, embedding array<double>")
+    got = lambda **k: {q: [r["query_text"] for r in microcats.history_neighbors(texts, queries, pairs, **k).where(F.col("query_id") == q).orderBy(F.desc("score")).collect()] for q in "abc"}
+    assert got() == {"a": ["east", "between", "north"], "b": ["between", "north"], "c": []}
+    assert got(k=1) == {"a": ["east"], "b": ["between"], "c": []}
+    # a text without a microcategory says nothing about microcategories
+    assert got(need_microcat=True) == {"a": ["east", "north"], "b": ["north"], "c": []}
+    near = microcats.history_neighbors(texts, queries, pairs, need_microcat=True)
+    prob, _ = microcats.distribution(near, microcats.text_microcats(pairs, ("view_id",)), True, ("view_id",))
+    found = {(r["query_id"], r["microcat"]): r["mc_prob"] for r in prob.collect()}
+    gap = math.exp((math.cos(math.radians(80)) - math.cos(math.radians(10))) / 0.05)
+    assert found == {("a", "m1"): pytest.approx(1 / (1 + gap), abs=1e-6), ("a", "m2"): pytest.approx(gap / (1 + gap), abs=1e-6), ("b", "m2"): 1.0}
+
+
+def test_exact_prior_leaves_out_a_query_s_own_text(spark):
+    """In a view that doesn't hold the text itself there is no exact match, whatever its labels are."""
+    texts = spark.createDataFrame([("own", [1.0, 0.0]), ("other", [0.6, 0.8])], "query_text string, embedding array<double>")
+    pairs = spark.createDataFrame([("own", 0, "m1"), ("other", 1, "m2")], "query_text string, fold int, microcat string")
+    seen = history.crossfit_pairs(pairs, pairs.limit(0).select("query_text"), 2)
+    queries = spark.createDataFrame([("held", 0, [1.0, 0.0]), ("full", 2, [1.0, 0.0])], "query_id string, view_id int, embedding array<double>")
+    near = microcats.history_neighbors(texts, queries, seen)
+    prob, per_query = microcats.distribution(near, microcats.text_microcats(seen, ("view_id",)), True, ("view_id",))
+    assert {(r["query_id"], r["microcat"]): r["mc_prob"] for r in prob.collect() if r["mc_prob"] > 0} == {("held", "m2"): 1.0, ("full", "m1"): 1.0}
+    assert {r["query_id"]: r["mc_is_exact_match"] for r in per_query.collect()} == {"held": 0, "full": 1}
+
+
+def test_centroids_ignore_choices_outside_the_view(spark):
+    items = spark.createDataFrame([("e", [1.0, 0.0]), ("n", [0.0, 1.0]), ("w", [-1.0, 0.0])], "item_id string, embedding array<double>")
+    texts = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [0.8, 0.6])], "query_text string, embedding array<double>")
+    pairs = lambda hidden: spark.createDataFrame([(0, "x", "e", "m"), (1, "x", "e", "m"), (1, "y", hidden, "m")], "view_id int, query_text string, item_id string, microcat string")
+    queries = spark.createDataFrame([("a", 0, [1.0, 0.0]), ("b", 1, [1.0, 0.0])], "query_id string, view_id int, embedding array<double>")
+
+    def centroids(seen):
+        near = microcats.history_neighbors(texts, queries, seen)
+        return {r["query_id"]: r["embedding"] for r in signals.neighbor_centroids(near, signals.text_item_means(seen, items)).collect()}
+
+    first, second = centroids(pairs("n")), centroids(pairs("w"))
+    assert first["a"] == second["a"] == [1.0, 0.0]
+    w = math.exp(-0.2 / 0.05)  # the second text's weight against the first's, at a similarity of 0.8
+    assert first["b"] == pytest.approx([1 / math.hypot(1, w), w / math.hypot(1, w)]) and second["b"] == [1.0, 0.0]
+    assert history.union_of_views(pairs("n")).count() == 2
 
 
 def test_crossfit_never_shows_a_text_its_own_fold(spark):
@@ -110,16 +192,25 @@ def _run(spark, recalls):
 
 def test_comparisons(spark):
     a, b = _run(spark, [1.0] * 30 + [0.0] * 10), _run(spark, [0.0] * 40)
-    got = evaluation.compare_per_query(a, b, {"filters_set": lambda: F.col("filters_set")}, 200)
-    assert got["overall"]["diff"] == pytest.approx(0.75) and got["overall"]["verdict"] == "better" and got["pool"]["verdict"] == "undetermined" and got["filters_set"]["n"] == 20
-    with pytest.raises(ValueError, match="different queries"):
-        evaluation.aligned(a, b.limit(39))
+    got = {r["slice"]: r for r in evaluation.compare_runs(a, b, 400, {"filters_set": F.col("filters_set")}).collect()}
+    assert {k: (r["n"], r["diff"], r["verdict"]) for k, r in got.items()} == {"overall": (40, 0.75, "better"), "filters_set": (20, 0.75, "better"), "pool": (40, 0.0, "undetermined")}
+    assert {r["slice"]: r["verdict"] for r in evaluation.compare_runs(b, a, 400, {}).collect()} == {"overall": "worse", "pool": "undetermined"}
+    for other in (b.limit(39), b.unionByName(b.limit(1))):
+        with pytest.raises(ValueError, match="different queries"):
+            evaluation.aligned(a, other)
     assert {r["recall"] for r in evaluation.average_runs([a, b]).collect()} == {0.5, 0.0}
     with pytest.raises(ValueError, match="missing"):
         evaluation.average_runs([a, b.limit(3)])
-    diffs = evaluation.aligned(a, b).select("query_id", (F.col("recall_a") - F.col("recall_b")).alias("diff"))
-    hashed, plain = evaluation.bootstrap_by_hash(diffs, 1500).first(), evaluation.paired_bootstrap(np.array([1.0] * 30 + [0.0] * 10), 1500)
-    assert hashed["low"] == pytest.approx(plain[1], abs=0.05) and hashed["high"] == pytest.approx(plain[2], abs=0.05)
+
+
+def test_bootstrap_interval(spark):
+    """Near the interval of resampling with replacement, and the same for rows in any order."""
+    diffs = spark.createDataFrame([(f"q{k}", float(k < 30)) for k in range(40)], "query_id string, diff double")
+    got = evaluation.bootstrap(diffs, (), 2000).first()
+    r = np.random.default_rng(3)
+    means = (np.arange(40) < 30).astype(float)[r.integers(0, 40, (2000, 40))].mean(axis=1)
+    assert (got["n"], got["diff"]) == (40, 0.75) and [got["low"], got["high"]] == pytest.approx(np.percentile(means, [2.5, 97.5]).tolist(), abs=0.05)
+    assert evaluation.bootstrap(diffs.repartition(5), (), 2000).first() == got
 
 
 def test_diagnostics(spark):
@@ -190,15 +281,69 @@ def test_profiles(spark):
     assert [(r["value"], r["n"]) for r in profile.top_values(df, "id", "d", 2).collect()] == [("a", 2), ("b", 2)]
 
 
+# The contract that stored models are read by.
+CONTRACT = """rank_bm25_global score_bm25_global rank_bm25_local score_bm25_local rank_dense_global score_dense_global rank_dense_local score_dense_local rrf rrf_rank n_lists dense_sim title_overlap params_overlap
+loc_match dist_km cat_match query_cat_zero filters_empty query_words location_items price rating reviews phone_hidden message_forbidden title_chars params_chars description_chars
+rank_bm25_radius score_bm25_radius rank_dense_radius score_dense_radius center_source hist_pairs trans_prob trans_pairs trans_support trans_unknown trans_lift trans_targets trans_outside_share geo_unreliable log_dist_clean
+mc_prob mc_ratio mc_entropy mc_top_sim nb_cos nb_cos_rank enc2_sim enc2_rank""".split()
+
+
+def test_the_feature_contract_and_its_order():
+    assert SearchConfig().features() == CONTRACT and len(set(CONTRACT)) == 52
+
+
 def test_configuration():
-    config = RetrievalConfig()
-    assert len(config.features()) == len(set(config.features())) == 52
-    assert config.list_names() == ["bm25_global", "dense_global", "bm25_local", "dense_local", "bm25_radius", "dense_radius"] and config.list_depth("bm25_radius") == 50
-    check_model(describe(config), config)
+    config = SearchConfig()
+    lists = config.retrieval
+    assert lists.list_names() == ["bm25_global", "dense_global", "bm25_local", "dense_local", "bm25_radius", "dense_radius"] and lists.list_depth("bm25_radius") == 50
+    more = RetrievalConfig(channels=("bm25",), local=False, depth_geo=20, geo_km=80, geo_weight=0.6, depth_region=5)
+    assert more.list_names() == ["bm25_global", "bm25_radius", "bm25_geo", "dense_region"] and [more.list_depth(n) for n in more.list_names()] == [400, 50, 20, 5]
+    assert more.features()[-4:] == ["rank_bm25_geo", "score_bm25_geo", "rank_dense_region", "score_dense_region"]
+    assert len({c.report_name("dev") for c in (lists, more, RetrievalConfig(geo_weight=0.5), RetrievalConfig(bm25=BM25Config(stem=True)), RetrievalConfig(dense=EncoderConfig(revision="2")))}) == 5
+    assert EncoderConfig(query_filters=False).passage_tag() == EncoderConfig().passage_tag() != EncoderConfig(params_chars=9).passage_tag()
+    assert config.needs_history() and not SearchConfig(RetrievalConfig(depth_radius=0), FeatureConfig("none", "none", False, microcats="none", centroid=False)).needs_history()
+    assert from_contract(config.contract()) == config
+    check_model(config.contract(), config)
+    swapped = config.contract()
+    swapped["features"][:2] = swapped["features"][1::-1]
+    with pytest.raises(ValueError, match="another order"):
+        check_model(swapped, config)
     with pytest.raises(ValueError, match="features"):
-        check_model(describe(config), RetrievalConfig(exact_microcats=True))
+        check_model(config.contract(), SearchConfig(blocks=FeatureConfig(microcats="exact")))
+    with pytest.raises(ValueError, match="candidates"):
+        check_model(config.contract(), SearchConfig(RetrievalConfig(rrf_k=61)))
+    with pytest.raises(ValueError, match="blocks"):
+        check_model(config.contract(), SearchConfig(blocks=FeatureConfig(alpha=1.0)))
+    with pytest.raises(ValueError, match="not a model"):
+        from_contract({"retrieval": {"channels": []}})
     with pytest.raises(ValueError, match="deeper"):
         RetrievalConfig(depth_radius=500)
+    with pytest.raises(ValueError, match="damping"):
+        FeatureConfig(geo="none")
+
+
+def test_contrastive_loss_and_training():
+    eye = np.eye(3)
+    close, _, _ = contrastive.contrastive_loss(eye, np.concatenate([eye, -eye]), 20.0)
+    apart, _, _ = contrastive.contrastive_loss(eye, np.concatenate([eye[[1, 2, 0]], eye]), 20.0)
+    assert close < 1e-6 < 10 < apart
+    # the gradient of a batch against differences of its loss
+    batch = [("red lamp", "a red lamp", "a blue chair"), ("oak table", "table of oak", "a lamp")]
+    m, h = contrastive.start(1, 64, 8), 1e-6
+    _, g = contrastive.step_gradient(m, batch, 5.0)
+    r = np.random.default_rng(4)
+    for i, j in zip(r.integers(0, 64, 8), r.integers(0, 8, 8), strict=True):
+        up, down = m.copy(), m.copy()
+        up[i, j] += h
+        down[i, j] -= h
+        assert g[i, j] == pytest.approx((contrastive.step_gradient(up, batch, 5.0)[0] - contrastive.step_gradient(down, batch, 5.0)[0]) / (2 * h), abs=1e-6)
+    words = [f"w{k}" for k in range(24)]
+    triples = [(f"{w} seek", f"{w} {w}x offer", f"other{k} thing") for k, w in enumerate(words)]
+    trained, losses = contrastive.train(contrastive.start(1, 256, 16), triples, contrastive.TrainConfig(batch=8, epochs=30, rate=0.02))
+    assert losses[-1] < losses[0] / 4
+    make = contrastive.encoder(trained)()
+    q, d = make([t[0] for t in triples]), make([t[1] for t in triples])
+    assert ((q @ d.T).argmax(axis=1) == np.arange(24)).mean() > 0.9
 
 
 def test_streamed_history_counts_equal_the_batch(spark, tmp_path):

@@ -75,6 +75,8 @@ def test_blocks_of_queries_change_nothing(spark, monkeypatch):
     whole = rows()
     monkeypatch.setattr(dense, "BLOCK", 2)
     assert rows() == whole
+    monkeypatch.setattr(dense, "ROWS", 3)
+    assert rows() == whole
 
 
 def test_radius_join_equals_brute_force(spark):
@@ -122,3 +124,17 @@ def test_features(spark):
     assert features.with_positive(labelled).select("query_id").distinct().count() == 1
     with pytest.raises(ValueError, match="contract"):
         features.check_contract(frame, ["nothing"])
+
+
+def test_stop_words_and_the_filters_field(spark):
+    docs = spark.createDataFrame([(0, "и баня и на дровах"), (1, "ремонт и ремонт")], "doc_id long, text string")
+    config = lexical.BM25Config(stem=True, stop_words=True)
+    idx = lexical.index(docs, config=config)
+    assert {(r["doc_id"], r["term"], r["tf"], r["dl"]) for r in idx.tf.collect()} == {(0, "бан", 1, 2), (0, "дров", 1, 2), (1, "ремонт", 2, 2)}
+    queries = spark.createDataFrame([(0, "и на"), (1, "дрова и")], "query_id long, text string")
+    assert {(r["query_id"], r["doc_id"]) for r in lexical.scores(idx, queries).collect()} == {(1, 0)}
+    listings = spark.createDataFrame([(1, "стол", "дуб светлый"), (2, "стул", "сосна")], "item_id long, title string, params string")
+    asked = spark.createDataFrame([(7, "стол", "дуб"), (8, "", "")], "query_id long, text string, filters string")
+    pairs = spark.createDataFrame([(7, 1), (7, 2), (8, 1)], "query_id long, doc_id long")
+    got = {(r["query_id"], r["doc_id"]): (r["bm25_title"] > 0, r["bm25_params"] > 0, r["bm25_filters"] > 0) for r in lexical.field_scores(listings, asked, pairs, {"bm25_title": "title", "bm25_params": "params"}, asked={"bm25_filters": ("filters", "params")}).collect()}
+    assert got == {(7, 1): (True, False, True), (7, 2): (False, False, False), (8, 1): (False, False, False)}

@@ -14,9 +14,9 @@ def test_join_unique(spark):
         tables.join_unique(left, right.unionByName(right), ["k"])
 
 
-def test_row_index_and_sample(spark):
+def test_row_index_and_sample(spark, tmp_path):
     df = spark.range(500).select((F.col("id") * 37 % 500).alias("v"), F.concat(F.lit("k"), "id").alias("key"))
-    got = {r["v"]: r["row"] for r in tables.row_index(df.repartition(7), ["v"]).collect()}
+    got = {r["v"]: r["row"] for r in tables.row_index(df.repartition(7), ["v"], "row", str(tmp_path / "r")).collect()}
     assert got == {k: k for k in range(500)}
     pick = lambda d: {r["key"] for r in tables.sample_rows(d, "key", 20).collect()}
     assert pick(df) == pick(df.repartition(9)) and len(pick(df)) == 20
@@ -38,3 +38,8 @@ def test_timings():
     with pytest.raises(RuntimeError), t.stage("b"):
         raise RuntimeError
     assert set(t) == {"a", "b"} and all(v >= 0 for v in t.values())
+
+
+def test_telemetry(tmp_path):
+    assert 0.01 < tables.peak_rss_gb() < 1000
+    assert tables.git_state(str(tmp_path)) == {"commit": None, "changed": None}

@@ -1,13 +1,14 @@
 """Text expressions, hashes, splits and contexts on small frames."""
 
 import hashlib
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
 from sieveline.functions import text as tx
 from sieveline.functions.stem import stem, stemmed_vocabulary
-from sieveline.operators import split
+from sieveline.operators import report, split
 from sieveline.sources import io
 
 
@@ -115,18 +116,80 @@ def test_sources(spark, tmp_path):
         io.write_answer(a, str(tmp_path / "answer"))
     with pytest.raises(ValueError, match="unknown corpus"):
         io.load_corpus(spark, str(tmp_path), "nothing")
-    vectors = spark.createDataFrame([(k, [1.0 * k]) for k in range(20)], "id long, embedding array<double>")
-    io.save_embeddings(vectors, str(tmp_path / "e"), 4)
-    io.save_embeddings(vectors, str(tmp_path / "e"), 4)
-    assert io.load_embeddings(spark, str(tmp_path / "e"), vectors).count() == 20
-    with pytest.raises(ValueError, match="no stored"):
-        io.load_embeddings(spark, str(tmp_path / "e"), spark.range(22))
-    calls = []
-    make = lambda: calls.append(1) or vectors
-    assert io.cached(spark, str(tmp_path / "c"), make).count() == io.cached(spark, str(tmp_path / "c"), make).count() == 20 and len(calls) == 1
     (tmp_path / "f").write_bytes(b"abc")
     io.verify_file(str(tmp_path / "f"), hashlib.sha256(b"abc").hexdigest())
     with pytest.raises(ValueError, match="digest"):
         io.verify_file(str(tmp_path / "f"), "0")
     with pytest.raises(FileNotFoundError):
         io.verify_file(str(tmp_path / "none"), "0")
+
+
+def test_an_embedding_store_belongs_to_a_corpus_and_a_model(spark, tmp_path):
+    texts, calls = spark.createDataFrame([(k, f"text {k}") for k in range(20)], "id long, text string"), []
+
+    def make(df):
+        calls.append(1)
+        return df.select("id", F.array(F.length("text").cast("float")).alias("embedding"))
+
+    path = str(tmp_path / "e")
+    for _ in range(2):
+        io.save_embeddings(texts, path, "m1", make, 4)
+    assert len(calls) == 4 and io.load_embeddings(spark, path, texts, "m1").count() == 20
+    # a run that was cut short goes on with what is missing
+    shutil.rmtree(f"{path}/chunk=2")
+    with pytest.raises(ValueError, match="incomplete"):
+        io.load_embeddings(spark, path, texts, "m1")
+    io.save_embeddings(texts, path, "m1", make, 4)
+    assert len(calls) == 5 and io.load_embeddings(spark, path, texts, "m1").count() == 20
+    changed = texts.withColumn("text", F.concat("text", F.lit("!")))  # the same ids
+    for other, tag in ((changed, "m1"), (texts, "m2"), (texts.limit(19), "m1")):
+        with pytest.raises(ValueError, match="holds vectors"):
+            io.load_embeddings(spark, path, other, tag)
+        with pytest.raises(ValueError, match="holds vectors"):
+            io.save_embeddings(other, path, tag, make, 4)
+
+
+def test_caches_know_what_they_were_made_of(spark, tmp_path):
+    queries, calls = spark.createDataFrame([("a",), ("b",)], "query_id string"), []
+
+    def make(df):
+        def run():
+            calls.append(1)
+            return df.withColumn("n", F.lit(len(calls)))
+
+        return run
+
+    got = lambda df: sorted(map(tuple, io.cached(spark, str(tmp_path / "c"), df, make(df)).collect()))
+    assert got(queries) == got(queries) == [("a", 1), ("b", 1)]
+    assert got(queries.limit(1)) == [("a", 2)]  # other queries: not the stale table
+    (tmp_path / "c" / "table" / "_SUCCESS").unlink()
+    assert got(queries.limit(1)) == [("a", 3)]  # a table that wasn't written whole
+    texts, seen = spark.createDataFrame([("x",), ("y",), ("x",), (None,)], "text string"), []
+
+    def encoded(df):
+        seen.extend(sorted(r["text"] for r in df.collect()))
+        return df.select("text", F.array(F.lit(1.0)).alias("embedding"))
+
+    for tag, want in (("m1", ["x", "y"]), ("m1", ["x", "y"]), ("m2", ["x", "y", "x", "y"])):
+        assert io.text_vectors(texts, str(tmp_path / "t"), tag, encoded).count() == 2 and seen == want
+    io.text_vectors(spark.createDataFrame([("x",), ("z",)], "text string"), str(tmp_path / "t"), "m1", encoded)
+    assert seen[4:] == ["z"]
+
+
+def test_filters_of_any_length(spark):
+    """Nothing is cut off, however many entries a filter text has: of a repeated key the last one counts."""
+    text = " ".join(f"Вид услуги v{k}" for k in range(12_000))
+    got = spark.createDataFrame([(text,), ("",), (None,)], "t string").select(tx.parse_filters(F.col("t")).alias("f")).collect()
+    assert [r["f"] for r in got] == [{"Вид услуги": "v11999"}, {}, {}]
+
+
+def test_reports_and_environment(spark, tmp_path):
+    io.write_json(spark, {"é": [1, None]}, str(tmp_path / "x.json"))
+    assert io.read_json(spark, str(tmp_path / "x.json")) == {"é": [1, None]}
+    versions = {r["name"]: r["version"] for r in io.environment(spark).collect()}
+    assert versions["spark"] == spark.version and {"python", "java", "pyarrow"} <= set(versions)
+    report.write_html(spark, str(tmp_path / "r.html"), "A <b>", {"rows": spark.range(300).withColumn("x", F.lit(None).cast("string"))}, {"note": "1 & 2"})
+    page = (tmp_path / "r.html").read_text()
+    assert "A &lt;b&gt;" in page and "1 &amp; 2" in page and page.count("<tr>") == 201 and "first 200 rows" in page
+    one, two = (io.digest(df, "id") for df in (spark.range(50), spark.range(50).repartition(7)))
+    assert one == two != io.digest(spark.range(51), "id")
