@@ -47,7 +47,7 @@ DISCOUNT = 0.5
 #: Bytes of text in a batch, and words of all texts for each range of n-gram hashes. A batch sends a row
 #: to each range, so larger ones make fewer rows of a large corpus and need more memory in a task.
 BATCH_BYTES = 4 << 20
-RANGE_WORDS = 1 << 22
+RANGE_WORDS = 1 << 21
 SPARE_BITS = 22
 END = np.uint64(xxhash.xxh3_64_intdigest("\x01end"))
 
@@ -113,17 +113,37 @@ def ngrams(codes: np.ndarray, hashes: np.ndarray, lengths: np.ndarray) -> Ngrams
     return Ngrams(words, seq, pair_at, first, second, pairs, triple_at, head, tail, _joined(pairs[head], words[triple % n]))
 
 
+_zip: list = []
+
+
+def _codec() -> list:
+    """A worker's compressor and decompressor."""
+    if not _zip:
+        _zip.extend((zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()))
+    return _zip
+
+
 def _blob(x: np.ndarray) -> bytes:
     """Compressed bytes of an array, its elements' first bytes before their second ones and so on."""
     planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return _codec()[0].compress(planes.tobytes())
 
 
 def _array(blob: bytes, kind: str) -> np.ndarray:
-    raw, size = zstandard.ZstdDecompressor().decompress(blob), np.dtype(kind).itemsize
+    raw, size = _codec()[1].decompress(blob), np.dtype(kind).itemsize
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, len(raw) // size).T).reshape(-1).view(kind)
 
 
+def _by_use(counts: np.ndarray) -> np.ndarray:
+    """Words from the most to the least used: numbered so, codes are small and compress well."""
+    return np.argsort(-counts.astype(np.int64), kind="stable")
+
+
+def _codes(row: dict) -> np.ndarray:
+    """A batch's words in order, numbered in the order of their hashes."""
+    return _by_use(_array(row["counts"], "<u4"))[_array(row["codes"], "<u4")]
+
+
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
     for k in range(batch.num_rows):
         yield batch.slice(k, 1).to_pylist()[0]
@@ -149,10 +169,12 @@ def _encoded(batches: Iterator[pa.RecordBatch], batch_bytes: int = BATCH_BYTES)
         doc_id, held = batch.column("doc_id"), batch.column("held_out").to_numpy(zero_copy_only=False)
         learnt = ~held
         uses = np.bincount(codes[np.repeat(learnt, counts)], minlength=len(h)).astype("<u4")
+        place = np.empty(len(h), "<u4")
+        place[_by_use(uses)] = np.arange(len(h), dtype="<u4")
         row = {
             "batch": name, "n_words": len(codes) + len(counts), "n_tokens": int(uses.sum()), "n_train": int(learnt.sum()),
             "doc_ids": _blob(pc.fill_null(doc_id, 0).to_numpy(zero_copy_only=False).astype("<i8")), "id_nulls": _blob(doc_id.is_null().to_numpy(zero_copy_only=False)),
-            "held_out": _blob(held), "lengths": _blob(counts.astype("<i8")), "codes": _blob(codes), "hashes": _blob(h), "counts": _blob(uses),
+            "held_out": _blob(held), "lengths": _blob(counts.astype("<i8")), "codes": _blob(place[codes]), "hashes": _blob(h), "counts": _blob(uses),
         }
         yield pa.RecordBatch.from_pylist([row], schema=_fields(_ENCODED))
         name += 1
@@ -194,7 +216,7 @@ def _ngram_parts(batches: Iterator[pa.RecordBatch], parts: Ranges) -> Iterator[p
     for batch in batches:
         for row in _rows(batch):
             lengths = _array(row["lengths"], "<i8")
-            g = ngrams(_array(row["codes"], "<u4"), _array(row["hashes"], "<u8"), lengths)
+            g = ngrams(_codes(row), _array(row["hashes"], "<u8"), lengths)
             learnt = np.repeat(~_array(row["held_out"], "?"), lengths + 3)
             yield _part_rows(row["batch"], 0, parts, g.words[1:], _array(row["counts"], "<u4"))
             for kind, h, at in ((1, g.pairs, g.pair_at), (2, g.triples, g.triple_at)):
@@ -265,7 +287,7 @@ def _planned(batch: pa.Table, totals: pa.Table, parts: int, ends: int, scale: fl
     out, got = [], _by_kind(totals, "a", parts, 3)
     for row in batch.to_pylist():
         lengths, held = _array(row["lengths"], "<i8"), _array(row["held_out"], "?")
-        g = ngrams(_array(row["codes"], "<u4"), _array(row["hashes"], "<u8"), lengths)
+        g = ngrams(_codes(row), _array(row["hashes"], "<u8"), lengths)
         c1 = np.concatenate([[ends], got[0] >> 1])
         c2, c3, own2, own3 = (np.empty(len(x), np.int64) for x in (g.pairs, g.triples, g.pairs, g.triples))
         for h, c, own, back in ((g.pairs, c2, own2, got[1]), (g.triples, c3, own3, got[2])):
@@ -367,7 +389,7 @@ def score(docs: DataFrame, folds: int = 7, out_fold: int = 2, least: int = LEAST
     common.free_shuffles(spark)
     vocabulary = (totals.agg(F.sum("n_known")).first()[0] or 0) + (ends > 0)
     scale = float(train_tokens + vocabulary + 1)
-    left = encoded.select("batch", "doc_ids", "id_nulls", "held_out", "lengths", "codes", "hashes")
+    left = encoded.select("batch", "doc_ids", "id_nulls", "held_out", "lengths", "codes", "hashes", "counts")
     right = totals.where("batch >= 0").select("batch", "part", "a")
     planned = common.table(left.groupBy("batch").cogroup(right.groupBy("batch")).applyInArrow(lambda a, b: _planned(a, b, n, ends, scale, least), _PLANNED), "planned")
     common.drop_tables(encoded, totals)
