@@ -2,13 +2,15 @@
 
 Documents are encoded, an end id is appended to each, and the ids go in ascending doc_id order
 into shards. A shard is one Parquet file whose rows are blocks of whole documents; a block
-keeps its ids as the bit-planes of a wavelet matrix (most significant bit first), each plane
-compressed, with the number of zeros of each plane. Rank samples are rebuilt when a block is
-opened, as counting bits is faster than reading samples.
-
-Defined results: a null text is an empty one (just the end id); null ids sort first; rows with
-the same doc_id keep one record each, in order of their text's hash; an empty table gives no files'
-rows; only doc_id and text are read, so other columns may have any name.
+keeps its ids as the bit-planes of a wavelet matrix (most significant bit first) with the number of
+zeros of each plane. A plane is cut into chunks of ``CHUNK_BITS`` bits, each compressed by itself, and
+the block stores the rank directory: the ones of the plane before each chunk. So access, rank
+and select inflate one chunk of each plane that they pass, whatever the size of the block.
+
+Defined results: a null text is an empty one (just the end id); a very long text is one document of
+one block; null ids sort first; rows with the same doc_id keep one record each, in order of their
+text's hash; an empty table gives no files' rows; only doc_id and text are read, so other columns
+may have any name.
 """
 
 from __future__ import annotations
@@ -29,18 +31,69 @@ from sieveline.llm import common
 
 #: Ids after which a block is closed; a longer document still makes one block.
 BLOCK_IDS = 1 << 19
-#: Bits between two rank samples.
-RANK_BITS = 512
+#: Bits of a plane that are compressed together, and between two entries of the rank directory.
+CHUNK_BITS = 1 << 15
+
+_SCHEMA = "shard int, block int, first_in_shard long, n_ids long, n_docs int, doc_ids binary, id_nulls binary, lengths binary, width int, zeros array<long>, ranks binary, chunks array<binary>"
 
-_SCHEMA = "shard int, block int, first_in_shard long, n_ids long, n_docs int, doc_ids binary, id_nulls binary, lengths binary, width int, zeros array<long>, planes array<binary>"
+
+class Plane:
+    """A row of bits with the ones before each of its chunks; chunks are inflated when they are asked for."""
+
+    def __init__(self, ranks: np.ndarray, chunks: list[bytes | np.ndarray]):
+        self.ranks, self._chunks = ranks, chunks
+
+    @classmethod
+    def build(cls, bits: np.ndarray) -> Plane:
+        step = CHUNK_BITS // 8
+        chunks = [bits[k : k + step] for k in range(0, len(bits), step)]
+        ones = [int(np.bitwise_count(c).sum(dtype=np.int64)) for c in chunks]
+        return cls(np.concatenate([[0], np.cumsum(ones, dtype=np.int64)]).astype("<u4"), chunks)
+
+    def chunk(self, c: int) -> np.ndarray:
+        held = self._chunks[c]
+        if isinstance(held, bytes):
+            held = self._chunks[c] = np.frombuffer(zstandard.ZstdDecompressor().decompress(held), np.uint8)
+        return held
+
+    def bits(self) -> np.ndarray:
+        return np.concatenate([self.chunk(c) for c in range(len(self._chunks))]) if self._chunks else np.zeros(0, np.uint8)
+
+    def packed(self) -> list[bytes]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        return [pack(c.tobytes()) for c in self._chunks]
+
+    def inflated(self) -> int:
+        """How many chunks have been inflated."""
+        return sum(not isinstance(c, bytes) for c in self._chunks)
+
+    def bit(self, i: int) -> int:
+        return int(self.chunk(i // CHUNK_BITS)[i % CHUNK_BITS // 8]) >> (i % 8) & 1
+
+    def rank1(self, i: int) -> int:
+        """Ones among the first i bits."""
+        c, rest = divmod(i, CHUNK_BITS)
+        ones = int(self.ranks[c])
+        if rest:
+            held = self.chunk(c)
+            ones += int(np.bitwise_count(held[: rest // 8]).sum(dtype=np.int64))
+            ones += (int(held[rest // 8]) & ((1 << rest % 8) - 1)).bit_count() if rest % 8 else 0
+        return ones
+
+    def select(self, bit: int, j: int) -> int:
+        """Position of the j-th (from 0) bit of the given value."""
+        ranks = self.ranks.astype(np.int64)
+        before = ranks if bit else np.arange(len(ranks)) * CHUNK_BITS - ranks
+        c = int(np.searchsorted(before, j, "right")) - 1
+        bits = np.unpackbits(self.chunk(c), bitorder="little")
+        return c * CHUNK_BITS + int(np.flatnonzero(bits == bit)[j - int(before[c])])
 
 
 class WaveletMatrix:
     """A sequence of ids below 2**width, held as bit-planes with rank and select."""
 
-    def __init__(self, n: int, width: int, zeros: list[int], planes: list[np.ndarray]):
+    def __init__(self, n: int, width: int, zeros: list[int], planes: list[Plane]):
         self.n, self.width, self.zeros, self.planes = n, width, zeros, planes
-        self._samples: list[np.ndarray | None] = [None] * width
 
     @classmethod
     def build(cls, ids: np.ndarray, width: int | None = None) -> WaveletMatrix:
@@ -50,7 +103,7 @@ class WaveletMatrix:
         zeros, planes = [], []
         for level in range(width - 1, -1, -1):
             ones = (ids & ids.dtype.type(1 << level)).astype(bool)
-            planes.append(np.packbits(ones, bitorder="little"))
+            planes.append(Plane.build(np.packbits(ones, bitorder="little")))
             high, low = np.compress(ones, ids), np.compress(~ones, ids)  # far faster than masks
             zeros.append(len(low))
             ids = np.concatenate([low, high])
@@ -61,50 +114,25 @@ class WaveletMatrix:
         kind = np.uint16 if self.width <= 16 else np.uint32
         out = np.zeros(self.n, kind)
         for k in range(self.width - 1, -1, -1):
-            ones = np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(bool)
+            ones = np.unpackbits(self.planes[k].bits(), count=self.n, bitorder="little").view(bool)
             z, up = self.zeros[k], np.empty(self.n, kind)
             up[np.flatnonzero(~ones)] = out[:z]
             up[np.flatnonzero(ones)] = out[z:] | kind(1 << (self.width - 1 - k))
             out = up
         return out.astype(np.uint32)
 
-    def _sampled(self, k: int) -> np.ndarray:
-        if self._samples[k] is None:
-            step = RANK_BITS // 8
-            plane = np.concatenate([self.planes[k], np.zeros(-len(self.planes[k]) % step, np.uint8)])
-            counts = np.bitwise_count(plane).reshape(-1, step).sum(axis=1, dtype=np.int64)
-            self._samples[k] = np.concatenate([[0], np.cumsum(counts)])
-        return self._samples[k]
-
-    def _rank1(self, k: int, i: int) -> int:
-        """Ones among the first i bits of plane k."""
-        block, byte = i // RANK_BITS, i // 8
-        part = self.planes[k][block * (RANK_BITS // 8) : byte]
-        ones = int(self._sampled(k)[block]) + int(np.bitwise_count(part).sum())
-        return ones + (int(self.planes[k][byte]) & ((1 << (i % 8)) - 1)).bit_count() if i % 8 else ones
-
-    def _select(self, k: int, bit: int, j: int) -> int:
-        """Position of the j-th (from 0) bit of the given value in plane k."""
-        sampled = self._sampled(k)
-        before = sampled if bit else np.arange(len(sampled)) * RANK_BITS - sampled
-        block = int(np.searchsorted(before, j, "right")) - 1
-        step = RANK_BITS // 8
-        bits = np.unpackbits(self.planes[k][block * step : (block + 1) * step], bitorder="little")
-        return block * RANK_BITS + int(np.flatnonzero(bits == bit)[j - int(before[block])])
-
     def access(self, i: int) -> int:
         """The id at position i."""
         value = 0
-        for k in range(self.width):
-            ones = self._rank1(k, i)
-            bit = int(self.planes[k][i // 8]) >> (i % 8) & 1
+        for zeros, plane in zip(self.zeros, self.planes, strict=True):
+            ones, bit = plane.rank1(i), plane.bit(i)
             value = value << 1 | bit
-            i = self.zeros[k] + ones if bit else i - ones
+            i = zeros + ones if bit else i - ones
         return value
 
     def _range(self, value: int, start: int, stop: int) -> tuple[int, int]:
-        for k in range(self.width):
-            a, b = self._rank1(k, start), self._rank1(k, stop)
+        for k, plane in enumerate(self.planes):
+            a, b = plane.rank1(start), plane.rank1(stop)
             start, stop = (self.zeros[k] + a, self.zeros[k] + b) if value >> (self.width - 1 - k) & 1 else (start - a, stop - b)
         return start, stop
 
@@ -122,7 +150,7 @@ class WaveletMatrix:
         i = self._range(value, 0, self.n)[0] + j
         for k in range(self.width - 1, -1, -1):
             bit = value >> (self.width - 1 - k) & 1
-            i = self._select(k, bit, i - self.zeros[k] if bit else i)
+            i = self.planes[k].select(bit, i - self.zeros[k] if bit else i)
         return i
 
     def occurrences(self, value: int) -> list[int]:
@@ -270,7 +298,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], path: str, end_id: int, block_ids
         row = {
             "shard": shard, "block": block, "first_in_shard": first, "n_ids": len(ids), "n_docs": len(counts),
             "doc_ids": pack(doc_ids.tobytes()), "id_nulls": pack(np.packbits(nulls).tobytes()), "lengths": pack(counts.astype("<i8").tobytes()),
-            "width": m.width, "zeros": m.zeros, "planes": [pack(p.tobytes()) for p in m.planes],
+            "width": m.width, "zeros": m.zeros, "ranks": np.concatenate([p.ranks for p in m.planes]).tobytes(), "chunks": [c for p in m.planes for c in p.packed()],
         }
         block, first = block + 1, first + len(ids)
         return pa.RecordBatch.from_pylist([row], schema=_ARROW)
@@ -287,7 +315,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], path: str, end_id: int, block_ids
 
 _ARROW = pa.schema(
     [("shard", pa.int32()), ("block", pa.int32()), ("first_in_shard", pa.int64()), ("n_ids", pa.int64()), ("n_docs", pa.int32())]
-    + [("doc_ids", pa.binary()), ("id_nulls", pa.binary()), ("lengths", pa.binary()), ("width", pa.int32()), ("zeros", pa.list_(pa.int64())), ("planes", pa.list_(pa.binary()))]
+    + [("doc_ids", pa.binary()), ("id_nulls", pa.binary()), ("lengths", pa.binary()), ("width", pa.int32()), ("zeros", pa.list_(pa.int64())), ("ranks", pa.binary()), ("chunks", pa.list_(pa.binary()))]
 )
 
 
@@ -316,7 +344,9 @@ def open_block(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, WaveletMatrix]:
     unpack = zstandard.ZstdDecompressor().decompress
     n = row["n_docs"]
     nulls = np.unpackbits(np.frombuffer(unpack(row["id_nulls"]), np.uint8), count=n).astype(bool)
-    matrix = WaveletMatrix(row["n_ids"], row["width"], list(row["zeros"]), [np.frombuffer(unpack(p), np.uint8) for p in row["planes"]])
+    ranks, each = np.frombuffer(row["ranks"], "<u4").reshape(row["width"], -1), len(row["chunks"]) // row["width"]
+    planes = [Plane(ranks[k], list(row["chunks"][k * each : (k + 1) * each])) for k in range(row["width"])]
+    matrix = WaveletMatrix(row["n_ids"], row["width"], list(row["zeros"]), planes)
     return np.frombuffer(unpack(row["doc_ids"]), "<i8"), nulls, np.frombuffer(unpack(row["lengths"]), "<i8"), matrix
 
 

@@ -45,6 +45,23 @@ def test_wavelet_matrix_is_the_sequence(n):
     assert m.count(1 << 20) == 0
 
 
+def test_access_from_a_file_inflates_a_chunk_of_each_plane(spark):
+    """A block of many chunks: each question reads one chunk of a plane, and the answers are the array's."""
+    r = np.random.default_rng(5)
+    docs = documents(spark, [(k, " ".join(r.choice(["alpha", "beta", "gamma", "9", "!"], 30_000))) for k in range(3)])
+    path = common.shared_path(spark, "test-chunks")
+    wavelet.write_tokens(docs.coalesce(1), path, BYTE)
+    row = max(spark.read.schema(wavelet._SCHEMA).parquet(path).collect(), key=lambda x: x["n_ids"])
+    ids = wavelet.open_block(row)[3].ids()
+    assert len(row["chunks"]) == row["width"] * -(-len(ids) // wavelet.CHUNK_BITS) > 2 * row["width"]
+    for i in (0, 7, len(ids) // 2, len(ids) - 1):
+        m = wavelet.open_block(row)[3]
+        assert m.access(i) == ids[i] and all(p.inflated() <= 1 for p in m.planes)
+    m, v = wavelet.open_block(row)[3], int(ids[11])
+    assert m.count(v) == (ids == v).sum() and m.select(v, 1000) == np.flatnonzero(ids == v)[1000]
+    assert sum(p.inflated() for p in m.planes) <= 5 * row["width"]
+
+
 def test_cached_encoder_equals_the_library():
     texts = _noise(3000)
     encode = wavelet.CachedEncoder(BYTE)
