@@ -6,14 +6,16 @@ repetitions, and encoded by a learned tanh layer. Gated attention, softmax of
 w . (tanh(V h) * sigmoid(U h)), weighs the passages, and a logistic layer scores the weighted
 representation. Encoder, gates and scorer are learned together from document labels by Adam.
 
-The model is fitted on a sample of at most ``SAMPLE`` labelled documents (those with the least
-hash of their id), of which the driver gets the passage descriptions of at most ``BAG`` passages
-each, evenly spaced; everything is scored, with all passages. Class weights aren't used, so a
-score is a probability.
+The model is fitted on a sample of whole labelled documents: those with the least hash of their id,
+at most ``SAMPLE`` of them and at most ``PASSAGES`` passages together (a document that would go
+beyond that is passed over). The driver gets the descriptions of all their passages, and everything is
+scored with all passages. Class weights aren't used, so a score is a probability.
 
 Defined results: a null or empty text is one passage of zeros and gets that bag's score; without
-labels of both kinds every score is the share of label 1 among the labels (0.5 without any);
-rows with the same doc_id are kept apart; an empty table gives an empty result.
+labels of both kinds every score is the share of label 1 among the labels (0.5 without any); a
+document with labels of both kinds teaches nothing, nor does one without an id; of several texts with one
+id the one with the least hash teaches; rows with the same doc_id are kept apart in what is scored; a very
+long text is scored whole; an empty table gives an empty result; other columns are passed on.
 """
 
 from __future__ import annotations
@@ -29,8 +31,7 @@ from pyspark.sql import functions as F
 from sieveline.llm import common
 
 PASSAGE = 64
-SAMPLE = 4096
-BAG = 64
+SAMPLE, PASSAGES = 4096, 1 << 18
 THRESHOLD = 0.3
 BUCKETS = 16
 HIDDEN, GATE, EPOCHS = 16, 8, 60
@@ -139,30 +140,37 @@ class GatedAttention:
         return self.forward(((x - self.mean) / self.scale).clip(-8, 8), n)["y"]
 
 
-def _described(batches: Iterator[pa.RecordBatch], size: int, bag: int) -> Iterator[pa.RecordBatch]:
+def _described(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in common.slices(batches):
         x, n = passages(common.texts(batch), size)
-        ends, rows = np.cumsum(n), []
-        for e, k in zip(ends.tolist(), n.tolist(), strict=True):
-            at = np.arange(e - k, e) if k <= bag else e - k + np.arange(bag) * k // bag
-            rows.append(x[at].astype("<f4").tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(rows, pa.binary())], names=["doc_id", "quality", "bag"])
+        rows = [x[e - k : e].astype("<f4").tobytes() for e, k in zip(np.cumsum(n).tolist(), n.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), batch.column("h"), pa.array(n), pa.array(rows, pa.binary())], names=["doc_id", "quality", "h", "n", "bag"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int = PASSAGE, bag: int = BAG) -> GatedAttention:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int = PASSAGE, most: int = PASSAGES) -> GatedAttention:
     """Learn from the labelled rows of ``docs``; see the module's notes on the bounds."""
     spark = docs.sparkSession
     common.tune(spark)
-    marked = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
+    one = F.min("quality") == F.max("quality")
+    marked = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(one.alias("agreed"), F.min("quality").cast("int").alias("quality")).where("agreed").drop("agreed")
     # the sample is chosen by ids alone; only then are its texts read
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().join(marked, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = chosen.collect()
     known = spark.createDataFrame([(r["doc_id"], r["quality"]) for r in rows], "doc_id long, quality int")
-    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(known), "doc_id")  # at most ``sample`` ids
-    got = source.mapInArrow(lambda it: _described(it, size, bag), "doc_id long, quality int, bag binary").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
-    bags = [np.frombuffer(b, "<f4").reshape(-1, WIDTH) for b in got["bag"].to_pylist()]
-    n = np.array([len(b) for b in bags], np.int64)
-    x = np.concatenate(bags).astype(np.float64) if bags else np.zeros((0, WIDTH))
+    text = F.col("text").cast("string")
+    source = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("h")).join(F.broadcast(known), "doc_id")  # at most ``sample`` ids
+    each = source.mapInArrow(lambda it: _described(it, size), "doc_id long, quality int, h long, n long, bag binary")
+    bags = common.table(each.groupBy("doc_id", "quality").agg(F.min_by(F.struct("n", "bag"), "h").alias("b")).select("doc_id", "quality", "b.*"), "bags")
+    lengths, taken, total = {r["doc_id"]: r["n"] for r in bags.select("doc_id", "n").collect()}, [], 0
+    for i in (r["doc_id"] for r in rows):
+        if i in lengths and total + lengths[i] <= most:
+            taken.append(i)
+            total += lengths[i]
+    got = bags.where(F.col("doc_id").isin(taken)).toArrow().sort_by("doc_id")
+    common.drop_tables(bags)
+    held = [np.frombuffer(b, "<f4").reshape(-1, WIDTH) for b in got["bag"].to_pylist()]
+    n = np.array([len(b) for b in held], np.int64)
+    x = np.concatenate(held).astype(np.float64) if held else np.zeros((0, WIDTH))
     return GatedAttention().fit(x, n, got["quality"].to_numpy().astype(np.float64))
 
 

@@ -163,6 +163,48 @@ def test_quality_model(spark):
     assert {r["quality_score"] for r in mil.predict(docs, none).collect()} == {0.5}
 
 
+def _by_hand(rows, labels, texts, taken=None):
+    """Scores of ``texts`` by a model fitted on whole documents without Spark."""
+    kinds = collections.defaultdict(set)
+    for i, q, _ in labels:
+        if i is not None and q is not None:
+            kinds[i].add(q)
+    known = {i: t for i, t in rows if i is not None and len(kinds[i]) == 1 and (taken is None or i in taken)}
+    ids = sorted(known)
+    x, n = mil.passages(pa.array([known[i] or "" for i in ids], pa.string()))
+    model = mil.GatedAttention().fit(x.astype(np.float64), n, np.array([float(next(iter(kinds[i]))) for i in ids]))
+    return model.score(*mil.passages(pa.array([t or "" for t in texts], pa.string())))
+
+
+def test_every_passage_of_a_document_teaches(spark):
+    """The fitted model is that of all passages, also of documents with hundreds of them."""
+    telling = lambda k: f"{prose(k, 64 * 90)} {' '.join('BUY!!! now!!!' for _ in range(64))} {prose(900 + k, 64 * 90)}"
+    rows = [(k, telling(k) if k % 2 else prose(k, 64 * 120)) for k in range(16)] + [(50, None), (51, "x"), (None, telling(99))]
+    labels = [(k, int(k % 2 == 0), 0) for k in range(16)] + [(50, 0, 0), (51, 0, 0), (51, 1, 0), (None, 0, 0)]
+    docs, marks = documents(spark, rows, True), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["quality_score"] for r in mil.predict(docs, mil.fit(docs.select("doc_id", "text"), marks)).collect()}
+    want = _by_hand(rows, labels, [t for _, t in rows])
+    assert [got[i] for i, _ in rows] == pytest.approx(want.tolist(), abs=1e-4)
+    assert all((got[k] > 0.5) == (k % 2 == 0) for k in range(16))
+    # the bound on passages leaves out whole documents
+    order = [r[0] for r in spark.createDataFrame([(k,) for k in range(16)], "k long").selectExpr("k", "xxhash64(k) h").orderBy("h").collect()]
+    some = mil.fit(docs.where("doc_id < 16").select("doc_id", "text"), marks, most=700)
+    lengths = {k: 120 if k % 2 == 0 else 182 for k in range(16)}
+    taken, total = [], 0
+    for k in order:
+        if total + lengths[k] <= 700:
+            taken, total = [*taken, k], total + lengths[k]
+    got = {r["doc_id"]: r["quality_score"] for r in mil.predict(docs, some).collect()}
+    assert [got[i] for i, _ in rows] == pytest.approx(_by_hand(rows, labels, [t for _, t in rows], taken).tolist(), abs=1e-4)
+
+
+def test_quality_without_documents(spark):
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    model = mil.fit(documents(spark, []).select("doc_id", "text"), labels)
+    assert mil.predict(documents(spark, []), model).count() == 0
+    assert [r["quality_score"] for r in mil.predict(documents(spark, [(4, "a"), (4, "a")]), model).collect()] == [0.5, 0.5]
+
+
 # --- rules ----------------------------------------------------------------------------------------
 
 
