@@ -1,12 +1,14 @@
 """URL rules, licence digests, decontamination and the pipeline."""
 
 import hashlib
+import random
 import textwrap
 
 import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -199,6 +201,98 @@ def test_plain_windows_equal_brute_force():
         assert sorted(got) == want
 
 
+NUMBER_WORDS, UNIT_WORDS = decontam.NUMBERS, decontam.UNITS
+
+
+def _template_words(text):
+    """Of each word with a letter or digit: what it is without its edge (lower-cased), its kind, whether it is a name, by plain rules."""
+    out, before = [], True
+    for raw in text.split():
+        core = regex.sub(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "", raw)
+        closing = regex.search(r"[.!?:;|]\P{L}*$", raw) is not None
+        if core:
+            low = core.lower()
+            kind = "number" if low in NUMBER_WORDS or regex.fullmatch(r"\p{N}[\p{N}.,:/-]*(st|nd|rd|th|%)?", core) else "unit" if low in UNIT_WORDS else None
+            out.append((low, kind, kind is None and regex.match(r"\p{Lu}\p{Ll}", core) is not None and not before))
+            before = closing
+    return out
+
+
+def _leaked(text, item, similarity=0.8):
+    """Whether a document holds an item, its slots consistently replaced, by comparing every place with every place."""
+    d, b = _template_words(text), _template_words(item)
+    if not b or len(b) == 1:
+        return len(b) == 1 and [w for w, _, _ in d] == [b[0][0]]
+    size = min(len(b), 5)
+    forms = [lambda w: w[1] or w[0], lambda w: w[1] or ("name" if w[2] else w[0]), lambda w: w[0]]
+    slotted = [lambda w: w[1] is not None, lambda w: w[1] is not None or w[2]]
+    n, covered = len(b) - size + 1, set()
+    keyed = lambda f, words: tuple(f(w) if f(w) != w[0] else ("", w[0]) for w in words)
+
+    def finds(p):
+        return all(sum(not s(w) for w in b[p : p + size]) >= 2 for s in slotted)
+
+    for shift in range(-len(b), len(d) + 1):
+        equal = {}
+        for p in range(n):
+            i = p + shift
+            if 0 <= i and i + size <= len(d):
+                same = [keyed(f, d[i : i + size]) == keyed(f, b[p : p + size]) for f in forms]
+                ok = [sum(not s(w) for w in d[i : i + size]) >= 2 and sum(not s(w) for w in b[p : p + size]) >= 2 for s in slotted] + [True]
+                if any(x and y for x, y in zip(same, ok, strict=True)):
+                    equal[p] = same[2]
+        if not equal:
+            continue
+        for p in range(n):
+            i = p + shift
+            if p not in equal and not finds(p) and 0 <= i and i + size <= len(d) and any(keyed(f, d[i : i + size]) == keyed(f, b[p : p + size]) for f in forms):
+                equal[p] = False
+        places = sorted({p + k for p in equal for k in range(size)})
+        slots = {p: (b[p][0], d[p + shift][0], b[p][1] == "number") for p in places if b[p][1] or b[p][2] or b[p][0] != d[p + shift][0]}
+        best = {}
+        for a in {a for a, _, _ in slots.values()}:
+            votes = [y for x, y, _ in slots.values() if x == a]
+            best[a] = max(dict.fromkeys(votes), key=lambda y: (votes.count(y), y == a))
+        back = {}
+        for y in {y for x, y, number in slots.values() if not number and best[x] == y}:
+            votes = [x for x, z, number in slots.values() if z == y and not number and best[x] == z]
+            back[y] = max(dict.fromkeys(votes), key=lambda x: (votes.count(x), x == y))
+        broken = {p for p, (x, y, number) in slots.items() if best[x] != y or not (number or back[y] == x)}
+        covered |= {p for p, exact in equal.items() if exact or broken.isdisjoint(range(p, p + size))}
+    return len(covered) >= similarity * n
+
+
+def test_templates_names_and_slots_equal_brute_force(spark):
+    """Random questions, their parameters replaced consistently or not, cut short, renamed or mixed up."""
+    r = random.Random(8)
+    names, units, plain = ["Anna", "Lyon", "Bern", "Carla", "Oslo"], ["km", "miles", "hours", "kg"], "train leaves city travels with apples sells buys reaches finds how many does left then slowly".split()
+
+    def question():
+        return [r.choice([r.choice(plain), r.choice(plain), r.choice(plain), str(r.randrange(2, 99)), r.choice(names), r.choice(units), r.choice(["seven", "nine"])]) for _ in range(r.randrange(2, 22))]
+
+    items = [question() for _ in range(14)]
+    texts = []
+    for words in items * 9:
+        w, how = list(words), r.randrange(5)
+        if how in (1, 3):
+            to = {x: str(r.randrange(2, 99)) if x.isdigit() else r.choice(names) if x in names else r.choice(units) if x in units else x for x in set(w)}
+            w = [to[x] for x in w]
+        if how in (2, 3):
+            for _ in range(r.randrange(1, 4)):
+                w[r.randrange(len(w))] = r.choice([*names, *units, *plain, "5", "61"])
+        if how == 4:
+            w = w[r.randrange(3) :][: r.randrange(1, 30)]
+        if r.random() < 0.3:
+            w = [x + r.choice(["", "", ".", ",", "?"]) for x in w]
+        texts.append(" ".join([*(r.choice(plain) for _ in range(r.randrange(4))), *w, *(r.choice(plain) for _ in range(r.randrange(4)))]))
+    ids = list(range(len(items)))
+    want = {k: [i for i in ids if _leaked(t, " ".join(items[i]))] for k, t in enumerate(texts)}
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in zip(ids, items, strict=True)], "item_id long, text string")
+    found = {x["doc_id"]: x["item_ids"] for x in decontam.search(documents(spark, list(enumerate(texts))), benchmark).collect()}
+    assert found == want
+    assert 30 < sum(map(bool, want.values())) < len(texts)
+
+
 def test_pipeline_equals_its_operators_one_after_the_other(spark, tmp_path):
     languages = {"en": "the of and cat dog".split(), "fr": "éau tre çon les des".split()}
     text = lambda k, lang: prose(k, 80, languages[lang])
