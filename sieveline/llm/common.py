@@ -89,14 +89,16 @@ def keyed_join(left: DataFrame, right: DataFrame, on: list[str], total: int, how
     return left.where(known).join(F.broadcast(near), on, how).unionByName(left.where(~known).join(right.where(~known), on, how))
 
 
-def free_shuffles(spark: SparkSession, wait: float = 2.0) -> None:
+def free_shuffles(spark: SparkSession, wait: float = 1.0) -> None:
     """Let Spark delete the shuffle files of finished plans now, not whenever the driver's heap is next collected.
 
-    Its cleaner works beside the driver; ``wait`` gives it the time before more files are written.
+    Python's references go in the first round, beside the driver, and what they held in the second one;
+    ``wait`` gives each the time before more files are written.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(wait)
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(wait)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
