@@ -115,12 +115,15 @@ def error_examples(spark, d):
 
 
 def _runs(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Outcomes of two scorers by query, written as stored runs are."""
     built, queries, own = frame(spark, d)
     out = []
     for weights in (ranker.LINEAR, {"rrf": 1.0}):
         scored = ranker.model_ranks(built.withColumn("score", ranker.linear_score(weights)))
         positives = diagnostics.positive_outcomes(queries, scored, features.item_table(own), geo.location_stats(own), own.select("item_id"), TOP)
-        out.append(diagnostics.query_outcomes(positives))
+        path = io.scratch(spark, "outcomes")
+        diagnostics.query_outcomes(positives).write.parquet(path)
+        out.append(spark.read.parquet(path))
     return out[0], out[1]
 
 
