@@ -89,13 +89,13 @@ def keyed_join(left: DataFrame, right: DataFrame, on: list[str], total: int, how
     return left.where(known).join(F.broadcast(near), on, how).unionByName(left.where(~known).join(right.where(~known), on, how))
 
 
-def free_shuffles(spark: SparkSession, wait: float = 1.0) -> None:
+def free_shuffles(spark: SparkSession, rounds: int = 4, wait: float = 1.0) -> None:
     """Let Spark delete the shuffle files of finished plans now, not whenever the driver's heap is next collected.
 
-    Python's references go in the first round, beside the driver, and what they held in the second one;
-    ``wait`` gives each the time before more files are written.
+    Python's references go first, beside the driver, then what they held there, then the executors' files;
+    ``wait`` gives each step its time before more files are written.
     """
-    for _ in range(2):
+    for _ in range(rounds):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(wait)
