@@ -6,8 +6,8 @@ changed since is skipped when it comes up. Ids are decoded by looking their stri
 concatenating them as the vocabulary's library does: joined by one space where the tokenizer
 has no decoder of its own.
 
-Defined results: a null or blank text has no ids, so the digests are those of the empty string;
-rows with the same doc_id are kept apart; an empty table gives an empty result; other columns
+Defined results: a null or blank text has no ids, so the digests are those of the empty string; a
+very long text is encoded whole; rows with the same doc_id are kept apart; an empty table gives an empty result; other columns
 are not read.
 """
 

@@ -21,7 +21,9 @@ the others on one that was found. An item of two to four words is one window of
 Defined results: a null text is clean; an item all of whose windows have fewer than two ordinary
 words is found by its exact words only; an item of one word is found where a document consists of
 that word, as any prose holds it; an item with a null id contaminates but adds no id to the lists;
-an item listed twice is found under both ids; rows with the same doc_id are kept apart; an empty table or benchmark gives no findings; only doc_id, item_id and text are read.
+an item listed twice is found under both ids; a very long text is searched whole; rows with the same
+doc_id are kept apart; an empty table or benchmark gives no findings; only doc_id, item_id and text
+are read.
 """
 
 from __future__ import annotations
