@@ -11,6 +11,13 @@ read again, so a lost executor costs no more than the stage it worked on.
   without words are in no class and stay.
 * ``decontamination`` drops documents that hold a benchmark item, also with other slot values.
 * ``bpe`` encodes and decodes what is left: doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+Defined results: null and empty texts have no language and go in the first stage; rows without an id
+teach nothing and stay as long as their text is clean; repeated rows are judged alike, and one of
+equal id and text stays; very long texts are judged whole; other columns, whatever their names, are
+passed on by all stages but the last; an empty table passes through empty; without labels of both
+kinds the second stage judges by their share, and without any it keeps every document; without
+benchmark items the fourth keeps every document.
 """
 
 from __future__ import annotations

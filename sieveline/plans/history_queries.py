@@ -112,10 +112,11 @@ def _neighbors(spark, d, need_microcat):
 
 
 def _microcats(spark, d, exact):
+    """For each query the microcategories of its 20 nearest items."""
     near, seen, v, queries = _neighbors(spark, d, True)
     prob, per_query = microcats.distribution(near, microcats.text_microcats(seen, ("view_id",)), exact, ("view_id",))
-    labels = v.select(F.col("label").cast("string").alias("microcat")).distinct()
-    frame = queries.select("query_id").join(F.broadcast(labels), F.lit(True))  # a handful of labels
+    items = v.select(F.col("vec_id").alias("doc_id"), "embedding", F.col("label").cast("string").alias("microcat"))
+    frame = dense.search(items, queries, 20).select("query_id", "doc_id").join(items.select("doc_id", "microcat"), "doc_id")
     return _rounded(microcats.microcat_features(frame, prob, per_query), "mc_prob", "mc_ratio", "mc_entropy", "mc_top_sim")
 
 
@@ -194,8 +195,9 @@ shares as (select query_text, microcat, n / sum(n) over (partition by query_text
 raw as (select nb.*, {weight} r from nb join top using (query_id)), w as (select *, r / sum(r) over (partition by query_id) w from raw),
 prob as (select query_id, microcat, sum(w * share) mc_prob from w join shares using (query_text) group by 1, 2),
 per as (select query_id, max(mc_prob) mc_max, -sum(case when mc_prob > 0 then mc_prob * ln(mc_prob) else 0 end) mc_entropy from prob group by 1),
-frame as (select q.query_id, l.microcat from q, (select distinct label::varchar microcat from v) l)
-select query_id, microcat, round(coalesce(mc_prob, 0), 6) mc_prob, round(coalesce(mc_prob, 0) / mc_max, 6) mc_ratio, round(mc_entropy, 6) mc_entropy, round(mc_top_sim, 6) mc_top_sim, (mc_top_sim >= 0.999)::int mc_is_exact_match
+hits as (select query_id, p.vec_id doc_id, label::varchar microcat, row_number() over (partition by query_id order by round(list_inner_product(q.embedding::double[], p.embedding::double[]), 9) desc, p.vec_id) rk from q, v p qualify rk <= 20),
+frame as (select query_id, doc_id, microcat from hits)
+select query_id, doc_id, microcat, round(coalesce(mc_prob, 0), 6) mc_prob, round(coalesce(mc_prob, 0) / mc_max, 6) mc_ratio, round(mc_entropy, 6) mc_entropy, round(mc_top_sim, 6) mc_top_sim, (mc_top_sim >= 0.999)::int mc_is_exact_match
 from frame left join prob using (query_id, microcat) left join per using (query_id) left join top using (query_id)"""
 
 

@@ -45,7 +45,9 @@ def test_geo_rerank(spark):
     assert _order(fusion.geo_rerank(hits, F.lit(5), F.col("loc"), 1.0, 1.5)) == {0: [1, 0, 2]}
 
 
-def test_bm25_needs_stems_for_local_search(spark):
+@pytest.mark.parametrize("most", [1 << 18, 0])
+def test_bm25_needs_stems_for_local_search(spark, monkeypatch, most):
+    monkeypatch.setattr(lexical, "MOST_ASKED", most)  # what is asked is broadcast, or meets the parts of the documents
     docs = spark.createDataFrame([(0, "баня на дровах", 7), (1, "ремонт телефонов", 7), (2, "ремонт холодильников ремонт холодильников", 7), (3, "ремонт холодильников", 9)], "doc_id long, text string, loc int")
     queries = spark.createDataFrame([(0, "ремонт холодильника", 7), (1, "", 7)], "query_id long, text string, place int")
     idx = lexical.index(docs, config=lexical.BM25Config(stem=True))
