@@ -6,7 +6,7 @@ Each batch sends its distinct words, pairs and triples, cut into ranges of the h
 for each range, which adds them up over all batches and sends the totals back; so every batch gets
 the exact count of each of its n-grams, and no task holds more than a range or a batch. Words are
 told apart by 64-bit hashes, pairs and triples by ``SPARE_BITS`` bits more than it takes to number the
-corpus' words (64 at most), so one in four million clashes with another at any size.
+corpus' words (64 at most), so about one in a million clashes with another at any size.
 
 The automaton. An n-gram is kept when it occurs at least ``LEAST`` times in training texts,
 whatever the size of the corpus, and nothing bounds how many are kept. An arc for a kept n-gram
@@ -48,7 +48,7 @@ DISCOUNT = 0.5
 #: to each range, so larger ones make fewer rows of a large corpus and need more memory in a task.
 BATCH_BYTES = 4 << 20
 RANGE_WORDS = 1 << 21
-SPARE_BITS = 22
+SPARE_BITS = 20
 END = np.uint64(xxhash.xxh3_64_intdigest("\x01end"))
 
 
