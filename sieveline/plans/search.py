@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions.text import filter_match, normalize_text, parse_filters
 from sieveline.operators import dense, encode, features, fusion, geo, history, lexical, microcats, ranker, signals, submission
-from sieveline.plans.config import COMPUTED, FILTERS, RetrievalConfig, SearchConfig
+from sieveline.plans.config import BASE, COMPUTED, FILTERS, RetrievalConfig, SearchConfig
 
 VIEW = ("view_id",)
 
@@ -102,7 +102,10 @@ def frame(queries: DataFrame, items: DataFrame, past: DataFrame, config: SearchC
         if retrieval.depth_region:
             counts = past.select("query_text", "search_loc", "item_id", "item_loc").distinct().groupBy("search_loc", "item_loc").agg(F.count("*").alias("n"))
             extra["dense_region"] = (region_list(centroids, counts, queries, items, retrieval.depth_region), retrieval.depth_region)
-    pool = fusion.candidate_pool(lists(queries, items, centers, retrieval) | extra, retrieval.rrf_k, retrieval.list_names())
+    # lists that the contract names but the configuration doesn't use are null columns
+    used = retrieval.list_names()
+    names = used + [n for n in (f.removeprefix("rank_") for f in BASE if f.startswith("rank_")) if n not in used]
+    pool = fusion.candidate_pool(lists(queries, items, centers, retrieval) | extra, retrieval.rrf_k, names)
     out = features.build_features(pool, queries, items, stats, stem=retrieval.bm25.stem).join(_more(items), "doc_id").join(queries.select("query_id", "view_id"), "query_id")
     out = dense.pair_similarity(out, queries, items.select(F.col("item_id").alias("doc_id"), "embedding"))
     if blocks.fields != "none":

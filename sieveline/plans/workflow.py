@@ -169,7 +169,7 @@ def predict(spark: SparkSession, model_path: str, queries_path: str, corpus: Dat
     if "query_id" not in raw.columns:
         raw = raw.withColumn("query_id", digest_id(*(F.col(c) for c in io.CONTEXT_COLS)))
     queries, items = asked(raw.dropDuplicates(["query_id"])), listings(corpus)
-    past = history.benchmark_history(log.withColumnRenamed("search_location_id", "search_loc"), items) if config.needs_history() else None
+    past = history.benchmark_history(log.withColumnRenamed("search_location_id", "search_loc"), items)  # read only where a block needs it
     with timings.stage("frame"):
         frame = feature_frame(history.full_view(queries), items, past, config, work)
         scored = ranker.predict_gbt(model, features.check_contract(frame, names, keep=["rrf_rank"]), names)

@@ -122,11 +122,12 @@ def test_from_a_log_to_a_validated_answer(spark, tmp_path, capsys):
     parts = {r["part"]: r["count"] for r in spark.read.parquet(at("split/contexts.parquet")).groupBy("part").count().collect()}
     assert sum(parts.values()) == log.select("search_query").distinct().count() and set(parts) == {"train", "dev", "test"}
     assert io.load_corpus(spark, at("split"), "split").count() == 36
-    config = SearchConfig(RetrievalConfig(depth_global=20, depth_local=10, depth_radius=10), ranker=RankerConfig(trees=3, depth=2, rate=0.3, queries=60))
+    light = FeatureConfig("none", "none", False, microcats="none", centroid=False, second_encoder=False)
+    config = SearchConfig(RetrievalConfig(channels=("bm25",), local=False, depth_global=20, depth_radius=0), light, RankerConfig(trees=2, depth=2, rate=0.3, queries=60))
     io.write_json(spark, config.contract(), at("config.json"))
     main(["train", at("split"), at("run"), "--config", at("config.json")])
     done = io.read_json(spark, at("run/report.json"))
-    assert done["metrics"]["recall@50"] > 0 and set(done["curve"]) == {"1", "3"} and done["environment"]["spark"] == spark.version and "recall" in (tmp_path / "run/report.html").read_text()
+    assert done["metrics"]["recall@50"] > 0 and set(done["curve"]) == {"1", "2"} and done["environment"]["spark"] == spark.version and "recall" in (tmp_path / "run/report.html").read_text()
     _, contract = io.load_model(spark, at("run/ranker"))
     assert contract == config.contract()
     with pytest.raises(ValueError, match="exists"):
