@@ -59,8 +59,8 @@ def token_set(text: Column) -> Column:
     return F.array_distinct(tokens(text))
 
 
-def term_counts(docs: DataFrame, key: Column, text: Column, name: str, leave_out: frozenset[str] = frozenset(), form: Callable[[str], str] | None = None) -> DataFrame:
-    """``name`` (the key), dl (words), term and tf of each distinct word of each text, counted where the text stands.
+def term_bags(docs: DataFrame, key: Column, text: Column, name: str, leave_out: frozenset[str] = frozenset(), form: Callable[[str], str] | None = None) -> DataFrame:
+    """A row for each text: ``name`` (the key), dl (words), its distinct terms and how often each occurs (tfs).
 
     Words of ``leave_out`` don't count; with ``form`` a term is a word's form, made once for each distinct word
     of a batch. Counting in Arrow batches shuffles nothing, unlike grouping exploded words, and takes about a
@@ -68,34 +68,44 @@ def term_counts(docs: DataFrame, key: Column, text: Column, name: str, leave_out
     """
     source = docs.select(key.alias(name), F.lower(F.coalesce(text, F.lit(""))).alias("_t"))
     kind = source.schema[name].dataType.simpleString()
-    return source.mapInArrow(lambda it: _counted(it, name, leave_out, form), f"`{name}` {kind}, dl long, term string, tf long")
-
-
-def _counted(batches: Iterator[pa.RecordBatch], name: str, leave_out: frozenset[str], form: Callable[[str], str] | None, rows: int = 512) -> Iterator[pa.RecordBatch]:
-    out = pa.array(sorted(leave_out), pa.string())
-    known: dict[str, str] = {}
+    return source.mapInArrow(lambda it: _bags(it, name, leave_out, form), f"`{name}` {kind}, dl long, terms array<string>, tfs array<long>")
+
+
+class TermCounter:
+    """Counts the words of lower-cased texts; a word's form is remembered."""
+
+    def __init__(self, leave_out: frozenset[str] = frozenset(), form: Callable[[str], str] | None = None):
+        self.out, self.form, self.known = pa.array(sorted(leave_out), pa.string()), form, {}
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each distinct word of each text, by texts: the text's place, the word's code and its count; also all words by code, and the texts' lengths."""
+        lists = pc.split_pattern_regex(texts, r"[^\p{L}\p{N}_]+")
+        words = lists.flatten()
+        row = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        some = pc.greater(pc.binary_length(words), 0)
+        coded, row = words.filter(some).dictionary_encode(), row[some.to_numpy(zero_copy_only=False)]
+        terms, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        if len(self.out) and len(terms):
+            keep = ~pc.is_in(terms, self.out).to_numpy(zero_copy_only=False)[codes]
+            row, codes = row[keep], codes[keep]
+        if self.form is not None:
+            forms = pa.array([self.known[t] if t in self.known else self.known.setdefault(t, self.form(t)) for t in terms.to_pylist()], pa.string()).dictionary_encode()
+            if len(self.known) > 1 << 18:
+                self.known.clear()
+            terms, codes = forms.dictionary, forms.indices.to_numpy(zero_copy_only=False)[codes] if len(codes) else codes
+        size = max(1, len(terms))
+        pairs, tf = np.unique(row * size + codes, return_counts=True)
+        return pairs // size, terms, pairs % size, tf, np.bincount(row, minlength=len(texts))
+
+
+def _bags(batches: Iterator[pa.RecordBatch], name: str, leave_out: frozenset[str], form: Callable[[str], str] | None, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    count = TermCounter(leave_out, form)
     for whole in batches:
         for k in range(0, whole.num_rows, rows):
             batch = whole.slice(k, rows)
-            lists = pc.split_pattern_regex(batch.column("_t"), r"[^\p{L}\p{N}_]+")
-            words = lists.flatten()
-            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-            some = pc.greater(pc.binary_length(words), 0)
-            coded, row = words.filter(some).dictionary_encode(), row[some.to_numpy(zero_copy_only=False)]
-            terms, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
-            if leave_out and len(terms):
-                keep = ~pc.is_in(terms, out).to_numpy(zero_copy_only=False)[codes]
-                row, codes = row[keep], codes[keep]
-            if form is not None:
-                forms = pa.array([known[t] if t in known else known.setdefault(t, form(t)) for t in terms.to_pylist()], pa.string()).dictionary_encode()
-                if len(known) > 1 << 18:
-                    known.clear()
-                terms, codes = forms.dictionary, forms.indices.to_numpy(zero_copy_only=False)[codes] if len(codes) else codes
-            size = max(1, len(terms))
-            pairs, tf = np.unique(row * size + codes, return_counts=True)
-            dl = np.bincount(row, minlength=batch.num_rows)
-            own = pairs // size
-            yield pa.RecordBatch.from_arrays([batch.column(name).take(pa.array(own)), pa.array(dl[own]), terms.take(pa.array(pairs % size)), pa.array(tf)], names=[name, "dl", "term", "tf"])
+            row, terms, codes, tf, dl = count(batch.column("_t"))
+            ends = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(name), pa.array(dl), pa.ListArray.from_arrays(ends, terms.take(pa.array(codes))), pa.ListArray.from_arrays(ends, pa.array(tf))], names=[name, "dl", "terms", "tfs"])
 
 
 def overlap(query: Column, item: Column) -> Column:

@@ -1,5 +1,7 @@
 """Lists, fusion, places and dense search on small frames."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +63,24 @@ def test_bm25_needs_stems_for_local_search(spark, monkeypatch, most):
     assert _order(lexical.search_groups(idx, queries, 5, allowed)) == {0: [1]}
 
 
+@pytest.mark.parametrize(("most", "hits"), [(1 << 18, 1 << 20), (4, 5)])
+def test_a_search_shuffles_no_pairs(spark, monkeypatch, most, hits):
+    monkeypatch.setattr(lexical, "MOST_ASKED", most)  # blocks of what is asked, and pieces of a task's documents
+    monkeypatch.setattr(lexical, "MOST_HITS", hits)
+    word = lambda a, b: F.element_at(F.array(*map(F.lit, ["ремонт", "баня", "и", "окна", "дверей"])), ((F.col("id") * a + b) % 5 + 1).cast("int"))
+    docs = spark.range(60).repartition(3).select((100 - F.col("id")).alias("doc_id"), F.concat_ws(" ", word(1, 0), word(3, 1), word(7, 2), F.when(F.col("id") % 6 == 0, "окно")).alias("text"))
+    docs = docs.union(spark.createDataFrame([(7, "ремонт"), (7, "ремонт бани"), (8, None)], "doc_id long, text string"))
+    queries = spark.range(12).select(F.col("id").alias("query_id"), F.concat_ws(" ", word(2, 1), word(4, 0)).alias("text")).union(spark.createDataFrame([(77, "и"), (78, ""), (79, "нигде")], "query_id long, text string"))
+    idx = lexical.index(docs, config=lexical.BM25Config(stem=True, stop_words=True))
+    got = lexical.search(idx, queries, 4)
+    rows = lambda df: [(r["query_id"], r["rank"], r["doc_id"], round(r["score"], 9)) for r in df.orderBy("query_id", "rank").collect()]
+    assert rows(got) == rows(lexical.top_k(lexical.scores(idx, queries), 4)) != []
+    assert got.groupBy("query_id", "doc_id").count().where("count > 1").isEmpty() and got.columns == ["query_id", "doc_id", "score", "rank"]
+    for found, pairs in ((got, False), (lexical.top_k(lexical.scores(idx, queries), 4), True)):
+        assert bool(re.search(r"Aggregate \[query_id#\d+L?, doc_id", found._jdf.queryExecution().optimizedPlan().toString())) == pairs
+    assert rows(lexical.search(idx, queries.where("query_id >= 77"), 4)) == rows(lexical.search(idx, queries.where("query_id < 0"), 4)) == []
+
+
 def test_dense_search(spark):
     docs = spark.createDataFrame([(0, [1.0, 0.0], 7), (1, [0.8, 0.6], 5), (2, [0.0, 1.0], 7), (3, [0.6, 0.8], 5), (4, None, 5)], "doc_id long, embedding array<double>, loc int")
     queries = spark.createDataFrame([(0, [1.0, 0.0], 5), (1, [0.0, 1.0], 5), (2, [1.0, 1.0], 99), (3, None, 5)], "query_id long, embedding array<double>, loc int")
