@@ -63,7 +63,7 @@ DOC_STEPS, QUERY_STEPS = [(1, 0), (7, 3), (5, 1), (11, 4), (1, 4)], [(13, 1), (3
 
 
 def _russian_texts(spark, d):
-    own = items(spark, d).select("item_id", "loc")
+    own = items(spark, d).select("item_id", "loc").persist()
     k = F.col("item_id")
     return own.select(k.alias("doc_id"), "loc", _russian(k, DOC_STEPS).alias("text")), own.where("item_id % 100 = 0").select(k.alias("query_id"), F.col("loc").alias("query_loc"), _russian(k, QUERY_STEPS).alias("text"))
 
@@ -82,11 +82,9 @@ def stemmed_overlap(spark, d):
 
 def field_scores(spark, d):
     """Items whose id is divisible by 100 as queries, against all items of their place; filters against parameters too."""
-    own = items(spark, d)
+    own = items(spark, d).select("item_id", "title", "params", "category", "loc").persist()
     queries = own.where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.col("title").alias("text"), F.col("category").alias("filters"), "loc")
-    pairs = queries.select("query_id", "loc").join(own.select(F.col("item_id").alias("doc_id"), "loc"), "loc").select("query_id", "doc_id")
-    got = lexical.field_scores(own, queries, pairs, {"bm25_title": "title", "bm25_params": "params"}, asked={"bm25_filters": ("filters", "params")})
-    return _rounded(got, "bm25_title", "bm25_params", "bm25_filters")
+    return lexical.field_scores_within(own, queries, "loc", {"bm25_title": "title", "bm25_params": "params"}, asked={"bm25_filters": ("filters", "params")}, digits=6)
 
 
 def _vectors(spark, d):

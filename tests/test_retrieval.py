@@ -81,6 +81,24 @@ def test_a_search_shuffles_no_pairs(spark, monkeypatch, most, hits):
     assert rows(lexical.search(idx, queries.where("query_id >= 77"), 4)) == rows(lexical.search(idx, queries.where("query_id < 0"), 4)) == []
 
 
+@pytest.mark.parametrize(("most", "hits"), [(1 << 18, 1 << 20), (3, 4)])
+def test_field_scores_within_a_place_shuffle_no_pairs(spark, monkeypatch, most, hits):
+    monkeypatch.setattr(lexical, "MOST_ASKED", most)
+    monkeypatch.setattr(lexical, "MOST_HITS", hits)
+    rows = [(1, "стол дуб", "дуб светлый", 7), (2, "стул", None, 7), (3, "стол стол", "сосна", 9), (4, "шкаф", "дуб", None), (5, None, "дуб", 5), (3, "шкаф", "дуб", 9), (6, "", "сосна дуб", 7)]
+    items = spark.createDataFrame(rows, "item_id long, title string, params string, loc int").repartition(3)
+    rows = [(10, "стол", "дуб", 7), (11, "стул стол стол", "", 7), (12, "стол", None, 9), (13, "дуб", "дуб", None), (14, "", "", 7), (15, "нет", "дуб", 3), (16, "стол", "сосна", 7)]
+    queries = spark.createDataFrame(rows, "query_id long, text string, filters string, loc int")
+    fields, asked = {"bm25_title": "title", "bm25_params": "params"}, {"bm25_filters": ("filters", "params")}
+    pairs = queries.select("query_id", "loc").join(items.select(F.col("item_id").alias("doc_id"), "loc"), "loc").select("query_id", "doc_id")
+    got, want = lexical.field_scores_within(items, queries, "loc", fields, asked=asked, digits=6), lexical.field_scores(items, queries, pairs, fields, asked=asked)
+    shown = lambda df: sorted((r["query_id"], r["doc_id"], *(round(r[c], 6) for c in (*fields, *asked))) for r in df.collect())
+    assert shown(got) == shown(want) and got.columns == want.columns and got.count() == 14
+    for df, shuffled in ((got, False), (want, True)):
+        assert bool(re.search(r"Aggregate \[query_id#\d+L?, doc_id", df._jdf.queryExecution().optimizedPlan().toString())) == shuffled
+    assert shown(lexical.field_scores_within(items, queries.where("loc = 3"), "loc", fields, asked=asked)) == shown(lexical.field_scores_within(items, queries.where("loc is null"), "loc", fields, asked=asked)) == []
+
+
 def test_dense_search(spark):
     docs = spark.createDataFrame([(0, [1.0, 0.0], 7), (1, [0.8, 0.6], 5), (2, [0.0, 1.0], 7), (3, [0.6, 0.8], 5), (4, None, 5)], "doc_id long, embedding array<double>, loc int")
     queries = spark.createDataFrame([(0, [1.0, 0.0], 5), (1, [0.0, 1.0], 5), (2, [1.0, 1.0], 99), (3, None, 5)], "query_id long, embedding array<double>, loc int")
